@@ -70,6 +70,13 @@ def bias_item_order(train: DataFrame, pop_beta: float = C.CF_POP_BETA) -> DataFr
 
 
 def bias_topn(train: DataFrame, n: int = 10, pop_beta: float = C.CF_POP_BETA) -> DataFrame:
+    """``bias_ranked`` with scores rounded to 6 decimals."""
+    return bias_ranked(train, n, pop_beta).select(
+        "user_idx", "rank", "item_idx", F.round("score", 6).alias("score"))
+
+
+def bias_ranked(train: DataFrame, n: int = 10, pop_beta: float = C.CF_POP_BETA,
+                users: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Top-n unseen by μ + b_u + b_i + β·log1p(Σw) for every user with training rows.
 
     The user term is constant per user, so candidates come from one global item
@@ -78,11 +85,12 @@ def bias_topn(train: DataFrame, n: int = 10, pop_beta: float = C.CF_POP_BETA) ->
     mu = _mu(train)
     order = bias_item_order(train, pop_beta)
     ub = user_bias(train)
-    cand = top_unseen(ub, order, train, n)
+    users = ub if users is None else users.select("user_idx").distinct().join(ub, "user_idx")
+    cand = top_unseen(users, order, train if seen is None else seen, n)
     scored = (cand.join(ub, "user_idx").join(order.select("item_idx", "item_bias", "pop_prior"),
                                              "item_idx")
               .withColumn("score", mu + F.col("user_bias") + F.col("item_bias")
                           + F.lit(pop_beta) * F.col("pop_prior")))
     ranked = top_n(scored, ["user_idx"], [score_key("score").desc(), F.col("item_idx")], n)
     return ranked.select("user_idx", F.col("rank").cast("long").alias("rank"), "item_idx",
-                         F.round("score", 6).alias("score"))
+                         "score")

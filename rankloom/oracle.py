@@ -71,6 +71,15 @@ FROM W GROUP BY user_idx"""),
 SELECT item_idx, (sum(_wr) - (SELECT mu FROM MU) * sum(_w)) / (25.0 + sum(_w)) AS item_bias,
        ln(1 + sum(_w)) AS pop_prior
 FROM W GROUP BY item_idx"""),
+    "BR": (["UB", "IB", "MU", "SEEN"], """
+SELECT user_idx, item_idx, score,
+       CAST(row_number() OVER (PARTITION BY user_idx
+                               ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
+FROM (SELECT UB.user_idx, IB.item_idx,
+             (SELECT mu FROM MU) + UB.user_bias + IB.item_bias + 0.5 * IB.pop_prior AS score
+      FROM UB, IB
+      WHERE NOT EXISTS (SELECT 1 FROM SEEN s
+                        WHERE s.user_idx = UB.user_idx AND s.item_idx = IB.item_idx))"""),
     "PART": ([], """
 SELECT p_partkey AS item_id, p_name || ' ' || p_brand AS product_name,
        ['Parts', 'type_' || p_type, 'w_' || split_part(p_name, ' ', 1),
@@ -83,6 +92,55 @@ FROM PART JOIN IM ON PART.item_id = IM.item_id"""),
     "IF": (["ITEMS", "FEAT"], """
 SELECT ITEMS.item_idx, FEAT.feature_pos, FEAT.feature
 FROM ITEMS JOIN FEAT ON list_contains(list_slice(ITEMS.categories, 2, 4), FEAT.feature)"""),
+    # ── content scorer ──
+    "IV": (["IF"], """
+SELECT item_idx, feature, 1.0 / sqrt(count(*) OVER (PARTITION BY item_idx)) AS value FROM IF"""),
+    "IPOP": (["ITEMS", "TR"], """
+SELECT ITEMS.item_idx, ln(1 + coalesce(p.p, 0)) AS pop
+FROM ITEMS LEFT JOIN (SELECT item_idx, sum(interaction_weight) AS p FROM TR GROUP BY item_idx) p
+  ON p.item_idx = ITEMS.item_idx"""),
+    "LIKED": (["TR"], """
+SELECT * FROM (SELECT *, max(CAST(rating >= 3.5 AS INTEGER)) OVER (PARTITION BY user_idx) AS _any
+               FROM TR) WHERE rating >= 3.5 OR _any = 0"""),
+    "PROF": (["LIKED", "IV"], """
+SELECT user_idx, feature, s / nrm AS value
+FROM (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY user_idx)) AS nrm
+      FROM (SELECT user_idx, feature,
+                   sum(rating * coalesce(interaction_weight, 1.0) * value) AS s
+            FROM LIKED JOIN IV USING (item_idx) GROUP BY user_idx, feature))
+WHERE nrm > 0"""),
+    "CU": (["TR"], "SELECT DISTINCT user_idx FROM TR"),
+    "COS": (["PROF", "IV"], """
+SELECT p.user_idx, v.item_idx, sum(p.value * v.value) AS cos
+FROM PROF p JOIN IV v ON p.feature = v.feature GROUP BY p.user_idx, v.item_idx"""),
+    # ── context scorer ──
+    "CMU": (["TR"], "SELECT avg(rating) AS mu FROM TR"),
+    "GTB": (["TR", "CMU"], """
+SELECT 'hour' AS kind, hour AS key, avg(rating) - (SELECT mu FROM CMU) AS bias
+FROM TR GROUP BY hour
+UNION ALL
+SELECT 'dow' AS kind, day_of_week AS key, avg(rating) - (SELECT mu FROM CMU) AS bias
+FROM TR GROUP BY day_of_week"""),
+    "TRF": (["TR", "IF"], """
+SELECT TR.rating, TR.hour, TR.day_of_week, IF.feature FROM TR JOIN IF USING (item_idx)"""),
+    "FSUP": (["TRF"], "SELECT feature FROM TRF GROUP BY feature HAVING count(*) >= 10"),
+    "FTB": (["TRF", "FSUP", "CMU"], """
+SELECT feature, 'hour' AS kind, hour AS key, avg(rating) - (SELECT mu FROM CMU) AS bias
+FROM TRF WHERE feature IN (SELECT feature FROM FSUP) GROUP BY feature, hour
+UNION ALL
+SELECT feature, 'dow' AS kind, day_of_week AS key, avg(rating) - (SELECT mu FROM CMU) AS bias
+FROM TRF WHERE feature IN (SELECT feature FROM FSUP) GROUP BY feature, day_of_week"""),
+    "CTX": (["ITEMS", "IF", "FSUP", "FTB", "GTB"], """
+SELECT ITEMS.item_idx,
+       coalesce(f.ctx, (coalesce((SELECT bias FROM GTB WHERE kind = 'hour' AND key = 12), 0)
+                       + coalesce((SELECT bias FROM GTB WHERE kind = 'dow' AND key = 2), 0)) / 2)
+         AS ctx
+FROM ITEMS LEFT JOIN (
+  SELECT IF.item_idx, avg((coalesce(h.bias, 0) + coalesce(d.bias, 0)) / 2) AS ctx
+  FROM IF JOIN FSUP ON IF.feature = FSUP.feature
+  LEFT JOIN FTB h ON h.feature = IF.feature AND h.kind = 'hour' AND h.key = 12
+  LEFT JOIN FTB d ON d.feature = IF.feature AND d.kind = 'dow' AND d.key = 2
+  GROUP BY IF.item_idx) f ON f.item_idx = ITEMS.item_idx"""),
 }
 
 

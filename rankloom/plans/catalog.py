@@ -155,19 +155,104 @@ def q_residual_cells(spark, sf):
         "user_idx", "item_idx", r6("residual").alias("residual"))
 
 
-BIAS_TOPN_SQL = sql("""
-SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM (
-  SELECT user_idx, item_idx, score,
-         CAST(row_number() OVER (PARTITION BY user_idx
-                                 ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
-  FROM (SELECT UB.user_idx, IB.item_idx,
-               (SELECT mu FROM MU) + UB.user_bias + IB.item_bias + 0.5 * IB.pop_prior AS score
-        FROM UB, IB
-        WHERE NOT EXISTS (SELECT 1 FROM SEEN s
-                          WHERE s.user_idx = UB.user_idx AND s.item_idx = IB.item_idx)))
-WHERE rank <= 10""", "UB", "IB", "MU", "SEEN")
+BIAS_TOPN_SQL = sql(
+    "SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM BR WHERE rank <= 10", "BR")
 
 
 @register("bias_topn", BIAS_TOPN_SQL)
 def q_bias_topn(spark, sf):
     return cf.bias_topn(prepare_retail(spark, sf).train, n=10)
+
+
+# ── content scorer ──────────────────────────────────────────────────────────
+from rankloom.operators import content as cbf  # noqa: E402
+from rankloom.operators import context as ctxm  # noqa: E402
+
+
+@register("item_unit_vectors", sql(
+    "SELECT item_idx, feature, round(value, 6) AS value FROM IV", "IV"))
+def q_item_unit_vectors(spark, sf):
+    return cbf.item_unit_vectors(prepare_retail(spark, sf).features).select(
+        "item_idx", "feature", r6("value").alias("value"))
+
+
+@register("item_popularity", sql("SELECT item_idx, round(pop, 6) AS pop FROM IPOP", "IPOP"))
+def q_item_popularity(spark, sf):
+    p = prepare_retail(spark, sf)
+    return cbf.item_popularity(p.items, p.train).select("item_idx", r6("pop").alias("pop"))
+
+
+@register("user_profile", sql(
+    "SELECT user_idx, feature, round(value, 6) AS value FROM PROF", "PROF"))
+def q_user_profile(spark, sf):
+    p = prepare_retail(spark, sf)
+    return cbf.user_profiles(p.train, p.features).select(
+        "user_idx", "feature", r6("value").alias("value"))
+
+
+@register("content_score", sql("""
+SELECT t.user_idx, t.item_idx, round(coalesce(COS.cos, 0), 6) AS cbf_score
+FROM (SELECT DISTINCT user_idx, item_idx FROM TE) t
+LEFT JOIN COS ON COS.user_idx = t.user_idx AND COS.item_idx = t.item_idx""", "TE", "COS"))
+def q_content_score(spark, sf):
+    p = prepare_retail(spark, sf)
+    pairs = p.test.select("user_idx", "item_idx").distinct()
+    return cbf.pair_scores(pairs, cbf.user_profiles(p.train, p.features), p.features).select(
+        "user_idx", "item_idx", r6("cbf_score").alias("cbf_score"))
+
+
+CONTENT_TOPN_SQL = sql("""
+SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM (
+  SELECT user_idx, item_idx, score,
+         CAST(row_number() OVER (PARTITION BY user_idx
+                                 ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
+  FROM (SELECT CU.user_idx, IP.item_idx, coalesce(COS.cos, 0) + 0.05 * IP.pop AS score
+        FROM CU CROSS JOIN IPOP IP
+        LEFT JOIN COS ON COS.user_idx = CU.user_idx AND COS.item_idx = IP.item_idx
+        WHERE NOT EXISTS (SELECT 1 FROM SEEN s
+                          WHERE s.user_idx = CU.user_idx AND s.item_idx = IP.item_idx)))
+WHERE rank <= 10""", "CU", "IPOP", "COS", "SEEN")
+
+
+@register("content_topn", CONTENT_TOPN_SQL)
+def q_content_topn(spark, sf):
+    p = prepare_retail(spark, sf)
+    return cbf.content_topn(p.train, p.items, p.features, n=10)
+
+
+# ── context scorer ──────────────────────────────────────────────────────────
+@register("hour_dow_bias", sql(
+    "SELECT kind, CAST(key AS INTEGER) AS key, round(bias, 6) AS bias FROM GTB", "GTB"))
+def q_hour_dow_bias(spark, sf):
+    return ctxm.global_time_bias(prepare_retail(spark, sf).train).select(
+        "kind", F.col("key").cast("int").alias("key"), r6("bias").alias("bias"))
+
+
+@register("feature_time_bias", sql(
+    "SELECT feature, kind, CAST(key AS INTEGER) AS key, round(bias, 6) AS bias FROM FTB", "FTB"))
+def q_feature_time_bias(spark, sf):
+    p = prepare_retail(spark, sf)
+    return ctxm.feature_time_bias(p.train, p.features).select(
+        "feature", "kind", F.col("key").cast("int").alias("key"), r6("bias").alias("bias"))
+
+
+@register("context_score", sql("SELECT item_idx, round(ctx, 6) AS ctx FROM CTX", "CTX"))
+def q_context_score(spark, sf):
+    p = prepare_retail(spark, sf)
+    return ctxm.context_scores(p.items, p.features, p.train, [(12, 2)]).select(
+        "item_idx", r6("ctx").alias("ctx"))
+
+
+@register("context_rerank", sql("""
+SELECT user_idx, CAST(row_number() OVER (PARTITION BY user_idx
+                                         ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank,
+       item_idx, round(score, 6) AS score
+FROM (SELECT BR.user_idx, BR.item_idx, BR.score + 0.15 * coalesce(CTX.ctx, 0) AS score
+      FROM BR LEFT JOIN CTX ON CTX.item_idx = BR.item_idx WHERE BR.rank <= 20)""", "BR", "CTX"))
+def q_context_rerank(spark, sf):
+    p = prepare_retail(spark, sf)
+    base = cf.bias_ranked(p.train, n=20)
+    ctx = ctxm.context_scores(p.items, p.features, p.train, [(12, 2)])
+    out = ctxm.context_rerank(base.select("user_idx", "item_idx", "score"), ctx, 0.15)
+    return out.select("user_idx", F.col("rank").cast("long").alias("rank"), "item_idx",
+                      r6("score").alias("score"))
