@@ -113,6 +113,48 @@ WHERE nrm > 0"""),
     "COS": (["PROF", "IV"], """
 SELECT p.user_idx, v.item_idx, sum(p.value * v.value) AS cos
 FROM PROF p JOIN IV v ON p.feature = v.feature GROUP BY p.user_idx, v.item_idx"""),
+    "CR": (["CU", "IPOP", "COS", "SEEN"], """
+SELECT user_idx, item_idx, score,
+       CAST(row_number() OVER (PARTITION BY user_idx
+                               ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
+FROM (SELECT CU.user_idx, IP.item_idx, coalesce(COS.cos, 0) + 0.05 * IP.pop AS score
+      FROM CU CROSS JOIN IPOP IP
+      LEFT JOIN COS ON COS.user_idx = CU.user_idx AND COS.item_idx = IP.item_idx
+      WHERE NOT EXISTS (SELECT 1 FROM SEEN s
+                        WHERE s.user_idx = CU.user_idx AND s.item_idx = IP.item_idx))"""),
+    # ── metrics ──
+    "REL": (["TE"], "SELECT DISTINCT user_idx, item_idx FROM TE WHERE rating >= 3.5"),
+    "NREL": (["REL"], "SELECT user_idx, count(*) AS n_rel FROM REL GROUP BY user_idx"),
+    "KS": ([], "SELECT * FROM (VALUES (5), (10), (20)) AS t(k)"),
+    "IDCG": ([], """
+SELECT m, sum(1.0 / log2(i + 1)) AS idcg
+FROM range(1, 21) AS a(m) JOIN range(1, 21) AS b(i) ON i <= m GROUP BY m"""),
+    "RECS": (["BR", "CR"], """
+SELECT 'bias' AS model, user_idx, rank, item_idx FROM BR WHERE rank <= 20
+UNION ALL
+SELECT 'content' AS model, user_idx, rank, item_idx FROM CR WHERE rank <= 20"""),
+    "HITS": (["RECS", "REL"], """
+SELECT r.model, r.user_idx, r.rank, CASE WHEN rel.item_idx IS NULL THEN 0 ELSE 1 END AS hit
+FROM RECS r LEFT JOIN REL rel ON rel.user_idx = r.user_idx AND rel.item_idx = r.item_idx"""),
+    "MAGG": (["HITS", "KS"], """
+SELECT h.model, h.user_idx, k.k, sum(hit) AS h,
+       sum(CASE WHEN hit = 1 THEN 1.0 / log2(rank + 1) ELSE 0 END) AS dcg,
+       min(CASE WHEN hit = 1 THEN rank END) AS first_hit
+FROM HITS h JOIN KS k ON h.rank <= k.k GROUP BY h.model, h.user_idx, k.k"""),
+    "PUM": (["NREL", "RECS", "KS", "MAGG", "IDCG"], """
+SELECT mo.model, n.user_idx, CAST(k.k AS INTEGER) AS k,
+       CAST(coalesce(a.h, 0) AS DOUBLE) / k.k AS precision,
+       CAST(coalesce(a.h, 0) AS DOUBLE) / n.n_rel AS recall,
+       coalesce(a.dcg, 0) / i.idcg AS ndcg,
+       coalesce(1.0 / a.first_hit, 0) AS mrr
+FROM NREL n CROSS JOIN (SELECT DISTINCT model FROM RECS) mo CROSS JOIN KS k
+JOIN IDCG i ON i.m = least(n.n_rel, k.k)
+LEFT JOIN MAGG a ON a.model = mo.model AND a.user_idx = n.user_idx AND a.k = k.k"""),
+    "EVAL": (["PUM"], """
+SELECT model, metric, k, value FROM (
+  SELECT model, k, avg(precision) AS precision, avg(recall) AS recall, avg(ndcg) AS ndcg,
+         avg(mrr) AS mrr FROM PUM GROUP BY model, k)
+UNPIVOT (value FOR metric IN (precision, recall, ndcg, mrr))"""),
     # ── context scorer ──
     "CMU": (["TR"], "SELECT avg(rating) AS mu FROM TR"),
     "GTB": (["TR", "CMU"], """

@@ -201,17 +201,8 @@ def q_content_score(spark, sf):
         "user_idx", "item_idx", r6("cbf_score").alias("cbf_score"))
 
 
-CONTENT_TOPN_SQL = sql("""
-SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM (
-  SELECT user_idx, item_idx, score,
-         CAST(row_number() OVER (PARTITION BY user_idx
-                                 ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
-  FROM (SELECT CU.user_idx, IP.item_idx, coalesce(COS.cos, 0) + 0.05 * IP.pop AS score
-        FROM CU CROSS JOIN IPOP IP
-        LEFT JOIN COS ON COS.user_idx = CU.user_idx AND COS.item_idx = IP.item_idx
-        WHERE NOT EXISTS (SELECT 1 FROM SEEN s
-                          WHERE s.user_idx = CU.user_idx AND s.item_idx = IP.item_idx)))
-WHERE rank <= 10""", "CU", "IPOP", "COS", "SEEN")
+CONTENT_TOPN_SQL = sql(
+    "SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM CR WHERE rank <= 10", "CR")
 
 
 @register("content_topn", CONTENT_TOPN_SQL)
@@ -256,3 +247,70 @@ def q_context_rerank(spark, sf):
     out = ctxm.context_rerank(base.select("user_idx", "item_idx", "score"), ctx, 0.15)
     return out.select("user_idx", F.col("rank").cast("long").alias("rank"), "item_idx",
                       r6("score").alias("score"))
+
+
+# ── metrics ─────────────────────────────────────────────────────────────────
+from rankloom.operators import metrics as km  # noqa: E402
+
+
+def eval_recs(spark, sf, n=20):
+    """Bias and content rankings (list length 20) as one (model, user, rank, item) table."""
+    p = prepare_retail(spark, sf)
+    bias = cf.bias_ranked(p.train, n=n).select(F.lit("bias").alias("model"), "user_idx",
+                                                "rank", "item_idx")
+    cont = cbf.content_topn(p.train, p.items, p.features, n=n).select(
+        F.lit("content").alias("model"), "user_idx", "rank", "item_idx")
+    return bias.unionByName(cont)
+
+
+def _per_user(spark, sf, model="bias"):
+    p = prepare_retail(spark, sf)
+    if model == "bias":
+        recs = cf.bias_ranked(p.train, n=20).select(F.lit("bias").alias("model"), "user_idx",
+                                                     "rank", "item_idx")
+    else:
+        recs = eval_recs(spark, sf)
+    return km.per_user_metrics(recs, split.relevant_pairs(p.test), models=[model])
+
+
+@register("precision_recall_at_k", sql("""
+SELECT user_idx, k, round(precision, 6) AS precision, round(recall, 6) AS recall
+FROM PUM WHERE model = 'bias'""", "PUM"))
+def q_precision_recall(spark, sf):
+    pu = _per_user(spark, sf)
+    return pu.select("user_idx", "k", r6("precision").alias("precision"),
+                     r6("recall").alias("recall"))
+
+
+@register("ndcg_at_k", sql(
+    "SELECT user_idx, k, round(ndcg, 6) AS ndcg FROM PUM WHERE model = 'bias'", "PUM"))
+def q_ndcg(spark, sf):
+    return _per_user(spark, sf).select("user_idx", "k", r6("ndcg").alias("ndcg"))
+
+
+@register("mrr_at_k", sql(
+    "SELECT user_idx, k, round(mrr, 6) AS mrr FROM PUM WHERE model = 'bias'", "PUM"))
+def q_mrr(spark, sf):
+    return _per_user(spark, sf).select("user_idx", "k", r6("mrr").alias("mrr"))
+
+
+@register("evaluate_models", sql(
+    "SELECT model, metric, CAST(k AS INTEGER) AS k, round(value, 6) AS value FROM EVAL", "EVAL"))
+def q_evaluate_models(spark, sf):
+    p = prepare_retail(spark, sf)
+    res = km.evaluate(eval_recs(spark, sf), split.relevant_pairs(p.test),
+                      models=["bias", "content"])
+    return res.select("model", "metric", "k", r6("value").alias("value"))
+
+
+@register("model_comparison", sql("""
+SELECT model, metric, CAST(k AS INTEGER) AS k, round(value, 6) AS value,
+       rank() OVER (PARTITION BY metric, k ORDER BY round(value, 9) DESC) = 1 AS is_best
+FROM EVAL""", "EVAL"))
+def q_model_comparison(spark, sf):
+    p = prepare_retail(spark, sf)
+    res = km.evaluate(eval_recs(spark, sf), split.relevant_pairs(p.test),
+                      models=["bias", "content"])
+    res = res.withColumn("value", F.round("value", 9))
+    return km.comparison(res).select("model", "metric", "k", r6("value").alias("value"),
+                                     "is_best")
