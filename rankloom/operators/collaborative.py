@@ -94,3 +94,17 @@ def bias_ranked(train: DataFrame, n: int = 10, pop_beta: float = C.CF_POP_BETA,
     ranked = top_n(scored, ["user_idx"], [score_key("score").desc(), F.col("item_idx")], n)
     return ranked.select("user_idx", F.col("rank").cast("long").alias("rank"), "item_idx",
                          "score")
+
+
+def popularity_ranked(train: DataFrame, n: int = 10, users: DataFrame | None = None,
+                      seen: DataFrame | None = None) -> DataFrame:
+    """Deterministic popularity scorer: log1p(Σw) over training items, top-n unseen."""
+    ib = item_bias(train)
+    order = sequence_within(ib, [], [F.col("pop_prior").desc(), F.col("item_idx")], rn="g",
+                            count=None)
+    users = train.select("user_idx").distinct() if users is None else users
+    cand = top_unseen(users, order, train if seen is None else seen, n)
+    scored = cand.join(order.select("item_idx", F.col("pop_prior").alias("score")), "item_idx")
+    ranked = top_n(scored, ["user_idx"], [score_key("score").desc(), F.col("item_idx")], n)
+    return ranked.select("user_idx", F.col("rank").cast("long").alias("rank"), "item_idx",
+                         "score")

@@ -93,7 +93,7 @@ def item_signatures(items: DataFrame, features: DataFrame) -> DataFrame:
 def content_topn(train: DataFrame, items: DataFrame, features: DataFrame, n: int = 10,
                  profiles: DataFrame | None = None, users: DataFrame | None = None,
                  seen: DataFrame | None = None, pop_weight: float = C.CBF_POP_WEIGHT,
-                 eps: float = 1e-8) -> DataFrame:
+                 eps: float = 1e-8, raw: bool = False) -> DataFrame:
     """Top-n unseen by cosine + 0.05·log1p(pop) for every user with a profile.
 
     ``profiles``/``users``/``seen`` default to those of ``train``; pass overrides for
@@ -139,7 +139,7 @@ def content_topn(train: DataFrame, items: DataFrame, features: DataFrame, n: int
     cand = cand_a.unionByName(cand_b).distinct()
     ranked = top_n(exact(cand), ["user_idx"], [score_key("score").desc(), F.col("item_idx")], n)
     return ranked.select("user_idx", F.col("rank").cast("long").alias("rank"), "item_idx",
-                         F.round("score", 6).alias("score"))
+                         F.col("score") if raw else F.round("score", 6).alias("score"))
 
 
 # ── EMA updates (B08–B10) ────────────────────────────────────────────────────

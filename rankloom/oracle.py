@@ -155,6 +155,27 @@ SELECT model, metric, k, value FROM (
   SELECT model, k, avg(precision) AS precision, avg(recall) AS recall, avg(ndcg) AS ndcg,
          avg(mrr) AS mrr FROM PUM GROUP BY model, k)
 UNPIVOT (value FOR metric IN (precision, recall, ndcg, mrr))"""),
+    "PR": (["CU", "IB", "SEEN"], """
+SELECT user_idx, item_idx, score,
+       CAST(row_number() OVER (PARTITION BY user_idx
+                               ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
+FROM (SELECT CU.user_idx, IB.item_idx, IB.pop_prior AS score FROM CU CROSS JOIN IB
+      WHERE NOT EXISTS (SELECT 1 FROM SEEN s
+                        WHERE s.user_idx = CU.user_idx AND s.item_idx = IB.item_idx))"""),
+    "FC": (["BR", "CR", "PR"], """
+SELECT 'bias' AS model, user_idx, item_idx, score FROM BR WHERE rank <= 200
+UNION ALL SELECT 'content' AS model, user_idx, item_idx, score FROM CR WHERE rank <= 200
+UNION ALL SELECT 'popularity' AS model, user_idx, item_idx, score FROM PR WHERE rank <= 200"""),
+    "NORMS": (["FC"], """
+SELECT model, user_idx, item_idx,
+       CASE WHEN mx = mn THEN 0.5 ELSE (score - mn) / (mx - mn) END AS norm
+FROM (SELECT *, min(score) OVER (PARTITION BY user_idx, model) AS mn,
+             max(score) OVER (PARTITION BY user_idx, model) AS mx FROM FC)"""),
+    "WIDE": (["NORMS"], """
+SELECT user_idx, item_idx, max(CASE WHEN model = 'bias' THEN norm END) AS n_0,
+       max(CASE WHEN model = 'content' THEN norm END) AS n_1,
+       max(CASE WHEN model = 'popularity' THEN norm END) AS n_2
+FROM NORMS GROUP BY user_idx, item_idx"""),
     # ── context scorer ──
     "CMU": (["TR"], "SELECT avg(rating) AS mu FROM TR"),
     "GTB": (["TR", "CMU"], """

@@ -314,3 +314,120 @@ def q_model_comparison(spark, sf):
     res = res.withColumn("value", F.round("value", 9))
     return km.comparison(res).select("model", "metric", "k", r6("value").alias("value"),
                                      "is_best")
+
+
+# ── latent factor scorer (rows-only checks; numpy check in tests) ───────────
+from rankloom.operators import svd  # noqa: E402
+
+_SVD: dict = {}
+
+
+def svd_model(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SVD:
+        _SVD[key] = svd.fit(prepare_retail(spark, sf).train)
+    return _SVD[key]
+
+
+@register("svd_predict")
+def q_svd_predict(spark, sf):
+    p = prepare_retail(spark, sf)
+    pairs = p.test.select("user_idx", "item_idx").distinct()
+    return svd.predict_pairs(svd_model(spark, sf), pairs).select(
+        "user_idx", "item_idx", r6("cf_score").alias("cf_score"))
+
+
+@register("svd_topn")
+def q_svd_topn(spark, sf):
+    p = prepare_retail(spark, sf)
+    out = svd.topn(svd_model(spark, sf), p.train, n=10)
+    return out.select("user_idx", "rank", "item_idx", r6("score").alias("score"))
+
+
+# ── fusion ──────────────────────────────────────────────────────────────────
+from rankloom.operators import fusion as hy  # noqa: E402
+
+FUSION_MODELS = ["bias", "content", "popularity"]
+
+
+def fusion_candidates(spark, sf, users=None, n_cand=200, seen=None):
+    """Top-200 candidates of the three deterministic scorers as one long table."""
+    p = prepare_retail(spark, sf)
+    b = cf.bias_ranked(p.train, n=n_cand, users=users, seen=seen)
+    c = cbf.content_topn(p.train, p.items, p.features, n=n_cand, users=users, seen=seen,
+                         raw=True)
+    q = cf.popularity_ranked(p.train, n=n_cand, users=users, seen=seen)
+    return (b.select(F.lit("bias").alias("model"), "user_idx", "item_idx", "score")
+            .unionByName(c.select(F.lit("content").alias("model"), "user_idx", "item_idx",
+                                  "score"))
+            .unionByName(q.select(F.lit("popularity").alias("model"), "user_idx", "item_idx",
+                                  "score")))
+
+
+@register("minmax_scores", sql(
+    "SELECT model, user_idx, item_idx, round(norm, 6) AS norm FROM NORMS", "NORMS"))
+def q_minmax_scores(spark, sf):
+    return hy.minmax(fusion_candidates(spark, sf)).select(
+        "model", "user_idx", "item_idx", r6("norm").alias("norm"))
+
+
+@register("fused_topn", sql("""
+SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM (
+  SELECT user_idx, item_idx, score,
+         CAST(row_number() OVER (PARTITION BY user_idx
+                                 ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
+  FROM (SELECT w.user_idx, w.item_idx,
+               CAST(0.3 AS DOUBLE) * coalesce(n_0, 0) + CAST(0.3 AS DOUBLE) * coalesce(n_1, 0)
+               + CAST(0.4 AS DOUBLE) * coalesce(n_2, 0)
+               + CAST(0.15 AS DOUBLE) * coalesce(CTX.ctx, 0) AS score
+        FROM WIDE w LEFT JOIN CTX ON CTX.item_idx = w.item_idx))
+WHERE rank <= 10""", "WIDE", "CTX"))
+def q_fused_topn(spark, sf):
+    p = prepare_retail(spark, sf)
+    ctx = ctxm.context_scores(p.items, p.features, p.train, [(12, 2)])
+    out = hy.fused_topn(fusion_candidates(spark, sf), FUSION_MODELS, (0.3, 0.3, 0.4), 10,
+                        ctx=ctx, alpha=0.15)
+    return out.select("user_idx", "rank", "item_idx", r6("score").alias("score"))
+
+
+_GRID_VALUES = ", ".join(f"({c}, {w1!r}, {w2!r}, {w3!r}, {a!r})"
+                         for c, w1, w2, w3, a in hy.weight_grid())
+
+
+@register("fusion_grid", sql("""
+SELECT combo_no, w1, w2, w3, alpha, round(ndcg, 6) AS ndcg FROM (
+  SELECT g.combo_no, g.w1, g.w2, g.w3, g.alpha,
+         coalesce(sum(u.ndcg), 0) / (SELECT count(*) FROM TU) AS ndcg
+  FROM GRID g LEFT JOIN (
+    SELECT t.combo_no, t.user_idx,
+           sum(CASE WHEN r.item_idx IS NOT NULL THEN 1.0 / log2(t.rank + 1) ELSE 0 END)
+             / max(i.idcg) AS ndcg
+    FROM (SELECT * FROM (
+            SELECT g.combo_no, w.user_idx, w.item_idx,
+                   row_number() OVER (PARTITION BY g.combo_no, w.user_idx
+                                      ORDER BY round(g.w1 * coalesce(w.n_0, 0) + g.w2 * coalesce(w.n_1, 0)
+                                                     + g.w3 * coalesce(w.n_2, 0)
+                                                     + g.alpha * coalesce(CTX.ctx, 0), 9) DESC,
+                                               w.item_idx) AS rank
+            FROM TW w CROSS JOIN GRID g LEFT JOIN CTX ON CTX.item_idx = w.item_idx)
+          WHERE rank <= 10) t
+    LEFT JOIN VREL r ON r.user_idx = t.user_idx AND r.item_idx = t.item_idx
+    JOIN (SELECT user_idx, count(*) AS n FROM VREL GROUP BY user_idx) nr ON nr.user_idx = t.user_idx
+    JOIN IDCG i ON i.m = least(nr.n, 10)
+    GROUP BY t.combo_no, t.user_idx) u ON u.combo_no = g.combo_no
+  GROUP BY g.combo_no, g.w1, g.w2, g.w3, g.alpha)""", "WIDE", "CTX", "VA", "IDCG", extra={
+    "VREL": "SELECT DISTINCT user_idx, item_idx FROM VA WHERE rating >= 3.5",
+    "TU": "SELECT user_idx FROM (SELECT DISTINCT user_idx FROM VREL) ORDER BY user_idx LIMIT 300",
+    "TW": "SELECT * FROM WIDE WHERE user_idx IN (SELECT user_idx FROM TU)",
+    "GRID": f"""SELECT CAST(combo_no AS INTEGER) AS combo_no, CAST(w1 AS DOUBLE) AS w1,
+                       CAST(w2 AS DOUBLE) AS w2, CAST(w3 AS DOUBLE) AS w3,
+                       CAST(alpha AS DOUBLE) AS alpha
+                FROM (VALUES {_GRID_VALUES}) AS t(combo_no, w1, w2, w3, alpha)"""}))
+def q_fusion_grid(spark, sf):
+    p = prepare_retail(spark, sf)
+    vrel = split.relevant_pairs(p.val)
+    sample = split.first_users(vrel, 300)
+    cands = fusion_candidates(spark, sf, users=sample)
+    ctx = ctxm.context_scores(p.items, p.features, p.train, [(12, 2)])
+    res = hy.grid_search(cands, FUSION_MODELS, vrel.join(sample, "user_idx"), ctx, k=10)
+    return res.select("combo_no", "w1", "w2", "w3", "alpha", r6("ndcg").alias("ndcg"))
