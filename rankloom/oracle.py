@@ -176,6 +176,108 @@ SELECT user_idx, item_idx, max(CASE WHEN model = 'bias' THEN norm END) AS n_0,
        max(CASE WHEN model = 'content' THEN norm END) AS n_1,
        max(CASE WHEN model = 'popularity' THEN norm END) AS n_2
 FROM NORMS GROUP BY user_idx, item_idx"""),
+    # ── explanations / serving ──
+    "EP": (["TE"], "SELECT DISTINCT user_idx, item_idx FROM TE"),
+    "LK": (["SV"], "SELECT user_idx, item_idx AS liked_idx, rn FROM SV WHERE rating >= 4.0"),
+    "CSEEN": (["SV"], "SELECT DISTINCT user_idx, item_idx FROM SV"),
+    "FM": (["EP", "IF", "LK"], """
+SELECT e.user_idx, e.item_idx, f.feature_pos, f.feature,
+       round(coalesce(c.c, 0) / greatest(coalesce(nl.nl, 0), 1), 4) AS share
+FROM EP e JOIN IF f ON f.item_idx = e.item_idx
+LEFT JOIN (SELECT LK.user_idx, IF.feature, count(*) AS c FROM LK JOIN IF ON IF.item_idx = LK.liked_idx
+           GROUP BY LK.user_idx, IF.feature) c ON c.user_idx = e.user_idx AND c.feature = f.feature
+LEFT JOIN (SELECT user_idx, count(*) AS nl FROM LK GROUP BY user_idx) nl ON nl.user_idx = e.user_idx"""),
+    "SIM": (["EP", "IF", "LK", "ITEMS"], """
+SELECT o.user_idx, o.item_idx, CAST(o.pos AS BIGINT) AS pos, o.liked_idx, i.name AS liked_name,
+       CAST(o.overlap AS BIGINT) AS overlap
+FROM (SELECT *, row_number() OVER (PARTITION BY user_idx, item_idx ORDER BY overlap DESC, rn) AS pos
+      FROM (SELECT e.user_idx, e.item_idx, l.liked_idx, l.rn, count(*) AS overlap
+            FROM EP e JOIN IF tf ON tf.item_idx = e.item_idx
+            JOIN LK l ON l.user_idx = e.user_idx AND l.liked_idx <> e.item_idx
+            JOIN IF lf ON lf.item_idx = l.liked_idx AND lf.feature = tf.feature
+            GROUP BY e.user_idx, e.item_idx, l.liked_idx, l.rn)) o
+JOIN ITEMS i ON i.item_idx = o.liked_idx WHERE o.pos <= 3"""),
+    "RAW": (["EP", "UB", "IB", "MU", "COS"], """
+SELECT e.user_idx, e.item_idx,
+       CASE WHEN UB.user_idx IS NULL OR IB.item_idx IS NULL THEN (SELECT mu FROM MU)
+            ELSE least(greatest((SELECT mu FROM MU) + UB.user_bias + IB.item_bias, 1.0), 5.0)
+       END / 5.0 AS cf_raw,
+       coalesce(COS.cos, 0) AS cbf_raw,
+       coalesce(IB.pop_prior, 0) / (SELECT max(pop_prior) FROM IB) AS ncf_raw
+FROM EP e LEFT JOIN UB ON UB.user_idx = e.user_idx LEFT JOIN IB ON IB.item_idx = e.item_idx
+LEFT JOIN COS ON COS.user_idx = e.user_idx AND COS.item_idx = e.item_idx"""),
+    "CON": (["RAW"], """
+SELECT user_idx, item_idx, cf_raw, cbf_raw, ncf_raw,
+       round(CAST(0.3 AS DOUBLE) * cf_raw / tot, 4) AS cf_contribution,
+       round(CAST(0.3 AS DOUBLE) * cbf_raw / tot, 4) AS cbf_contribution,
+       round(CAST(0.4 AS DOUBLE) * ncf_raw / tot, 4) AS ncf_contribution,
+       round(tot, 4) AS hybrid_score
+FROM (SELECT *, CASE WHEN t = 0 THEN 1e-9 ELSE t END AS tot
+      FROM (SELECT *, CAST(0.3 AS DOUBLE) * cf_raw + CAST(0.3 AS DOUBLE) * cbf_raw
+                      + CAST(0.4 AS DOUBLE) * ncf_raw AS t FROM RAW))"""),
+    "CRS": (["CU", "IPOP", "COS", "CSEEN"], """
+SELECT user_idx, item_idx, score,
+       CAST(row_number() OVER (PARTITION BY user_idx
+                               ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
+FROM (SELECT CU.user_idx, IP.item_idx, coalesce(COS.cos, 0) + 0.05 * IP.pop AS score
+      FROM CU CROSS JOIN IPOP IP
+      LEFT JOIN COS ON COS.user_idx = CU.user_idx AND COS.item_idx = IP.item_idx
+      WHERE NOT EXISTS (SELECT 1 FROM CSEEN s
+                        WHERE s.user_idx = CU.user_idx AND s.item_idx = IP.item_idx))"""),
+    "LOOK": (["ITEMS", "IF"], """
+SELECT ITEMS.item_idx, ITEMS.item_id, ITEMS.name,
+       coalesce(string_agg(IF.feature, ', ' ORDER BY IF.feature_pos), '') AS features
+FROM ITEMS LEFT JOIN IF ON IF.item_idx = ITEMS.item_idx
+GROUP BY ITEMS.item_idx, ITEMS.item_id, ITEMS.name"""),
+    "REQ": (["S"], """
+SELECT user_idx, item_idx, rating, interaction_weight AS engagement FROM S
+WHERE role = 'test' AND rn = c1 + 1"""),
+    "RA": (["REQ", "IV"], """
+SELECT *, least(0.6, 0.2 * (rating / 5.0) * greatest(engagement, 0.1)) AS alpha FROM REQ
+WHERE item_idx IN (SELECT item_idx FROM IV)"""),
+    "PREV": (["RA", "PROF", "IV"], """
+SELECT user_idx, feature, m / nrm AS value
+FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY user_idx)) AS nrm
+      FROM (SELECT user_idx, feature, (1.0 - alpha) * sum(p) + alpha * sum(v) AS m
+            FROM (SELECT RA.user_idx, RA.alpha, PROF.feature, PROF.value AS p, 0.0 AS v
+                  FROM RA JOIN PROF ON PROF.user_idx = RA.user_idx
+                  UNION ALL
+                  SELECT RA.user_idx, RA.alpha, IV.feature, 0.0 AS p, IV.value AS v
+                  FROM RA JOIN IV ON IV.item_idx = RA.item_idx)
+            GROUP BY user_idx, alpha, feature))
+WHERE nrm > 0"""),
+    "SESS": (["RA", "PREV", "IV", "IPOP", "CSEEN"], """
+SELECT user_idx, item_idx, score,
+       CAST(row_number() OVER (PARTITION BY user_idx
+                               ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
+FROM (SELECT u.user_idx, IP.item_idx, coalesce(c.cos, 0) + 0.05 * IP.pop AS score
+      FROM (SELECT DISTINCT user_idx FROM RA) u CROSS JOIN IPOP IP
+      LEFT JOIN (SELECT p.user_idx, v.item_idx, sum(p.value * v.value) AS cos
+                 FROM PREV p JOIN IV v ON v.feature = p.feature
+                 GROUP BY p.user_idx, v.item_idx) c
+        ON c.user_idx = u.user_idx AND c.item_idx = IP.item_idx
+      WHERE NOT EXISTS (SELECT 1 FROM CSEEN s
+                        WHERE s.user_idx = u.user_idx AND s.item_idx = IP.item_idx)
+        AND NOT EXISTS (SELECT 1 FROM RA r
+                        WHERE r.user_idx = u.user_idx AND r.item_idx = IP.item_idx))"""),
+    "EV": ([], """
+SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+       ts AS event_time, CAST(floor(epoch(ts)) AS BIGINT) AS "timestamp",
+       CASE WHEN event_type = 'view' THEN value ELSE 0.0 END AS view_time_sec,
+       event_type = 'click' AS clicked, event_type = 'purchase' AS ordered,
+       event_type = 'signup' AS liked, false AS wishlist, false AS add_to_cart,
+       CASE WHEN event_type = 'purchase' THEN CAST(least(5, 1 + floor(value / 25)) AS DOUBLE)
+       END AS rating
+FROM events WHERE event_type <> 'error'"""),
+    "ENG": (["EV"], """
+SELECT *, coalesce(rating, 3.0 + 2.0 * least((engagement - 1.0) / 3.5, 1.0)) AS effective_rating
+FROM (SELECT *, 1.0 + CASE WHEN clicked THEN 0.3 ELSE 0.0 END + CASE WHEN liked THEN 0.5 ELSE 0.0 END
+                    + CASE WHEN wishlist THEN 0.5 ELSE 0.0 END
+                    + CASE WHEN add_to_cart THEN 0.7 ELSE 0.0 END
+                    + CASE WHEN ordered THEN 1.0 ELSE 0.0 END
+                    + CASE WHEN view_time_sec > 0 THEN 0.5 * least(view_time_sec / 300.0, 1.0)
+                           ELSE 0.0 END AS engagement
+      FROM EV)"""),
     # ── context scorer ──
     "CMU": (["TR"], "SELECT avg(rating) AS mu FROM TR"),
     "GTB": (["TR", "CMU"], """

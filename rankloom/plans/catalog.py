@@ -431,3 +431,281 @@ def q_fusion_grid(spark, sf):
     ctx = ctxm.context_scores(p.items, p.features, p.train, [(12, 2)])
     res = hy.grid_search(cands, FUSION_MODELS, vrel.join(sample, "user_idx"), ctx, k=10)
     return res.select("combo_no", "w1", "w2", "w3", "alpha", r6("ndcg").alias("ndcg"))
+
+
+# ── explanations ────────────────────────────────────────────────────────────
+from rankloom.operators import explain as ex  # noqa: E402
+from rankloom.plans import serving as sv  # noqa: E402
+from rankloom.sources import fixtures as fx  # noqa: E402
+
+
+def explain_pairs(spark, sf):
+    return prepare_retail(spark, sf).test.select("user_idx", "item_idx").distinct()
+
+
+def deterministic_raw(spark, sf, pairs):
+    """E01 raw scores from deterministic scorers: bias prediction/5, cosine, popularity share."""
+    p = prepare_retail(spark, sf)
+    mu = cf._mu(p.train)
+    ub = cf.user_bias(p.train)
+    ib = cf.item_bias(p.train)
+    max_pop = ib.select(F.max("pop_prior")).scalar()
+    cos = cbf.pair_scores(pairs, cbf.user_profiles(p.train, p.features), p.features)
+    j = (pairs.join(ub, "user_idx", "left").join(ib, "item_idx", "left")
+         .join(cos, ["user_idx", "item_idx"], "left"))
+    cf_raw = F.when(F.col("user_bias").isNull() | F.col("item_bias").isNull(), mu).otherwise(
+        F.least(F.greatest(mu + F.col("user_bias") + F.col("item_bias"), F.lit(1.0)),
+                F.lit(5.0))) / 5.0
+    return j.select("user_idx", "item_idx", cf_raw.alias("cf_raw"),
+                    F.coalesce("cbf_score", F.lit(0.0)).alias("cbf_raw"),
+                    (F.coalesce("pop_prior", F.lit(0.0)) / max_pop).alias("ncf_raw"))
+
+
+@register("liked_history", sql("SELECT user_idx, liked_idx, rn FROM LK", "LK"))
+def q_liked_history(spark, sf):
+    return ex.liked_history(prepare_retail(spark, sf).serve_train)
+
+
+@register("feature_match", sql(
+    "SELECT user_idx, item_idx, feature_pos, feature, share FROM FM", "FM"))
+def q_feature_match(spark, sf):
+    p = prepare_retail(spark, sf)
+    out = ex.feature_match(explain_pairs(spark, sf), ex.liked_history(p.serve_train), p.features)
+    return out.select("user_idx", "item_idx", F.col("feature_pos").cast("int"), "feature", "share")
+
+
+@register("similar_liked", sql(
+    "SELECT user_idx, item_idx, pos, liked_idx, liked_name, overlap FROM SIM", "SIM"))
+def q_similar_liked(spark, sf):
+    p = prepare_retail(spark, sf)
+    return ex.similar_liked(explain_pairs(spark, sf), ex.liked_history(p.serve_train), p.items,
+                            p.features)
+
+
+@register("model_contributions", sql("""
+SELECT user_idx, item_idx, round(cf_raw, 4) AS cf_raw, round(cbf_raw, 4) AS cbf_raw,
+       round(ncf_raw, 4) AS ncf_raw, cf_contribution, cbf_contribution, ncf_contribution,
+       hybrid_score FROM CON""", "CON"))
+def q_model_contributions(spark, sf):
+    pairs = explain_pairs(spark, sf)
+    c = ex.contributions(deterministic_raw(spark, sf, pairs), (0.3, 0.3, 0.4))
+    return c.select("user_idx", "item_idx", F.round("cf_raw", 4).alias("cf_raw"),
+                    F.round("cbf_raw", 4).alias("cbf_raw"), F.round("ncf_raw", 4).alias("ncf_raw"),
+                    "cf_contribution", "cbf_contribution", "ncf_contribution", "hybrid_score")
+
+
+@register("contribution_percentages", sql("""
+SELECT user_idx, item_idx, model, round(contribution * 100, 6) AS pct FROM CON
+UNPIVOT (contribution FOR model IN (cf_contribution AS 'cf', cbf_contribution AS 'cbf',
+                                    ncf_contribution AS 'ncf'))""", "CON"))
+def q_contribution_percentages(spark, sf):
+    """Q13: contribution share × 100, one row per model.
+
+    Display code formats ``pct`` with one decimal; the job returns the number so the
+    value does not depend on an engine's half-way rounding of binary doubles.
+    """
+    pairs = explain_pairs(spark, sf)
+    c = ex.contributions(deterministic_raw(spark, sf, pairs), (0.3, 0.3, 0.4))
+    return c.select("user_idx", "item_idx", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.round(F.col(f"{m}_contribution") * 100, 6).alias("pct"))
+        for m in ("cf", "cbf", "ncf")])))
+
+
+@register("explain_sentence", sql("""
+SELECT c.user_idx, c.item_idx,
+       'Recommended because ' || concat_ws(', and ',
+          CASE WHEN tf.top_share > 0.1 THEN 'matches your love of ' || tf.top_feat || ' parts' END,
+          CASE WHEN s.liked_name IS NOT NULL
+               THEN 'is similar to ''' || s.liked_name || ''' which you enjoyed' END,
+          CASE WHEN c.cf_contribution >= c.cbf_contribution
+                    AND c.cf_contribution >= c.ncf_contribution
+               THEN 'users with similar taste rate it highly'
+               WHEN c.ncf_contribution > c.cbf_contribution
+               THEN 'our neural model predicts a strong match'
+               ELSE 'its features closely match your part profile' END) || '.' AS sentence
+FROM CON c
+LEFT JOIN (SELECT user_idx, item_idx, max(share) AS top_share,
+                  arg_max(feature, CAST(round(share * 10000) AS BIGINT) * 100 - feature_pos)
+                    AS top_feat
+           FROM FM GROUP BY user_idx, item_idx) tf
+  ON tf.user_idx = c.user_idx AND tf.item_idx = c.item_idx
+LEFT JOIN SIM s ON s.user_idx = c.user_idx AND s.item_idx = c.item_idx AND s.pos = 1""",
+    "CON", "FM", "SIM"))
+def q_explain_sentence(spark, sf):
+    p = prepare_retail(spark, sf)
+    pairs = explain_pairs(spark, sf)
+    liked = ex.liked_history(p.serve_train)
+    c = ex.contributions(deterministic_raw(spark, sf, pairs), (0.3, 0.3, 0.4))
+    fm = ex.feature_match(pairs, liked, p.features)
+    sim = ex.similar_liked(pairs, liked, p.items, p.features)
+    return ex.sentence(c, fm, sim, p.cfg.item_label)
+
+
+# ── serving ─────────────────────────────────────────────────────────────────
+@register("recommend", sql("""
+SELECT r.user_idx, r.rank, r.item_idx, l.item_id, l.name, l.features,
+       round(r.score, 6) AS score
+FROM CRS r JOIN LOOK l ON l.item_idx = r.item_idx WHERE r.rank <= 10""", "CRS", "LOOK"))
+def q_recommend(spark, sf):
+    """Q01: model=cbf, n=10, exclude_seen for every user; serving seen set (train+val)."""
+    p = prepare_retail(spark, sf)
+    ranked = cbf.content_topn(p.train, p.items, p.features, n=10,
+                              users=p.serve_train.select("user_idx").distinct()
+                              .join(p.train.select("user_idx").distinct(), "user_idx"),
+                              seen=p.serve_train)
+    out = sv.enrich(ranked, p.items, p.features)
+    return out.select("user_idx", "rank", "item_idx", "item_id", "name",
+                      F.array_join("features", ", ").alias("features"), "score")
+
+
+def _bound_requests(spark, sf):
+    e = fx.table(spark, sf, "events")
+    v = F.floor(F.col("value")).cast("int")
+    model = (F.when(F.col("event_type") == "click", "cf").when(F.col("event_type") == "view", "cbf")
+             .when(F.col("event_type") == "purchase", "ncf")
+             .when(F.col("event_type") == "signup", "hybrid").otherwise(F.col("event_type")))
+    return e.select("event_id", F.col("user_id").alias("user_idx"), F.pmod(v, F.lit(30)).alias("hour"),
+                    F.pmod(v, F.lit(9)).alias("dow"), (F.month("ts") - 1).alias("mon"),
+                    v.alias("n"), model.alias("model"), (F.col("value") / 20).alias("rating"),
+                    (F.col("value") - 40).alias("view_time_sec"))
+
+
+@register("request_bounds", sql("""
+SELECT event_id, reason IS NULL AS valid, reason FROM (
+  SELECT event_id, CASE
+    WHEN NOT (hour BETWEEN 0 AND 23) THEN 'hour must be 0-23'
+    WHEN NOT (dow BETWEEN 0 AND 6) THEN 'dow must be 0-6'
+    WHEN NOT (mon BETWEEN 0 AND 11) THEN 'mon must be 0-11'
+    WHEN NOT (n BETWEEN 1 AND 50) THEN 'n must be 1-50'
+    WHEN model NOT IN ('cf', 'cbf', 'ncf', 'hybrid') THEN 'model must be one of cf, cbf, ncf, hybrid'
+    WHEN rating IS NOT NULL AND NOT (rating BETWEEN 1.0 AND 5.0) THEN 'rating must be 1-5'
+    WHEN view_time_sec < 0 THEN 'view_time_sec must be >= 0' END AS reason
+  FROM (SELECT event_id, CAST(floor(value) AS INTEGER) % 30 AS hour,
+               CAST(floor(value) AS INTEGER) % 9 AS dow, month(ts) - 1 AS mon,
+               CAST(floor(value) AS INTEGER) AS n,
+               CASE event_type WHEN 'click' THEN 'cf' WHEN 'view' THEN 'cbf'
+                    WHEN 'purchase' THEN 'ncf' WHEN 'signup' THEN 'hybrid' ELSE event_type END
+                 AS model,
+               value / 20 AS rating, value - 40 AS view_time_sec FROM events))"""))
+def q_request_bounds(spark, sf):
+    """Request bounds on a request table derived from the events."""
+    return sv.request_bounds(_bound_requests(spark, sf)).select("event_id", "valid", "reason")
+
+
+@register("engagement_rating", sql("""
+SELECT event_id, round(engagement, 6) AS engagement, round(effective_rating, 6) AS effective_rating,
+       CASE WHEN rating IS NULL THEN 'inferred' ELSE 'explicit' END AS rating_source
+FROM ENG""", "ENG"))
+def q_engagement_rating(spark, sf):
+    out = sv.engagement(fx.event_interactions(spark, sf))
+    return out.select("event_id", r6("engagement").alias("engagement"),
+                      r6("effective_rating").alias("effective_rating"),
+                      F.when(F.col("rating").isNull(), "inferred").otherwise("explicit")
+                      .alias("rating_source"))
+
+
+def session_requests(p):
+    """Each user's first held-out interaction, used as "just interacted with" context."""
+    c1 = F.floor(F.col("n") * F.lit(1.0 - 0.2))
+    return (p.ratings.where((F.col("role") == "test") & (F.col("rn") == c1 + 1))
+            .select("user_idx", "item_idx", "rating",
+                    F.col("interaction_weight").alias("engagement")))
+
+
+def session_topn(spark, sf, n=5):
+    p = prepare_retail(spark, sf)
+    req = session_requests(p)
+    prof = cbf.user_profiles(p.train, p.features)
+    preview = sv.ema_preview_long(req, prof, p.features)
+    users = req.join(cbf.item_unit_vectors(p.features).select("item_idx").distinct(),
+                     "item_idx", "left_semi").select("user_idx").distinct()
+    seen = p.serve_train.select("user_idx", "item_idx").unionByName(
+        req.select("user_idx", "item_idx"))
+    return cbf.content_topn(p.train, p.items, p.features, n=n, profiles=preview, users=users,
+                            seen=seen)
+
+
+@register("ema_preview", sql("SELECT user_idx, feature, round(value, 6) AS value FROM PREV",
+                             "PREV"))
+def q_ema_preview(spark, sf):
+    """Previewed profiles after each user's first held-out interaction."""
+    p = prepare_retail(spark, sf)
+    prof = cbf.user_profiles(p.train, p.features)
+    return sv.ema_preview_long(session_requests(p), prof, p.features).select(
+        "user_idx", "feature", r6("value").alias("value"))
+
+
+@register("session_context_topn", sql(
+    "SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM SESS WHERE rank <= 5",
+    "SESS"))
+def q_session_context_topn(spark, sf):
+    return session_topn(spark, sf, 5)
+
+
+@register("rank_change", sql("""
+SELECT a.user_idx, a.item_idx FROM SESS a
+WHERE a.rank <= 5 AND NOT EXISTS (
+  SELECT 1 FROM CRS b WHERE b.user_idx = a.user_idx AND b.item_idx = a.item_idx AND b.rank <= 5)""",
+    "SESS", "CRS"))
+def q_rank_change(spark, sf):
+    """Q10: items new in a user's top 5 after the session update."""
+    p = prepare_retail(spark, sf)
+    after = session_topn(spark, sf, 5)
+    before = cbf.content_topn(p.train, p.items, p.features, n=5,
+                              users=after.select("user_idx").distinct(), seen=p.serve_train)
+    return sv.rank_change(before, after, 5)
+
+
+@register("item_lookup", sql("SELECT item_idx, item_id, name, features FROM LOOK", "LOOK"))
+def q_item_lookup(spark, sf):
+    p = prepare_retail(spark, sf)
+    return sv.item_lookup(p.items, p.features).withColumn(
+        "features", F.array_join("features", ", "))
+
+
+@register("user_page", sql("SELECT user_id FROM UM ORDER BY user_id LIMIT 20 OFFSET 20", "UM"))
+def q_user_page(spark, sf):
+    p = prepare_retail(spark, sf)
+    from rankloom.operators.ingest import stub_users
+    return sv.user_page(stub_users(p.ratings), 20, 20)
+
+
+@register("user_history", sql("""
+SELECT user_idx, CAST(pos AS BIGINT) AS pos, item_idx, name, rating, "timestamp" FROM (
+  SELECT S.user_idx, S.item_idx, ITEMS.name, S.rating, S."timestamp",
+         row_number() OVER (PARTITION BY S.user_idx ORDER BY S."timestamp" DESC, S.item_idx) AS pos
+  FROM S JOIN ITEMS ON ITEMS.item_idx = S.item_idx) WHERE pos <= 20""", "S", "ITEMS"))
+def q_user_history(spark, sf):
+    p = prepare_retail(spark, sf)
+    h = sv.user_history(p.ratings, 20).join(p.items.select("item_idx", "name"), "item_idx")
+    return h.select("user_idx", F.col("pos").cast("long").alias("pos"), "item_idx", "name",
+                    "rating", "timestamp")
+
+
+HIST50 = """
+SELECT * FROM (SELECT S.*, row_number() OVER (PARTITION BY user_idx
+                                              ORDER BY "timestamp" DESC, item_idx) AS pos FROM S)
+WHERE pos <= 50"""
+
+
+@register("rating_histogram", sql("""
+SELECT user_idx, bin, CAST(count(*) AS BIGINT) AS n, round(1.0 + bin * (4.0 / 9), 6) AS bin_lo,
+       round(1.0 + (bin + 1) * (4.0 / 9), 6) AS bin_hi
+FROM (SELECT user_idx, CAST(least(greatest(floor((rating - 1.0) / (4.0 / 9)), 0), 8) AS INTEGER)
+        AS bin FROM H50) GROUP BY user_idx, bin""", "S", extra={"H50": HIST50}))
+def q_rating_histogram(spark, sf):
+    """Q11: 9-bin rating histogram of each user's latest 50 interactions."""
+    h = sv.user_history(prepare_retail(spark, sf).ratings, 50)
+    out = sv.rating_histogram(h)
+    return out.select("user_idx", "bin", "n", r6("bin_lo").alias("bin_lo"),
+                      r6("bin_hi").alias("bin_hi"))
+
+
+@register("history_feature_counts", sql("""
+SELECT H50.user_idx, IF.feature, CAST(count(*) AS BIGINT) AS n
+FROM H50 JOIN IF ON IF.item_idx = H50.item_idx GROUP BY H50.user_idx, IF.feature""",
+    "S", "IF", extra={"H50": HIST50}))
+def q_history_feature_counts(spark, sf):
+    """Q12: feature counts over each user's latest 50 interactions."""
+    p = prepare_retail(spark, sf)
+    return sv.history_feature_counts(sv.user_history(p.ratings, 50), p.features)
