@@ -278,6 +278,18 @@ FROM (SELECT *, 1.0 + CASE WHEN clicked THEN 0.3 ELSE 0.0 END + CASE WHEN liked
                     + CASE WHEN view_time_sec > 0 THEN 0.5 * least(view_time_sec / 300.0, 1.0)
                            ELSE 0.0 END AS engagement
       FROM EV)"""),
+    # ── validation / preparation ──
+    "DR0": (["R"], """
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id,
+       CASE WHEN _key % 97 = 0 THEN 'bad' ELSE CAST(rating AS VARCHAR) END AS rating,
+       CASE WHEN _key % 101 = 0 THEN NULL ELSE CAST("timestamp" AS VARCHAR) END AS "timestamp",
+       CASE WHEN _key % 107 = 0 THEN '-1' ELSE CAST(view_time_sec AS VARCHAR) END AS view_time_sec,
+       CAST(liked AS VARCHAR) AS liked,
+       CASE WHEN _key % 103 = 0 THEN '2' ELSE CAST(add_to_cart AS VARCHAR) END AS add_to_cart,
+       CAST(ordered AS VARCHAR) AS ordered, _key
+FROM R"""),
+    "DR": (["DR0"], "SELECT * FROM DR0 UNION ALL SELECT * FROM DR0 WHERE _key % 109 = 0"),
+    "DITEMS": (["PART"], "SELECT * FROM PART WHERE item_id % 50 <> 0"),
     # ── context scorer ──
     "CMU": (["TR"], "SELECT avg(rating) AS mu FROM TR"),
     "GTB": (["TR", "CMU"], """

@@ -709,3 +709,170 @@ def q_history_feature_counts(spark, sf):
     """Q12: feature counts over each user's latest 50 interactions."""
     p = prepare_retail(spark, sf)
     return sv.history_feature_counts(sv.user_history(p.ratings, 50), p.features)
+
+
+# ── validation ──────────────────────────────────────────────────────────────
+from rankloom.config import RETAIL_CONFIG  # noqa: E402
+from rankloom.operators import prepare as prep  # noqa: E402
+from rankloom.operators import validate as va  # noqa: E402
+
+
+def _check_sql() -> str:
+    parts = []
+
+    def cnt(name, cond):
+        parts.append(f"SELECT '{name}' AS \"check\", "
+                     f"CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS n FROM DR")
+
+    for c in ("rating", "timestamp"):
+        cnt(f"{c}_empty", f'"{c}" IS NULL')
+        cnt(f"{c}_non_numeric", f'"{c}" IS NOT NULL AND TRY_CAST("{c}" AS DOUBLE) IS NULL')
+    for c in ("user_id", "item_id"):
+        cnt(f"{c}_empty", f"{c} IS NULL")
+    for c in ("liked", "add_to_cart", "ordered"):
+        cnt(f"flag_values:{c}", f"TRY_CAST({c} AS DOUBLE) IS NOT NULL "
+                                f"AND TRY_CAST({c} AS DOUBLE) NOT IN (0.0, 1.0)")
+    cnt("view_time_negative", "TRY_CAST(view_time_sec AS DOUBLE) < 0")
+    parts.append("SELECT 'few_rows' AS \"check\", "
+                 "CAST(CASE WHEN count(*) < 100 THEN 1 ELSE 0 END AS BIGINT) AS n FROM DR")
+    for f in RETAIL_CONFIG.feature_cols:
+        parts.append(f"SELECT 'feature_non_binary:{f}' AS \"check\", CAST(count(*) FILTER ("
+                     f"WHERE item_id % 40 = 0 AND list_contains(list_slice(categories, 2, 4), "
+                     f"'{f}')) AS BIGINT) AS n FROM DITEMS")
+    return "\nUNION ALL ".join(parts)
+
+
+def dirty_inputs(spark, sf):
+    return (fx.retail_ratings_text(spark, sf, dirty=True),
+            fx.retail_items(spark, sf, RETAIL_CONFIG, dirty=True))
+
+
+@register("validation_checks", sql(_check_sql(), "DR", "DITEMS"))
+def q_validation_checks(spark, sf):
+    """V02–V04, V06–V08, V10 on the dirtied upload: one row per check."""
+    ratings, items = dirty_inputs(spark, sf)
+    r = va.ratings_check_counts(ratings.drop("_key"))
+    i = va.feature_non_binary(items, RETAIL_CONFIG).select(
+        F.concat(F.lit("feature_non_binary:"), F.col("feature")).alias("check"), "n")
+    return r.unionByName(i)
+
+
+@register("duplicate_interactions", sql("""
+SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicates
+FROM (SELECT count(*) AS c FROM DR GROUP BY user_id, item_id, "timestamp")""", "DR"))
+def q_duplicate_interactions(spark, sf):
+    ratings, _ = dirty_inputs(spark, sf)
+    return va.duplicate_count(ratings)
+
+
+@register("orphan_items", sql("""
+SELECT DISTINCT item_id FROM DR
+WHERE item_id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM DITEMS)""", "DR", "DITEMS"))
+def q_orphan_items(spark, sf):
+    ratings, items = dirty_inputs(spark, sf)
+    return va.orphan_items(ratings, items.withColumn("item_id", F.col("item_id").cast("string")))
+
+
+@register("validation_report")
+def q_validation_report(spark, sf):
+    """The assembled report on the dirtied upload (unit-tested messages)."""
+    ratings, items = dirty_inputs(spark, sf)
+    return va.report(ratings.drop("_key"), items, RETAIL_CONFIG)
+
+
+# ── preparation ─────────────────────────────────────────────────────────────
+RECENT_N = 20000
+
+
+def _typed_with_copies(spark, sf):
+    r = fx.retail_ratings(spark, sf)
+    return r.unionByName(r.where(F.col("_key") % 109 == 0))
+
+
+@register("dedup_first", sql("""
+SELECT DISTINCT user_id, item_id, "timestamp", rating FROM R""", "R"))
+def q_dedup_first(spark, sf):
+    """I11 on fixture R with every 109th order key repeated (first copy kept)."""
+    r = _typed_with_copies(spark, sf).select("user_id", "item_id", "timestamp", "rating", "_key")
+    return prep.dedup_first(r, order="_key").drop("_key")
+
+
+def _recent(spark, sf):
+    r = fx.retail_ratings(spark, sf).select("user_id", "item_id", "timestamp")
+    return prep.most_recent(r, RECENT_N, order=("user_id", "item_id"))
+
+
+RECENT_SQL = f"""
+SELECT user_id, item_id, "timestamp" FROM R
+ORDER BY "timestamp" DESC, user_id, item_id LIMIT {RECENT_N}"""
+
+
+@register("most_recent_n", sql('SELECT user_id, item_id, "timestamp" FROM RECENT', "R",
+                               extra={"RECENT": RECENT_SQL}))
+def q_most_recent_n(spark, sf):
+    return _recent(spark, sf)
+
+
+def _core_sql() -> dict:
+    out, prev = {}, "RECENT"
+    for i in range(1, 4):
+        out[f"K{i}"] = f"""
+SELECT * FROM {prev}
+WHERE user_id IN (SELECT user_id FROM {prev} GROUP BY user_id HAVING count(*) >= 3)
+  AND item_id IN (SELECT item_id FROM {prev} GROUP BY item_id HAVING count(*) >= 3)"""
+        prev = f"K{i}"
+    return out
+
+
+@register("three_core", sql('SELECT user_id, item_id, "timestamp" FROM K3', "R",
+                            extra={"RECENT": RECENT_SQL, **_core_sql()}))
+def q_three_core(spark, sf):
+    """Three rounds of the 3-core filter after the most-recent cap."""
+    return prep.k_core(_recent(spark, sf))
+
+
+def _meta(spark, sf):
+    p = fx.part_categories(spark, sf)
+    return p.select(F.col("item_id").alias("asin"), F.col("product_name").alias("title"),
+                    "categories", F.col("item_id").alias("row_no"))
+
+
+def _clean_meta(spark, sf):
+    rated = fx.retail_ratings(spark, sf).select("item_id")
+    return prep.clean_metadata(_meta(spark, sf), rated), rated
+
+
+VOCAB_SQL = """
+SELECT CAST(row_number() OVER (ORDER BY n DESC, first_key) AS BIGINT) AS rank, category,
+       CAST(n AS BIGINT) AS n
+FROM (SELECT category, count(*) AS n, min(first_row * 100 + pos) AS first_key
+      FROM (SELECT m.item_id AS first_row, u.category, u.pos
+            FROM (SELECT item_id, categories FROM PART
+                  WHERE item_id IN (SELECT item_id FROM R)) m,
+                 LATERAL (SELECT trim(c) AS category, i AS pos
+                          FROM (SELECT unnest(m.categories[2:]) AS c,
+                                       generate_subscripts(m.categories[2:], 1) AS i)) u
+            WHERE length(u.category) > 1)
+      GROUP BY category)
+ORDER BY n DESC, first_key LIMIT 12"""
+
+
+@register("feature_vocabulary", sql("SELECT rank, category, n FROM VOCAB", "PART", "R",
+                                    extra={"VOCAB": VOCAB_SQL}))
+def q_feature_vocabulary(spark, sf):
+    """I14 + I15 on part metadata restricted to rated items."""
+    meta, _ = _clean_meta(spark, sf)
+    return prep.vocabulary(meta)
+
+
+@register("multi_hot", sql("""
+SELECT m.item_id, v.category,
+       CAST(list_contains(list_transform(m.categories[2:], lambda c: trim(c)), v.category) AS INTEGER)
+         AS flag
+FROM (SELECT item_id, categories FROM PART WHERE item_id IN (SELECT item_id FROM R)) m
+CROSS JOIN VOCAB v""", "PART", "R", extra={"VOCAB": VOCAB_SQL}))
+def q_multi_hot(spark, sf):
+    """I16 in long form over the top-12 vocabulary."""
+    meta, rated = _clean_meta(spark, sf)
+    names = [r["category"] for r in prep.vocabulary(meta).orderBy("rank").collect()]
+    return prep.multi_hot_long(rated, meta, names)
