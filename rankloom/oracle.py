@@ -290,6 +290,25 @@ SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id,
 FROM R"""),
     "DR": (["DR0"], "SELECT * FROM DR0 UNION ALL SELECT * FROM DR0 WHERE _key % 109 = 0"),
     "DITEMS": (["PART"], "SELECT * FROM PART WHERE item_id % 50 <> 0"),
+    # ── streaming (fixture E) ──
+    "DV": (["IM", "FEAT", "IV"], """
+SELECT IM.item_id, list(coalesce(IV.value, 0.0) ORDER BY FEAT.feature_pos) AS vec
+FROM IM CROSS JOIN FEAT
+LEFT JOIN IV ON IV.item_idx = IM.item_idx AND IV.feature = FEAT.feature
+WHERE IM.item_idx IN (SELECT item_idx FROM IV) GROUP BY IM.item_id"""),
+    "BP": (["UM", "FEAT", "PROF"], """
+SELECT UM.user_id, list(coalesce(PROF.value, 0.0) ORDER BY FEAT.feature_pos) AS base
+FROM UM CROSS JOIN FEAT
+LEFT JOIN PROF ON PROF.user_idx = UM.user_idx AND PROF.feature = FEAT.feature
+WHERE UM.user_idx IN (SELECT user_idx FROM PROF) GROUP BY UM.user_id"""),
+    "EVX": (["ENG", "DV"], """
+SELECT e.user_id, e.event_id,
+       row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_time, e.event_id) AS rn,
+       dv.vec,
+       CASE WHEN dv.vec IS NULL THEN 0.0
+            ELSE least(0.6, 0.2 * (e.effective_rating / 5.0) * greatest(e.engagement, 0.1)) END
+         AS alpha
+FROM ENG e LEFT JOIN DV dv ON dv.item_id = e.item_id"""),
     # ── context scorer ──
     "CMU": (["TR"], "SELECT avg(rating) AS mu FROM TR"),
     "GTB": (["TR", "CMU"], """

@@ -876,3 +876,119 @@ def q_multi_hot(spark, sf):
     meta, rated = _clean_meta(spark, sf)
     names = [r["category"] for r in prep.vocabulary(meta).orderBy("rank").collect()]
     return prep.multi_hot_long(rated, meta, names)
+
+
+# ── streaming ───────────────────────────────────────────────────────────────
+from rankloom.streaming import jobs as st  # noqa: E402
+
+N_FEAT = len(RETAIL_CONFIG.feature_cols)
+
+
+def _events_glob(sf):
+    return f"{sf.rstrip('/')}/events*.parquet"
+
+
+def stream_statics(spark, sf):
+    """Item vectors by item_id and base profiles by user_id (dense, config order)."""
+    p = prepare_retail(spark, sf)
+    vecs = (cbf.dense_item_vectors(p.features, RETAIL_CONFIG.feature_cols)
+            .join(p.item_map, "item_idx").select("item_id", "vec"))
+    base = (cbf.dense_profiles(cbf.user_profiles(p.train, p.features), RETAIL_CONFIG.feature_cols)
+            .join(p.user_map, "user_idx").select("user_id", F.col("profile").alias("base")))
+    return vecs, base
+
+
+_STREAM_MEMO: dict = {}
+
+
+def profile_run(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STREAM_MEMO:
+        vecs, base = stream_statics(spark, sf)
+        ups = st.profile_stream(fx.event_stream(spark, _events_glob(sf)), vecs, base, N_FEAT)
+        _STREAM_MEMO[key] = st.run_to_table(ups, ["user_id"], "profiles")
+    return _STREAM_MEMO[key]
+
+
+@register("ema_replay", sql("""
+SELECT r.user_id, CAST(i - 1 AS INTEGER) AS feature_pos, round(r.p[i], 6) AS value
+FROM REC r JOIN (SELECT user_id, max(rn) AS n FROM EVX GROUP BY user_id) m
+  ON m.user_id = r.user_id AND r.step = m.n
+CROSS JOIN range(1, 23) AS t(i)""", "EVX", "BP", extra={"REC": """
+SELECT u.user_id, 0 AS step,
+       coalesce(BP.base, list_transform(range(22), lambda i: 0.0)) AS p
+FROM (SELECT DISTINCT user_id FROM EVX) u LEFT JOIN BP ON BP.user_id = u.user_id
+UNION ALL
+SELECT r.user_id, r.step + 1,
+       CASE WHEN x.alpha > 0 THEN list_transform(
+              list_transform(list_zip(r.p, x.vec), lambda t: (1.0 - x.alpha) * t[1] + x.alpha * t[2]),
+              lambda y: y / sqrt(list_sum(list_transform(
+                  list_transform(list_zip(r.p, x.vec),
+                                 lambda t: (1.0 - x.alpha) * t[1] + x.alpha * t[2]),
+                  lambda z: z * z))))
+            ELSE r.p END
+FROM REC r JOIN EVX x ON x.user_id = r.user_id AND x.rn = r.step + 1"""}).replace(
+    "WITH ", "WITH RECURSIVE ", 1))
+def q_ema_replay(spark, sf):
+    """Profiles after replaying every event in order through the keyed state."""
+    out = profile_run(spark, sf)
+    return out.select("user_id", F.posexplode("profile").alias("feature_pos", "value")).select(
+        "user_id", F.col("feature_pos").cast("int"), r6("value").alias("value"))
+
+
+@register("stream_profiles", sql("""
+SELECT user_id, CAST(count(*) AS BIGINT) AS n_events,
+       round(arg_max(alpha, rn), 6) AS last_alpha FROM EVX GROUP BY user_id""", "EVX"))
+def q_stream_profiles(spark, sf):
+    """Per user, events applied and the step size of the last one."""
+    return profile_run(spark, sf).select("user_id", "n_events", r6("last_alpha").alias("last_alpha"))
+
+
+@register("stream_seen", sql("SELECT DISTINCT user_id, item_id FROM EV", "EV"))
+def q_stream_seen(spark, sf):
+    s = st.seen_stream(fx.event_stream(spark, _events_glob(sf)))
+    return st.run_to_table(s, [], "seen", output_mode="append")
+
+
+@register("stream_popularity", sql("""
+SELECT item_id, round(sum(engagement), 6) AS weight, CAST(count(*) AS BIGINT) AS events
+FROM ENG GROUP BY item_id""", "ENG"))
+def q_stream_popularity(spark, sf):
+    s = st.popularity_stream(fx.event_stream(spark, _events_glob(sf)))
+    out = st.run_to_table(s, ["item_id"], "popularity")
+    return out.select("item_id", r6("weight").alias("weight"), "events")
+
+
+@register("stream_windows", sql("""
+SELECT date_trunc('day', e.event_time) AS window_start, f.feature,
+       CAST(count(*) AS BIGINT) AS events, round(avg(e.effective_rating), 6) AS avg_rating
+FROM ENG e JOIN IM ON IM.item_id = e.item_id JOIN IF f ON f.item_idx = IM.item_idx
+GROUP BY 1, 2""", "ENG", "IM", "IF"))
+def q_stream_windows(spark, sf):
+    p = prepare_retail(spark, sf)
+    feats = p.features.join(p.item_map, "item_idx").select("item_id", "feature")
+    s = st.window_stream(fx.event_stream(spark, _events_glob(sf)), feats)
+    out = st.run_to_table(s, ["window_start", "feature"], "windows")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "feature",
+                      "events", r6("avg_rating").alias("avg_rating"))
+
+
+@register("stream_rerank")
+def q_stream_rerank(spark, sf):
+    """Each micro-batch re-ranks (content, top 10) the users it touched."""
+    p = prepare_retail(spark, sf)
+    vecs, base = stream_statics(spark, sf)
+    ups = st.profile_stream(fx.event_stream(spark, _events_glob(sf), max_files=1), vecs, base,
+                            N_FEAT)
+    feats = RETAIL_CONFIG.feature_cols
+
+    def rerank(batch):
+        touched = batch.join(p.user_map, "user_id")
+        prof = (touched.select("user_idx", F.posexplode("profile").alias("_pos", "value"))
+                .where(F.col("value") != 0)
+                .select("user_idx", F.element_at(F.array(*[F.lit(f) for f in feats]),
+                                                 F.col("_pos") + 1).alias("feature"), "value"))
+        return cbf.content_topn(p.train, p.items, p.features, n=10, profiles=prof,
+                                users=touched.select("user_idx"), seen=p.serve_train)
+
+    return st.run_rerank(ups, rerank, "rerank")

@@ -108,8 +108,12 @@ def retail_items(spark: SparkSession, sf_dir: str, cfg: DatasetConfig = RETAIL_C
 
 def event_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture E: one row per non-error event with behaviour flags and optional rating."""
-    e = table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", "props")
+    return events_to_interactions(table(spark, sf_dir, "events"))
+
+
+def events_to_interactions(events: DataFrame) -> DataFrame:
+    """Fixture E projection; works on a static or a streaming ``events`` DataFrame."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     t = F.col("event_type")
     return e.where(t != "error").select(
         "event_id",
@@ -126,3 +130,12 @@ def event_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(t == "purchase", F.least(F.lit(5.0), F.lit(1.0) + F.floor(F.col("value") / 25)))
         .cast("double").alias("rating"),
     )
+
+
+def event_stream(spark: SparkSession, path_glob: str, max_files: int | None = None) -> DataFrame:
+    """The events table as a file stream (schema taken from the files, not inferred)."""
+    schema = spark.read.parquet(path_glob).schema
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path_glob)
