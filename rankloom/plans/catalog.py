@@ -992,3 +992,96 @@ def q_stream_rerank(spark, sf):
                                 users=touched.select("user_idx"), seen=p.serve_train)
 
     return st.run_rerank(ups, rerank, "rerank")
+
+
+# ── neural scorer ───────────────────────────────────────────────────────────
+from rankloom.operators import neural as ncf  # noqa: E402
+
+_NCF: dict = {}
+NCF_EPOCHS = 15
+
+
+def index_sizes(p):
+    row = p.ratings.agg(F.max("user_idx").alias("u"), F.max("item_idx").alias("i")).first()
+    return int(row["u"]) + 1, int(row["i"]) + 1
+
+
+def ncf_model(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _NCF:
+        p = prepare_retail(spark, sf)
+        n_users, n_items = index_sizes(p)
+        _NCF[key] = ncf.fit(p.train, n_users, n_items, epochs=NCF_EPOCHS)
+    return _NCF[key]
+
+
+@register("negative_sample", sql("""
+SELECT t.user_idx, CAST(count(*) AS BIGINT) AS n_pos,
+       CAST(least(4 * count(*), (SELECT count(*) FROM IM) - count(DISTINCT t.item_idx)) AS BIGINT)
+         AS n_neg,
+       CAST(0 AS BIGINT) AS n_bad
+FROM TR t GROUP BY t.user_idx""", "TR", "IM"))
+def q_negative_sample(spark, sf):
+    """Positives and sampled negatives per user; ``n_bad`` counts seen/duplicate draws."""
+    p = prepare_retail(spark, sf)
+    _, n_items = index_sizes(p)
+    neg = ncf.negative_sample(p.train, n_items)
+    seen = p.train.select("user_idx", "item_idx").distinct()
+    bad = (neg.join(seen, ["user_idx", "item_idx"], "left_semi")
+           .unionByName(neg.groupBy("user_idx", "item_idx").count().where(F.col("count") > 1)
+                        .select("user_idx", "item_idx"))
+           .groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_bad")))
+    pos = p.train.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_pos"))
+    negc = neg.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_neg"))
+    return (pos.join(negc, "user_idx", "left").join(bad, "user_idx", "left")
+            .select("user_idx", F.col("n_pos").cast("long"),
+                    F.coalesce("n_neg", F.lit(0)).cast("long").alias("n_neg"),
+                    F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad")))
+
+
+@register("median_context", sql("""
+SELECT user_idx, CAST(floor(median(hour)) AS INTEGER) AS med_hour,
+       CAST(floor(median(day_of_week)) AS INTEGER) AS med_day_of_week,
+       CAST(floor(median(month)) AS INTEGER) AS med_month
+FROM TR GROUP BY user_idx""", "TR"))
+def q_median_context(spark, sf):
+    return ncf.median_context(prepare_retail(spark, sf).train)
+
+
+@register("neural_training")
+def q_neural_training(spark, sf):
+    """Per-epoch train and validation loss of the data-parallel fit."""
+    m = ncf_model(spark, sf)
+    return spark.createDataFrame(m.history, "epoch long, train_loss double, val_loss double")
+
+
+@register("neural_predict")
+def q_neural_predict(spark, sf):
+    """Probability for every held-out pair at the default context (12, 2, 5)."""
+    p = prepare_retail(spark, sf)
+    pairs = p.test.select("user_idx", "item_idx").distinct()
+    return ncf.predict_pairs(ncf_model(spark, sf), pairs).select(
+        "user_idx", "item_idx", r6("ncf_score").alias("ncf_score"))
+
+
+@register("neural_topn")
+def q_neural_topn(spark, sf):
+    """Top-10 unseen over the full index range for every user with training rows."""
+    p = prepare_retail(spark, sf)
+    out = ncf.topn(ncf_model(spark, sf), p.train.select("user_idx"), p.train, n=10)
+    return out.select("user_idx", "rank", "item_idx", r6("score").alias("score"))
+
+
+@register("neural_attribution")
+def q_neural_attribution(spark, sf):
+    """Exact Shapley values for each user's first held-out interaction (100-row
+    background of training rows, chosen by hash with seed 42)."""
+    p = prepare_retail(spark, sf)
+    req = session_requests(p).join(p.ratings.select("user_idx", "item_idx", "hour",
+                                                    "day_of_week", "month"),
+                                   ["user_idx", "item_idx"]).dropDuplicates(["user_idx"])
+    bg = (p.train.select("user_idx", "item_idx", "hour", "day_of_week", "month")
+          .orderBy(F.xxhash64("user_idx", "item_idx", "hour", F.lit(42))).limit(100))
+    out = ncf.shapley(ncf_model(spark, sf), req, bg)
+    return out.select("user_idx", "item_idx", *[r6(c).alias(c) for c in (
+        "phi_user", "phi_item", "phi_hour", "phi_dow", "phi_month", "base_value", "prediction")])
