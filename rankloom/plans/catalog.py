@@ -1085,3 +1085,71 @@ def q_neural_attribution(spark, sf):
     out = ncf.shapley(ncf_model(spark, sf), req, bg)
     return out.select("user_idx", "item_idx", *[r6(c).alias(c) for c in (
         "phi_user", "phi_item", "phi_hour", "phi_dow", "phi_month", "base_value", "prediction")])
+
+
+# ── full hybrid over the real scorers (rows-only: depends on the neural fit) ──
+from rankloom.plans import training as tr  # noqa: E402
+
+_TUNED: dict = {}
+
+
+def trained(spark, sf):
+    return tr.Trained(svd_model(spark, sf), ncf_model(spark, sf), NCF_EPOCHS)
+
+
+def tuned(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TUNED:
+        grid = tr.tune(prepare_retail(spark, sf), trained(spark, sf)).checkpoint(eager=True)
+        _TUNED[key] = (grid, *tr.best_weights(grid))
+    return _TUNED[key]
+
+
+@register("hybrid_tuning")
+def q_hybrid_tuning(spark, sf):
+    """Mean NDCG@10 of all 198 settings for the real cf/cbf/ncf candidates."""
+    grid = tuned(spark, sf)[0]
+    return grid.select("combo_no", "w1", "w2", "w3", "alpha", r6("ndcg").alias("ndcg"))
+
+
+@register("hybrid_recommend")
+def q_hybrid_recommend(spark, sf):
+    """Q01 (model=hybrid): tuned fusion, context (12, 2, 5), top 10, serving seen set."""
+    p = prepare_retail(spark, sf)
+    _, weights, alpha, _ = tuned(spark, sf)
+    users = p.serve_train.select("user_idx").distinct()
+    out = tr.hybrid_topn(p, trained(spark, sf), users, p.serve_train, weights, alpha, n=10)
+    return sv.enrich(out, p.items, p.features).select(
+        "user_idx", "rank", "item_idx", "item_id", "name", r6("score").alias("score"))
+
+
+@register("evaluate_all")
+def q_evaluate_all(spark, sf):
+    """Cf, cbf, ncf and hybrid on the held-out part, k = 5, 10, 20."""
+    _, weights, alpha, _ = tuned(spark, sf)
+    res, _ = tr.evaluate_all(prepare_retail(spark, sf), trained(spark, sf), weights, alpha)
+    return res.select("model", "metric", "k", r6("value").alias("value"))
+
+
+@register("run_metadata")
+def q_run_metadata(spark, sf):
+    """Weights, context strength, evaluated users and epochs of the run."""
+    _, weights, alpha, _ = tuned(spark, sf)
+    p = prepare_retail(spark, sf)
+    spark_ = p.ratings.sparkSession
+    return spark_.createDataFrame(
+        [(float(weights[0]), float(weights[1]), float(weights[2]), float(alpha), "all",
+          int(len(ncf_model(spark, sf).history)))],
+        "w_cf double, w_cbf double, w_ncf double, ctx_alpha double, eval_users string, "
+        "ncf_epochs int")
+
+
+@register("explain")
+def q_explain(spark, sf):
+    """Explanation structs for every held-out pair with the tuned weights."""
+    p = prepare_retail(spark, sf)
+    _, weights, _, _ = tuned(spark, sf)
+    pairs = explain_pairs(spark, sf)
+    raw = tr.raw_scores(p, trained(spark, sf), pairs)
+    return ex.explain(pairs, raw, weights, p.serve_train, p.items, p.features,
+                      p.cfg.item_label)
