@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom import config as C
 from rankloom.functions.columns import confidence
-from rankloom.functions.ranking import score_key, sequence_within, top_n, top_unseen
+from rankloom.functions.ranking import global_order_topn, sequence_within
 
 
 def weighted(train: DataFrame) -> DataFrame:
@@ -79,32 +79,21 @@ def bias_ranked(train: DataFrame, n: int = 10, pop_beta: float = C.CF_POP_BETA,
                 users: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Top-n unseen by μ + b_u + b_i + β·log1p(Σw) for every user with training rows.
 
-    The user term is constant per user, so candidates come from one global item
-    order (``top_unseen``), never from users × items.
+    The user term is constant per user, so every user walks one global item order
+    (``global_order_topn``), never users × items.
     """
     mu = _mu(train)
-    order = bias_item_order(train, pop_beta)
-    ub = user_bias(train)
+    ib = item_bias(train).withColumn(
+        "_s", F.col("item_bias") + F.lit(pop_beta) * F.col("pop_prior"))
+    ub = user_bias(train).withColumn("_off", mu + F.col("user_bias"))
     users = ub if users is None else users.select("user_idx").distinct().join(ub, "user_idx")
-    cand = top_unseen(users, order, train if seen is None else seen, n)
-    scored = (cand.join(ub, "user_idx").join(order.select("item_idx", "item_bias", "pop_prior"),
-                                             "item_idx")
-              .withColumn("score", mu + F.col("user_bias") + F.col("item_bias")
-                          + F.lit(pop_beta) * F.col("pop_prior")))
-    ranked = top_n(scored, ["user_idx"], [score_key("score").desc(), F.col("item_idx")], n)
-    return ranked.select("user_idx", F.col("rank").cast("long").alias("rank"), "item_idx",
-                         "score")
+    return global_order_topn(users, ib, "_s", n, train if seen is None else seen,
+                             offset_col="_off")
 
 
 def popularity_ranked(train: DataFrame, n: int = 10, users: DataFrame | None = None,
                       seen: DataFrame | None = None) -> DataFrame:
     """Deterministic popularity scorer: log1p(Σw) over training items, top-n unseen."""
     ib = item_bias(train)
-    order = sequence_within(ib, [], [F.col("pop_prior").desc(), F.col("item_idx")], rn="g",
-                            count=None)
     users = train.select("user_idx").distinct() if users is None else users
-    cand = top_unseen(users, order, train if seen is None else seen, n)
-    scored = cand.join(order.select("item_idx", F.col("pop_prior").alias("score")), "item_idx")
-    ranked = top_n(scored, ["user_idx"], [score_key("score").desc(), F.col("item_idx")], n)
-    return ranked.select("user_idx", F.col("rank").cast("long").alias("rank"), "item_idx",
-                         "score")
+    return global_order_topn(users, ib, "pop_prior", n, train if seen is None else seen)

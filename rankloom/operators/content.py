@@ -3,23 +3,22 @@
 Vectors are kept in long form ``(key, feature, value)`` so a dot product is an
 equi-join on ``feature`` plus a sum, and the feature count never limits scale.
 
-Top-n for all users (B06) never forms users × items. Items are grouped by their
+Top-n for all users (B06) never forms users × items: items are grouped by their
 feature *signature*; inside a signature every item has the same cosine with a user,
-so the order is by popularity, which is user-independent. Candidates are (a) the
-first ``n + seen`` items of the global popularity order (this covers every item
-whose cosine is 0) and (b) for each (user, signature) with a positive cosine, the
-first ``n + seen`` items of that signature — but only for signatures whose best
-possible score reaches the user's n-th best candidate score from (a).
+so a user's ranking is a merge of per-signature lists sorted by popularity (see
+``content_topn``).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom import config as C
 from rankloom.functions.columns import ema_alpha
-from rankloom.functions.ranking import score_key, sequence_within, top_n, top_unseen
+from rankloom.functions.ranking import RANKED_SCHEMA, check_side, emit_ranked, merge_lists, seen_lists
 
 
 def item_unit_vectors(features: DataFrame) -> DataFrame:
@@ -93,52 +92,60 @@ def item_signatures(items: DataFrame, features: DataFrame) -> DataFrame:
 def content_topn(train: DataFrame, items: DataFrame, features: DataFrame, n: int = 10,
                  profiles: DataFrame | None = None, users: DataFrame | None = None,
                  seen: DataFrame | None = None, pop_weight: float = C.CBF_POP_WEIGHT,
-                 eps: float = 1e-8, raw: bool = False) -> DataFrame:
+                 raw: bool = False, feature_cols: list[str] | None = None) -> DataFrame:
     """Top-n unseen by cosine + 0.05·log1p(pop) for every user with a profile.
 
-    ``profiles``/``users``/``seen`` default to those of ``train``; pass overrides for
-    session profiles (B07) or serving seen sets.
+    Inside a feature signature every item has the same cosine with a user, so each
+    signature's items form one list sorted by popularity. Per user block, a task
+    scores the S signatures (S × F), then merges the S sorted lists with a heap until
+    the n-th best rounded score is settled — O(S·F + (n + seen)·log S) per user,
+    independent of the catalogue size. The item side (signature lists) is broadcast
+    after a size check. ``profiles``/``users``/``seen`` default to those of ``train``;
+    pass overrides for session profiles (B07) or serving seen sets.
     """
+    spark = train.sparkSession
     profiles = user_profiles(train, features) if profiles is None else profiles
     users = users_with_profile(train) if users is None else users
     seen = train if seen is None else seen
+    feats = feature_cols or [r[0] for r in features.select("feature").distinct()
+                             .orderBy("feature").collect()]
     pop = item_popularity(items, train)
-    sigs = item_signatures(items, features).join(pop, "item_idx")
-    vec = item_unit_vectors(features)
-    sig_vec = (vec.join(sigs.select("item_idx", "sig"), "item_idx")
-               .select("sig", "feature", "value").distinct())
-
-    # (a) global popularity order: exact for every zero-cosine item
-    g_order = sequence_within(sigs, [], [F.col("pop").desc(), F.col("item_idx")], rn="g",
-                              count=None)
-    cand_a = top_unseen(users, g_order, seen, n)
-
-    def exact(cand):
-        cos = (cand.join(sigs.select("item_idx", "sig", "pop"), "item_idx")
-               .join(user_sig_cos, ["user_idx", "sig"], "left"))
-        return cos.withColumn("score", F.coalesce(F.col("cos"), F.lit(0.0))
-                              + F.lit(pop_weight) * F.col("pop"))
-
-    # (user, signature) cosines for overlapping signatures only (join on feature)
-    user_sig_cos = (profiles.join(sig_vec.withColumnRenamed("value", "_v"), "feature")
-                    .groupBy("user_idx", "sig")
-                    .agg(F.sum(F.col("value") * F.col("_v")).alias("cos"))
-                    .where(F.col("cos") > 0))
-    scored_a = exact(cand_a)
-    kth = (top_n(scored_a, ["user_idx"], [F.col("score").desc(), F.col("item_idx")], n)
-           .groupBy("user_idx").agg(F.min("score").alias("_t"), F.count(F.lit(1)).alias("_k")))
-    sig_max = sigs.groupBy("sig").agg(F.max("pop").alias("_pmax"))
-    live = (user_sig_cos.join(sig_max, "sig")
-            .join(kth, "user_idx", "left")
-            .where(F.col("_t").isNull() | (F.col("_k") < n)
-                   | (F.col("cos") + F.lit(pop_weight) * F.col("_pmax") >= F.col("_t") - eps))
-            .select("user_idx", "sig"))
-    s_order = sequence_within(sigs, ["sig"], [F.col("pop").desc(), F.col("item_idx")], rn="g",
-                              count=None)
-    cand_b = top_unseen(live, s_order, seen, n, group_col="sig").select("user_idx", "item_idx")
-    cand = cand_a.unionByName(cand_b).distinct()
-    ranked = top_n(exact(cand), ["user_idx"], [score_key("score").desc(), F.col("item_idx")], n)
-    return ranked.select("user_idx", F.col("rank").cast("long").alias("rank"), "item_idx",
+    side = (item_signatures(items, features).join(pop, "item_idx")
+            .select("sig", "item_idx", "pop").toPandas())
+    check_side(len(side) + len(feats) * max(side["sig"].nunique(), 1))
+    pos = {f: k for k, f in enumerate(feats)}
+    sig_names = sorted(side["sig"].unique())
+    sig_vec = np.zeros((len(sig_names), len(feats)))
+    lists_i, lists_p = [], []
+    for s_no, name in enumerate(sig_names):
+        fs = [f for f in name.split("|") if f]
+        for f in fs:
+            sig_vec[s_no, pos[f]] = 1.0 / np.sqrt(len(fs))
+        g = side[side["sig"] == name].sort_values(["pop", "item_idx"], ascending=[False, True])
+        lists_i.append(g["item_idx"].to_numpy(np.int64))
+        lists_p.append(g["pop"].to_numpy(np.float64))
+    bside = spark.sparkContext.broadcast((sig_vec, lists_i, lists_p, pos))
+    dense = (profiles.groupBy("user_idx")
+             .agg(F.collect_list(F.struct("feature", "value")).alias("_p")))
+    todo = (users.select("user_idx").distinct().join(dense, "user_idx", "left")
+            .join(seen_lists(seen), "user_idx", "left"))
+    w = float(pop_weight)
+
+    def run(batches):
+        sv, li, lp, fpos = bside.value
+        for pdf in batches:
+            def one(prof):
+                vec = np.zeros(sv.shape[1])
+                for ent in (prof if prof is not None else []):
+                    vec[fpos[ent["feature"]]] = ent["value"]
+                return sv @ vec
+            yield emit_ranked(
+                (uid, merge_lists(one(prof), li, lp, w,
+                                  set(sn) if sn is not None else set(), n))
+                for uid, prof, sn in zip(pdf["user_idx"], pdf["_p"], pdf["_seen"]))
+
+    ranked = todo.mapInPandas(run, RANKED_SCHEMA)
+    return ranked.select("user_idx", "rank", "item_idx",
                          F.col("score") if raw else F.round("score", 6).alias("score"))
 
 
