@@ -217,7 +217,7 @@ def global_order_topn(users: DataFrame, items: DataFrame, value_col: str, n: int
     li, lv = sorted_list(side, "item_idx", value_col)
     b = spark.sparkContext.broadcast((li, lv))
     cols = ["user_idx"] + ([offset_col] if offset_col else [])
-    todo = users.select(*cols).join(seen_lists(seen), "user_idx", "left")
+    todo = spread(users.select(*cols).join(seen_lists(seen), "user_idx", "left"))
 
     def run(batches):
         li_, lv_ = b.value
@@ -229,3 +229,11 @@ def global_order_topn(users: DataFrame, items: DataFrame, value_col: str, n: int
                 for uid, off, sn in zip(pdf["user_idx"], offs, pdf["_seen"]))
 
     return todo.mapInPandas(run, RANKED_SCHEMA)
+
+
+def spread(df: DataFrame, key: str = "user_idx", factor: int = 4) -> DataFrame:
+    """Hash-partition ``df`` into ``factor × default parallelism`` parts before heavy
+    per-row Python work. An explicit count is not coalesced away by AQE, which would
+    otherwise fold a small key table (e.g. the user list) into a single task."""
+    n = max(2, df.sparkSession.sparkContext.defaultParallelism * factor)
+    return df.repartition(n, key)

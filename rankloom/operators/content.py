@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from rankloom import config as C
 from rankloom.functions.columns import ema_alpha
-from rankloom.functions.ranking import RANKED_SCHEMA, check_side, emit_ranked, merge_lists, seen_lists
+from rankloom.functions.ranking import (RANKED_SCHEMA, check_side, emit_ranked, merge_lists,
+                                        seen_lists, spread)
 
 
 def item_unit_vectors(features: DataFrame) -> DataFrame:
@@ -127,8 +128,8 @@ def content_topn(train: DataFrame, items: DataFrame, features: DataFrame, n: int
     bside = spark.sparkContext.broadcast((sig_vec, lists_i, lists_p, pos))
     dense = (profiles.groupBy("user_idx")
              .agg(F.collect_list(F.struct("feature", "value")).alias("_p")))
-    todo = (users.select("user_idx").distinct().join(dense, "user_idx", "left")
-            .join(seen_lists(seen), "user_idx", "left"))
+    todo = spread(users.select("user_idx").distinct().join(dense, "user_idx", "left")
+                  .join(seen_lists(seen), "user_idx", "left"))
     w = float(pop_weight)
 
     def run(batches):
