@@ -164,3 +164,28 @@ def test_weight_grid_enumeration():
     assert len(g) == 198
     assert g[0][1:] == (0.0, 0.0, 1.0, 0.0) and g[-1][1:] == (1.0, 0.0, 0.0, 0.15)
     assert all(math.isclose(w1 + w2 + w3, 1.0) for _, w1, w2, w3, _ in g)
+
+
+def test_processed_tables_and_runs(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    run = files.new_run(root, "demo")
+    items = spark.createDataFrame([(1, "a")], "item_id long, title string")
+    files.write_processed({"items": items, "ratings": spark.range(3)}, run)
+    assert files.latest_run(spark, root, "demo") == files.latest_run(spark, root, "demo")
+    got = files.read_processed(spark, files.latest_run(spark, root, "demo"))
+    assert "name" in got["items"].columns and got["ratings"].count() == 3
+    assert files.latest_run(spark, root, "other") is None
+
+
+def test_neural_weights_roundtrip(spark):
+    from rankloom.operators import neural
+    p = neural.init_params(5, 7, seed=1)
+    back = files.neural_params_from_table(files.neural_weights_table(spark, p))
+    assert set(back) == set(p)
+    for k in p:
+        assert back[k].shape == p[k].shape and np.allclose(back[k], p[k])
+
+
+def test_empty_results_table(spark, tmp_path):
+    df = files.load_table_or_empty(spark, str(tmp_path / "missing"), "model string, value double")
+    assert df.count() == 0 and df.columns == ["model", "value"]
