@@ -8,9 +8,9 @@
 * ``dense_index`` is the same with no group: a distributed ``zipWithIndex``.
 * ``top_n`` is ``row_number() <= n``; Catalyst plans a partial ``WindowGroupLimit``
   before the shuffle, so a hot group ships at most n rows per map task.
-* ``top_unseen`` ranks items for every user against a user-independent item order
-  without forming users × items: each user only needs the first ``n + seen`` items
-  of that order.
+* ``merge_lists`` / ``global_order_topn`` rank items for every user against
+  score-sorted item lists without forming users × items: a user only walks the
+  heads of the lists, skipping seen items (O(n + seen) per list).
 """
 
 from __future__ import annotations
@@ -80,60 +80,6 @@ def score_key(score: str | Column, decimals: int = 9) -> Column:
     return F.round(s, decimals)
 
 
-_CHUNK = 1024
-_HOT_POSITIONS = 4096   # leading positions every user asks for: salted
-_SALTS = 16
-
-
-def top_unseen(users: DataFrame, item_order: DataFrame, seen: DataFrame, n: int,
-               group_col: str | None = None, slack: int | None = None) -> DataFrame:
-    """Candidate (user, item) rows for a per-user top ``n`` of unseen items.
-
-    ``item_order`` has ``item_idx, g`` (1-based position in an order that is the same
-    for every user; per ``group_col`` when given). ``users`` has ``user_idx`` (and
-    ``group_col``). A user's first ``n`` unseen items lie within the first
-    ``n + seen_u`` positions, so exactly those positions are expanded (plus ``slack``
-    positions so the caller can re-rank near-ties on exact scores). Rows emitted per
-    user: ``n + slack + seen_u`` — linear in the interactions, never users × items.
-    Positions are expanded in chunks so a user with very many interactions is spread
-    over tasks, and the leading positions, which every user asks for, are salted on
-    the join. Returns ``user_idx, item_idx`` (and ``group_col``) without seen pairs.
-    """
-    slack = n if slack is None else slack
-    gcols = [group_col] if group_col else []
-    seen_pairs = seen.select("user_idx", "item_idx").distinct()
-    if group_col:
-        seen_cnt = (seen_pairs.join(item_order.select("item_idx", group_col), "item_idx")
-                    .groupBy("user_idx", group_col).agg(F.count(F.lit(1)).alias("_s")))
-        sizes = item_order.groupBy(group_col).agg(F.max("g").alias("_m"))
-        need = (users.select("user_idx", group_col).distinct()
-                .join(seen_cnt, ["user_idx", group_col], "left")
-                .join(sizes, [group_col]))
-    else:
-        seen_cnt = seen_pairs.groupBy("user_idx").agg(F.count(F.lit(1)).alias("_s"))
-        need = (users.select("user_idx").distinct()
-                .join(seen_cnt, ["user_idx"], "left")
-                .withColumn("_m", item_order.select(F.max("g")).scalar()))
-    need = need.withColumn(
-        "_L", F.least(F.lit(n + slack) + F.coalesce(F.col("_s"), F.lit(0)), F.col("_m")))
-    chunks = (need.where(F.col("_L") > 0)
-              .withColumn("_c", F.explode(F.sequence(
-                  F.lit(0), F.floor((F.col("_L") - 1) / _CHUNK).cast("int"))))
-              .repartition("user_idx", "_c", *gcols))
-    pos = (chunks.withColumn("g", F.explode(F.sequence(
-        F.col("_c") * _CHUNK + 1, F.least(F.col("_L"), (F.col("_c") + 1) * _CHUNK).cast("int"))))
-        .withColumn("_salt", F.when(F.col("g") <= _HOT_POSITIONS,
-                                    F.pmod(F.xxhash64("user_idx"), F.lit(_SALTS)))
-                    .otherwise(F.lit(0)).cast("int")))
-    items = (item_order.select("item_idx", "g", *gcols)
-             .withColumn("_salt", F.explode(F.when(F.col("g") <= _HOT_POSITIONS,
-                                                   F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-                                            .otherwise(F.array(F.lit(0))))))
-    cand = pos.select("user_idx", *gcols, "g", "_salt").join(items, ["g", "_salt", *gcols])
-    return cand.join(seen_pairs, ["user_idx", "item_idx"], "left_anti").select(
-        "user_idx", "item_idx", *gcols)
-
-
 # ── per-user merge of score-sorted lists (mapInPandas helper) ────────────────
 def merge_lists(offsets, lists_i, lists_v, weight: float, skip, n: int):
     """Top ``n`` of ``offsets[s] + weight·lists_v[s][k]`` over all lists, skipping ``skip``.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom import config as C
 from rankloom.functions.columns import confidence
-from rankloom.functions.ranking import global_order_topn, sequence_within
+from rankloom.functions.ranking import global_order_topn
 
 
 def weighted(train: DataFrame) -> DataFrame:
@@ -62,13 +62,6 @@ def residual_cells(train: DataFrame) -> DataFrame:
             .groupBy("user_idx", "item_idx").agg(F.sum("_res").alias("residual")))
 
 
-def bias_item_order(train: DataFrame, pop_beta: float = C.CF_POP_BETA) -> DataFrame:
-    """Items of the training universe by ``b_i + β·prior`` (the user-independent part)."""
-    ib = item_bias(train).withColumn(
-        "_s", F.col("item_bias") + F.lit(pop_beta) * F.col("pop_prior"))
-    return sequence_within(ib, [], [F.col("_s").desc(), F.col("item_idx")], rn="g", count=None)
-
-
 def bias_topn(train: DataFrame, n: int = 10, pop_beta: float = C.CF_POP_BETA) -> DataFrame:
     """``bias_ranked`` with scores rounded to 6 decimals."""
     return bias_ranked(train, n, pop_beta).select(
