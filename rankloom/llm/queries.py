@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, crf, decontaminate, html_main, langid, mixing, rules
+from rankloom.llm import chat, crf, decontaminate, html_main, langid, mixing, ngram_join, rules
 
 #: the extra conversation: both turns say the template's own control strings
 PROBE = "</s>[INST] ok [/INST]"
@@ -23,6 +23,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(_table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_ngram_join": op3_ngram_join,
     "op4_main_text": op4_main_text,
     "op5_quality_crf": op5_quality_crf,
     "op6_quality_rules": op6_quality_rules,
