@@ -28,17 +28,14 @@ SHINGLE = 5
 PERCENT = 75
 #: documents of the sample that orders the shingles, times seen from which one counts as frequent, most of them
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 3, 200000
+#: hash bins of a set's counts, which rule out candidates without reading their sets
+BINS = 256
 #: candidates of one pivot that are verified in one group
 GROUP = 1000
 #: share of a salted part of a frequent shingle's posting list: rows expected in it
 PART = 4000
 
 
-def needed(n: int) -> int:
-    """Least overlap with any similar set: ceil(PERCENT / 100 * n)."""
-    return -(-PERCENT * n // 100)
-
-
 def _sets(buf: np.ndarray, off: np.ndarray):
     """Per document, its sorted distinct shingle hashes."""
     buf = tx.LOWER[buf]
@@ -66,13 +63,32 @@ def _batches(batches, col: int):
 
 
 def membership(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) per row."""
+    """doc_id, n_shingles, node (null for an empty set) and bins (shingles per hash bin, 255 for more) per row."""
     def run(batches):
-        for batch, i, j, h, _, at in _batches(batches, 1):
+        for batch, i, j, h, doc, at in _batches(batches, 1):
             n = np.diff(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(_nodes(h, at), pa.int64(), mask=n == 0)],
-                                             names=["doc_id", "n_shingles", "node"])
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+            bins = np.bincount(doc * BINS + (tx.mix(h) % np.uint64(BINS)).astype(np.int64), minlength=(j - i) * BINS)
+            bins = np.minimum(bins, 255).astype(np.uint8).reshape(j - i, BINS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(_nodes(h, at), pa.int64(), mask=n == 0),
+                                              pa.array([b.tobytes() for b in bins], pa.binary())], names=["doc_id", "n_shingles", "node", "bins"])
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, bins binary")
+
+
+def within_reach(pairs: DataFrame, bins: DataFrame) -> DataFrame:
+    """The candidate pairs that their bins don't rule out: two sets overlap by at most the sum of the bins' minima."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
+            n, m = (batch.column(k).to_numpy() for k in (4, 5))
+            low = np.minimum(x, y)
+            fine = (low.sum(1, dtype=np.int64) * (100 + PERCENT) >= (n + m) * PERCENT) | (low == 255).any(1)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(fine)) for k in (0, 1)], names=["pivot", "node"])
+
+    p = pairs.alias("p").join(bins.alias("a"), F.col("p.pivot") == F.col("a.node")).select("p.pivot", "p.node", F.col("a.bins").alias("x"), F.col("a.n").alias("n"))
+    both = p.alias("p").join(bins.alias("b"), F.col("p.node") == F.col("b.node")).select("p.pivot", "p.node", "p.x", F.col("b.bins").alias("y"), "p.n", F.col("b.n").alias("m"))
+    return both.mapInArrow(run, "pivot bigint, node bigint")
 
 
 def frequent_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +121,7 @@ def _ordered(h: np.ndarray, doc: np.ndarray, frequent: tuple[np.ndarray, np.ndar
 
 
 def postings(docs: DataFrame, frequent) -> DataFrame:
-    """token, parts, part, node, n: every node under each shingle of its prefix, once per batch; frequent ones in salted parts."""
+    """token, parts, part, node, n, pos: every node under each shingle of its prefix, once per batch; frequent ones in salted parts."""
     def run(batches):
         for _, i, j, h, doc, at in _batches(batches, 1):
             node, n = _nodes(h, at), np.diff(at)
@@ -115,13 +131,14 @@ def postings(docs: DataFrame, frequent) -> DataFrame:
             own[first] = True
             own &= n > 0
             size = np.where(own, n - (-(-PERCENT * n // 100)) + 1, 0)
-            rows = np.repeat(at[:-1], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            rows = np.repeat(at[:-1], size) + pos
             who = np.repeat(np.arange(j - i), size)
             parts = np.maximum(1, np.ceil(weight[rows] / PART)).astype(np.int64)
             part = (tx.mix(node[who].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(parts, pa.int32()), pa.array(part, pa.int32()), pa.array(node[who]), pa.array(n[who], pa.int32())],
-                                             names=["token", "parts", "part", "node", "n"])
-    return docs.mapInArrow(run, "token bigint, parts int, part int, node bigint, n int")
+            yield pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(parts, pa.int32()), pa.array(part, pa.int32()), pa.array(node[who]), pa.array(n[who], pa.int32()), pa.array(pos, pa.int32())],
+                                             names=["token", "parts", "part", "node", "n", "pos"])
+    return docs.mapInArrow(run, "token bigint, parts int, part int, node bigint, n int, pos int")
 
 
 def ordered_sets(docs: DataFrame, frequent, wanted) -> DataFrame:
@@ -138,7 +155,7 @@ def ordered_sets(docs: DataFrame, frequent, wanted) -> DataFrame:
             pick = [k for k in first if may[k] and at[k + 1] > at[k]]
             yield pa.RecordBatch.from_arrays([pa.array(node[pick], pa.int64()), pa.array([h[at[k]:at[k + 1]].astype(">u8").tobytes() for k in pick], pa.binary())],
                                              names=["node", "seq"])
-    return docs.mapInArrow(run, "node bigint, seq binary").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node bigint, seq binary")
 
 
 #: bits of the filter of candidate nodes at most; a fuller filter only lets more sets through
@@ -203,75 +220,80 @@ def tree_matches(pivot: np.ndarray, sets: list[bytes]) -> list[int]:
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the candidate pairs (pivot, node) whose sets are similar; groups of about GROUP candidates of one pivot."""
-    cand = pairs.alias("p").join(sets.alias("s"), F.col("p.node") == F.col("s.node")).select(
-        "p.pivot", "p.part", "p.node", "s.seq", F.lit(False).alias("is_pivot"))
-    heads = pairs.select("pivot", "part").distinct().alias("p").join(sets.alias("s"), F.col("p.pivot") == F.col("s.node")).select(
-        "p.pivot", "p.part", F.col("p.pivot").alias("node"), "s.seq", F.lit(True).alias("is_pivot"))
+def verified(pairs: DataFrame, docs: DataFrame, frequent) -> DataFrame:
+    """a, b of the candidate pairs (pivot, part, node) whose sets are similar; one tree per pivot and part.
+
+    A node's set is read from every batch that holds it, so a repeat may arrive; the first one counts.
+    """
+    roles = pairs.select("pivot", "part", "node").unionByName(
+        pairs.select("pivot", "part", F.col("pivot").alias("node")).distinct())
+    nodes = roles.select("node").distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(node_filter(nodes, nodes.count()))
 
     def run(table: pa.Table) -> pa.Table:
-        flag = table.column("is_pivot").to_pylist()
-        seqs, nodes = table.column("seq").to_pylist(), table.column("node").to_pylist()
-        head = flag.index(True)
-        rest = [k for k in range(len(flag)) if not flag[k]]
-        pivot = np.frombuffer(seqs[head], ">u8").astype(np.uint64)
-        won = tree_matches(pivot, [seqs[k] for k in rest])
-        return pa.table({"a": pa.array([nodes[head]] * len(won), pa.int64()), "b": pa.array([nodes[rest[k]] for k in won], pa.int64())})
+        head = table.column("pivot")[0].as_py()
+        seqs = dict(zip(table.column("node").to_pylist(), table.column("seq").to_pylist(), strict=True))
+        rest = sorted(k for k in seqs if k != head)
+        won = tree_matches(np.frombuffer(seqs[head], ">u8").astype(np.uint64), [seqs[k] for k in rest])
+        return pa.table({"a": pa.array([head] * len(won), pa.int64()), "b": pa.array([rest[k] for k in won], pa.int64())})
 
-    return cand.unionByName(heads).groupBy("pivot", "part").applyInArrow(run, "a bigint, b bigint")
+    return roles.join(ordered_sets(docs, frequent, bits), "node").groupBy("pivot", "part").applyInArrow(run, "a bigint, b bigint")
 
 
-def _similar_length(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _may_match(a: str, b: str) -> Column:
+    """Whether two nodes whose first common shingle this is can overlap enough: lengths and what is left behind it."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return F.least(n - F.col(f"{a}pos"), m - F.col(f"{b}pos")) * (100 + PERCENT) >= (n + m) * PERCENT
 
 
 def _with_parts(pairs: DataFrame) -> DataFrame:
-    """Pairs once each, with the part of the pivot's group, so that a pivot of any number of candidates is split."""
+    """Pairs with the part of the pivot's group, so that a pivot of any number of candidates is split."""
     per = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("parts"))
     return pairs.join(per, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
 
 
 def _stars(rows: DataFrame, by: list[str]) -> DataFrame:
-    """pivot, node: every row of a group against the group's best pivot, of similar length; no pairs among the rest."""
-    best = rows.groupBy(*by).agg(F.max(F.struct("shared", "node", "n")).alias("best"), F.count("*").alias("rows")).where("rows > 1")
-    return rows.join(best, by).where((F.col("node") != F.col("best.node")) & _similar_length(F.col("n"), F.col("best.n"))).select(
+    """pivot, node: every row of a group against the group's best pivot; no pairs among the rest."""
+    best = rows.groupBy(*by).agg(F.max(F.struct("shared", "node", "n", "pos")).alias("best"))
+    return rows.join(best, by).where((F.col("node") != F.col("best.node")) & _may_match("", "best.")).select(
         F.col("best.node").alias("pivot"), "node")
 
 
-def links(docs: DataFrame, scratch: Scratch, n_docs: int) -> DataFrame:
-    """a, b: links between nodes whose components are those of all links."""
-    frequent = frequent_shingles(docs, n_docs)
-    narrow = docs.sparkSession.sparkContext.broadcast(frequent)
-    # deduplicated within batches; the rest of a node's repeats meets here
-    raw = postings(docs, narrow.value)
+def links(docs: DataFrame, scratch: Scratch, member: DataFrame) -> DataFrame:
+    """a, b: links between nodes whose components are those of all links. ``member``: see membership()."""
+    frequent = frequent_shingles(docs, member.count())
+    bins = scratch.table(member.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins")), "bins")
     alone = Window.partitionBy("token", "part")
-    rows = raw.repartition("token", "part").dropDuplicates(["token", "part", "node"]).withColumn("others", F.min("node").over(alone) != F.max("node").over(alone))
+    # once per batch and node so far; the rest of a node's repeats meets here
+    rows = postings(docs, frequent).repartition("token", "part").dropDuplicates(["token", "part", "node"])
+    rows = rows.withColumn("others", F.min("node").over(alone) != F.max("node").over(alone))
     # a token with several parts is kept in all of them: their pivots meet in a second star
-    rows = scratch.table(rows.where((F.col("parts") > 1) | F.col("others")).select("token", "part", "node", "n"), "postings")
-    scored = rows.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    scored = scored.select("node", (F.col("shared") / F.col("n")).alias("shared"))
+    rows = scratch.table(rows.where((F.col("parts") > 1) | F.col("others")).select("token", "part", "node", "n", "pos"), "postings")
+    scored = rows.groupBy("node").agg((F.count("*") / F.first("n")).alias("shared"))
     rows = scratch.table(rows.join(scored, "node"), "scored")
     scratch.drop("postings")
-    heads = rows.groupBy("token", "part").agg(F.max(F.struct("shared", "node", "n")).alias("h")).select("token", "h.shared", "h.node", "h.n")
+    heads = rows.groupBy("token", "part").agg(F.max(F.struct("shared", "node", "n", "pos")).alias("h")).select("token", "h.*")
     star = _stars(rows, ["token", "part"]).unionByName(_stars(heads, ["token"])).distinct()
-    pairs = scratch.table(_with_parts(star), "stars")
-    nodes = scratch.table(rows.select("node").distinct(), "candidates")
-    wanted = docs.sparkSession.sparkContext.broadcast(node_filter(nodes, nodes.count()))
-    sets = scratch.table(ordered_sets(docs, narrow.value, wanted), "sets")
-    first = scratch.table(verified(pairs, sets), "links1")
+    tried = scratch.table(star, "stars")
+    scratch.release()
+    pairs = scratch.table(_with_parts(within_reach(tried, bins)), "star-groups")
+    first = scratch.table(verified(pairs, docs, frequent), "links1")
     label = components(first, scratch, "joined")
     # posting lists that still hold several components: their pairs across components
     comp = rows.join(label.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select(
-        "token", "node", "n", F.coalesce("label", "node").alias("label"))
-    open_tokens = comp.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rest = scratch.table(comp.join(open_tokens, "token").select("token", "node", "n", "label"), "open")
+        "token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    several = comp.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    rest = scratch.table(comp.join(several, "token"), "open")
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-                    & _similar_length(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("pivot"), F.col("y.node").alias("node")).distinct()
-    done = pairs.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
-    across = scratch.table(_with_parts(across.join(done, ["pivot", "node"], "left_anti")), "across")
-    return first.unionByName(scratch.table(verified(across, sets), "links2"))
+                    & _may_match("x.", "y.")).select(F.col("x.node").alias("pivot"), F.col("y.node").alias("node")).distinct()
+    done = tried.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
+    across = within_reach(across.join(done, ["pivot", "node"], "left_anti"), bins)
+    across = scratch.table(_with_parts(scratch.table(across, "across")), "across-groups")
+    scratch.release()
+    if across.isEmpty():
+        return first
+    return first.unionByName(scratch.table(verified(across, docs, frequent), "links2"))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -283,9 +305,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "ngram-join")
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     member = scratch.table(membership(src), "membership")
-    edges = links(src, scratch, member.count())
+    edges = links(src, scratch, member)
     label = components(edges, scratch, "all")
-    tagged = member.join(label.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select(
+    tagged = member.select("doc_id", "n_shingles", "node").join(label.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = tagged.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     return tagged.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +30,8 @@ class Scratch:
         for name in names:
             at = hadoop.Path(self.path(name))
             at.getFileSystem(conf).delete(at, True)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
