@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, crf, decontaminate, html_main, langid, mixing, ngram_join, rules
+from rankloom.llm import chat, crf, decontaminate, html_main, katz, langid, mixing, ngram_join, rules, suffix_dedup
 
 #: the extra conversation: both turns say the template's own control strings
 PROBE = "</s>[INST] ok [/INST]"
@@ -23,6 +23,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,18 +52,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_main_text": op4_main_text,
     "op5_quality_crf": op5_quality_crf,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_katz": op9_katz,
     "op10_mixing": op10_mixing,
 }
 
