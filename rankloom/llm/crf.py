@@ -225,3 +225,17 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return src.mapInArrow(run, schema).select(
         *names, held_out(F.col("doc_id")).alias("held_out"), "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose score is THRESHOLD or more, with all their columns and no others."""
+    model = fit_sample(docs, labels, ~held_out(F.col("doc_id")))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        inner = score_udf(model)
+        for batch in batches:
+            got = next(inner([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["k", "text"])]))
+            yield batch.filter(pa.array(got.column(2).to_numpy() >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

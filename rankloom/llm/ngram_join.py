@@ -311,3 +311,19 @@ def join_documents(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = tagged.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     return tagged.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its component's smallest, with all their columns.
+
+    Rows equal in doc_id and text stay once; different texts under one doc_id are versions of one
+    document and stay or go together. Texts without words are their own components and stay.
+    """
+    found = Scratch(docs.sparkSession, "ngram-join").table(join_documents(docs), "components")
+    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
+    left = docs.join(gone.where("least < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    several = gone.where("rows > 1 and least >= doc_id").select("doc_id")
+    if several.isEmpty():
+        return left
+    once = left.join(several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
