@@ -15,7 +15,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -318,12 +317,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     found = Repeats(docs, Scratch(docs.sparkSession, "suffix-dedup"))
     copies = found.identity.where("copy").select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti").join(found.marks.withColumnRenamed("runs", "_marks"), "doc_id", "left").select(*docs.columns, "_marks")
-    at = docs.columns.index("text")
+    names = list(docs.columns)
+    at = names.index("text")
+    counted = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in batches:
+            marks = batch.column(len(names)).to_pylist()
             texts = []
-            for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(at).to_pylist(), marks, strict=True):
                 if runs:
                     raw = text.encode()
                     keep = bytearray()
@@ -340,11 +342,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                         text = None
                 texts.append(text)
             cols = [*batch.columns[:-1]]
-            gone = pa.array([t is None and r is not None for t, r in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)])
             cols[at] = pa.array(texts, cols[at].type)
-            if "n_chars" in docs.columns:
-                k = docs.columns.index("n_chars")
-                cols[k] = pa.array([len(t) if r is not None and t is not None else old for t, r, old in zip(
-                    texts, batch.column(batch.num_columns - 1).to_pylist(), cols[k].to_pylist(), strict=True)], cols[k].type)
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns).filter(pc.invert(gone))
+            if counted is not None:
+                was = cols[counted].to_pylist()
+                cols[counted] = pa.array([len(t) if r and t else n for t, r, n in zip(texts, marks, was, strict=True)], cols[counted].type)
+            stay = pa.array([t is not None or not r for t, r in zip(texts, marks, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(stay)
     return kept.mapInArrow(run, docs.schema)
