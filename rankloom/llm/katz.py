@@ -169,6 +169,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.lit(norm))).alias("base_score"),
         F.sum(F.col("n") * F.col("logp") + F.col("h") * F.col("log_alpha")).alias("score"))
     part1 = scratch.table(part1, "by-words")
+    del words
     scratch.release()
     part2 = document_bigrams(texts).join(model.bigrams, ["w1", "w2"]).groupBy("key").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
     part2 = scratch.table(part2, "by-bigrams")

@@ -24,6 +24,9 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
     def drop(self, *names: str) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         conf = self.spark._jsc.hadoopConfiguration()

@@ -253,23 +253,34 @@ class Repeats:
         n_bytes = self.identity.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
         ranks = max(8, -(-n_bytes * len(COVER) // PERIOD // RANK_ROWS))
         long = src.where(F.octet_length("text") >= WINDOW)
-        sampled = long.select("doc_id", "text").mapInArrow(_sample_rows(ranks), "bucket int, chunk bigint, kind int, a binary, b binary")
-        found = sampled.groupBy("bucket").applyInArrow(_repeated_ranks, "chunk bigint, kind int, a binary, b binary")
-        runs = found.groupBy("chunk").applyInArrow(_document_runs, "doc_id bigint, runs binary, n bigint")
-        runs = scratch.table(runs, "runs")
+        # each phase ends in a table and drops its frames, so that release() can free their shuffle files
+        scratch.table(self._ranked(long, ranks), "ranked")
         scratch.release()
-        copies = self.identity.where("copy").select("doc_id").distinct()
-        runs = runs.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("runs")), "").alias("r"), F.sum("n").alias("n"))
+        runs = scratch.table(self._joined_runs(scratch.read("ranked")), "runs")
         reach = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        some = scratch.table(long.join(runs.select("doc_id", F.unhex("r").alias("runs")), "doc_id"), "some")
+        some = scratch.table(long.join(runs.select("doc_id", "runs"), "doc_id"), "some")
+        scratch.release()
         buckets = max(8, -(-reach * 5 // BUCKET_BYTES))
+        self.marks = scratch.table(self._marked(some, buckets), "marks")
+        scratch.release()
+        self.marked = some.select("doc_id", "text").join(self.marks, "doc_id")
+
+    @staticmethod
+    def _ranked(long: DataFrame, buckets: int) -> DataFrame:
+        sampled = long.select("doc_id", "text").mapInArrow(_sample_rows(buckets), "bucket int, chunk bigint, kind int, a binary, b binary")
+        found = sampled.groupBy("bucket").applyInArrow(_repeated_ranks, "chunk bigint, kind int, a binary, b binary")
+        return found.groupBy("chunk").applyInArrow(_document_runs, "doc_id bigint, runs binary, n bigint")
+
+    def _joined_runs(self, runs: DataFrame) -> DataFrame:
+        copies = self.identity.where("copy").select("doc_id").distinct()
+        per = runs.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("runs")), "").alias("r"), F.sum("n").alias("n"))
+        return per.select("doc_id", F.unhex("r").alias("runs"), "n")
+
+    @staticmethod
+    def _marked(some: DataFrame, buckets: int) -> DataFrame:
         cut = some.select("doc_id", "text", "runs").mapInArrow(_segments(buckets), "bucket int, doc_id bigint, start bigint, n bigint, bytes binary")
         marks = cut.groupBy("bucket").applyInArrow(_sort_bucket, "doc_id bigint, start bigint, n bigint")
-        per = marks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
-        per = scratch.table(per, "marks")
-        scratch.release()
-        self.marks = per
-        self.marked = some.select("doc_id", "text").join(per, "doc_id")
+        return marks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
