@@ -101,7 +101,7 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         total[0] = 0
         np.cumsum(_BYTE_CODE[buf[lo:hi]] * _power_table(_BASE, hi - lo), out=total[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((total[e] - total[s]) * _power_table(_INVERSE, hi - lo)[s] + (e - s).astype(np.uint64))
+        out[i:j] = mix((total[e] - total[s]) * _power_table(_INVERSE, hi - lo + 1)[s] + (e - s).astype(np.uint64))
         i = j
     return out
 
