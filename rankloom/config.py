@@ -51,7 +51,8 @@ CORE_ROUNDS = 3
 EMA_MAX_ALPHA = 0.6
 EMA_BASE = 0.2
 # Missing-value tokens the CSV reader maps to null.
-CSV_NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A", "<NA>", "-NaN", "-nan"]
+CSV_NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "#N/A", "<NA>", "-NaN", "-nan",
+                   "n/a", "#NA", "#N/A N/A", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN"]
 
 
 @dataclass(frozen=True)

@@ -513,16 +513,16 @@ def q_contribution_percentages(spark, sf):
 
 @register("explain_sentence", sql("""
 SELECT c.user_idx, c.item_idx,
-       'Recommended because ' || concat_ws(', and ',
-          CASE WHEN tf.top_share > 0.1 THEN 'matches your love of ' || tf.top_feat || ' parts' END,
+       'Picked for you: ' || concat_ws('; ',
+          CASE WHEN tf.top_share > 0.1 THEN 'it has ' || tf.top_feat || ', which you often pick among parts' END,
           CASE WHEN s.liked_name IS NOT NULL
-               THEN 'is similar to ''' || s.liked_name || ''' which you enjoyed' END,
+               THEN 'it resembles ''' || s.liked_name || ''' from your history' END,
           CASE WHEN c.cf_contribution >= c.cbf_contribution
                     AND c.cf_contribution >= c.ncf_contribution
-               THEN 'users with similar taste rate it highly'
+               THEN 'people who rate as you do gave it high marks'
                WHEN c.ncf_contribution > c.cbf_contribution
-               THEN 'our neural model predicts a strong match'
-               ELSE 'its features closely match your part profile' END) || '.' AS sentence
+               THEN 'the learned model ranks it near the top for you'
+               ELSE 'its attributes fit your part history' END) || '.' AS sentence
 FROM CON c
 LEFT JOIN (SELECT user_idx, item_idx, max(share) AS top_share,
                   arg_max(feature, CAST(round(share * 10000) AS BIGINT) * 100 - feature_pos)
@@ -814,7 +814,7 @@ def q_most_recent_n(spark, sf):
 
 
 def _core_sql() -> dict:
-    out, prev = {}, "RECENT"
+    out, prev = {}, "ALL_ROWS"
     for i in range(1, 4):
         out[f"K{i}"] = f"""
 SELECT * FROM {prev}
@@ -825,10 +825,10 @@ WHERE user_id IN (SELECT user_id FROM {prev} GROUP BY user_id HAVING count(*) >=
 
 
 @register("three_core", sql('SELECT user_id, item_id, "timestamp" FROM K3', "R",
-                            extra={"RECENT": RECENT_SQL, **_core_sql()}))
+                            extra={"ALL_ROWS": 'SELECT user_id, item_id, "timestamp" FROM R', **_core_sql()}))
 def q_three_core(spark, sf):
-    """Three rounds of the 3-core filter after the most-recent cap."""
-    return prep.k_core(_recent(spark, sf))
+    """Three rounds of the 3-core filter on the whole table."""
+    return prep.k_core(fx.retail_ratings(spark, sf).select("user_id", "item_id", "timestamp"))
 
 
 def _meta(spark, sf):

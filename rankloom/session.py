@@ -11,16 +11,18 @@ from pyspark.sql import SparkSession
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "rankloom") -> SparkSession:
     """A session configured the way the jobs expect (UTC, AQE, Arrow)."""
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    cores = master[6:-1] if master.startswith("local[") else "8"
-    parts = shuffle_partitions or (int(cores) if cores.isdigit() else 8)
+    cores = master[6:-1] if master and master.startswith("local[") else ""
+    parts = shuffle_partitions or (int(cores) if cores.isdigit() else None)
+    builder = SparkSession.builder
+    if master:  # else spark-submit's
+        builder = builder.master(master)
+    if parts:  # else the cluster's
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -51,7 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    if not conf_dir:
+    if not conf_dir and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+    if not conf_dir:  # one machine: tests and trials
         conf_dir = tempfile.mkdtemp(prefix="rankloom-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -107,3 +107,17 @@ def test_stream_equals_batch_replay(spark, sf, tmp_path):
         assert set(res) == set(local)
         for u, prof in res.items():
             assert np.allclose(prof, local[u], atol=1e-9)
+
+
+def test_svd_factors_need_no_arrow(spark, sf):
+    """The item side is built without Arrow, as in a session that doesn't enable it."""
+    from rankloom.operators import svd
+    from rankloom.plans.pipeline import prepare_retail
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        model = svd.fit(prepare_retail(spark, sf).train, n_factors=3)
+        assert len(model.item_factors.first()["vf"]) == 3
+    finally:
+        spark.conf.set(key, was)

@@ -23,7 +23,9 @@ def test_sample_template_weights(spark, tmp_path):
     path = _write(tmp_path, "ratings.csv", files.SAMPLE_RATINGS_CSV)
     df = files.read_upload_csv(spark, path)
     w = [r[0] for r in df.orderBy("row_no").select(interaction_weight(df.columns)).collect()]
-    assert w == pytest.approx([3.4, 1.0 + 0.3 + 0.5 * 35 / 300, 4.0, 1.0 + 0.5 * 10 / 300])
+    assert w == pytest.approx(
+        [1.0 + 0.3 + 0.5 + 0.5 * 95 / 300, 1.0 + 0.3 + 0.5 * 12 / 300, 1.0 + 0.3 + 1.7 + 0.5 * 60 / 300,
+         1.0 + 0.3 + 1.7 + 0.5])
 
 
 def test_max_weight_is_four_and_a_half(spark):
@@ -51,19 +53,19 @@ def test_validation_report_and_gate(spark, tmp_path):
     bad = (files.SAMPLE_RATINGS_CSV
            + "3,101,oops,1719840000,-5,1,2,0,1\n"
            + "3,102,,1719850000,10,0,0,0,1\n"
-           + "1,101,4.5,1719800000,240,1,1,0,1\n")
+           + "ana,t-01,4.0,1650000000,95,1,0,1,0\n")
     r = files.read_upload_csv(spark, _write(tmp_path, "r.csv", bad))
     i = files.read_upload_csv(spark, _write(tmp_path, "i.csv", files.SAMPLE_ITEMS_CSV),
                               row_numbers=False)
     cfg = C.DatasetConfig.from_json(files.SAMPLE_CONFIG_JSON)
     rep = validate.report(r.drop("row_no"), i, cfg, row_no=None)
     msgs = [x["message"] for x in rep.orderBy("ord").collect()]
-    assert "Column 'rating' has 1 empty value(s)." in msgs
-    assert any("non-numeric" in m for m in msgs)
-    assert any("'add_to_cart' must be binary 0/1; found values: [2]" in m for m in msgs)
-    assert any("negative values" in m for m in msgs)
-    assert any(m.startswith("1 duplicate (user_id, item_id, timestamp)") for m in msgs)
-    assert any(m.startswith("Only 7 ratings") for m in msgs)
+    assert "ratings.rating: 1 blank cells" in msgs
+    assert any("are not numbers" in m for m in msgs)
+    assert any("add_to_cart: only 0 and 1 count as signals, got [2]" in m for m in msgs)
+    assert any("below zero" in m for m in msgs)
+    assert any("1 rows repeat a user, item and time" in m for m in msgs)
+    assert any("7 rows are few" in m for m in msgs)
     with pytest.raises(ValueError) as e:
         validate.gate(rep)
     assert " | " in str(e.value)
@@ -78,7 +80,7 @@ def test_clean_sample_is_valid(spark, tmp_path):
     cfg = C.DatasetConfig.from_json(files.SAMPLE_CONFIG_JSON)
     rep = validate.report(r.drop("row_no"), i, cfg)
     assert validate.is_valid(rep)
-    assert validate.gate(rep) == ["Only 4 ratings — model quality may be low."]
+    assert validate.gate(rep) == ["ratings: 4 rows are few to learn from"]
 
 
 def test_missing_columns_stop_rating_checks(spark):
@@ -86,15 +88,15 @@ def test_missing_columns_stop_rating_checks(spark):
     i = spark.createDataFrame([("2", "x")], "item_id string, title string")
     cfg = C.DatasetConfig(dataset_name="d", feature_cols=["A"])
     msgs = [x["message"] for x in validate.report(r, i, cfg).collect()]
-    assert any("missing required column(s): ['rating', 'timestamp']" in m for m in msgs)
-    assert any("missing the name column 'name'" in m for m in msgs)
-    assert any("missing feature columns: ['A']" in m for m in msgs)
+    assert any("absent columns ['rating', 'timestamp']" in m for m in msgs)
+    assert any("no column 'name'" in m for m in msgs)
+    assert any("absent feature columns ['A']" in m for m in msgs)
 
 
 def test_config_requires_fields(spark, tmp_path):
     p = _write(tmp_path, "c.json", files.SAMPLE_CONFIG_JSON)
     cfg = files.read_config(spark, p)
-    assert cfg.item_name_col == "product_name" and cfg.rating_threshold == 4.0
+    assert cfg.item_name_col == "title" and cfg.rating_threshold == 3.5
     with pytest.raises(ValueError):
         C.DatasetConfig.from_dict({"dataset_name": "x"})
     assert C.DatasetConfig.from_dict({"dataset_name": "x", "feature_cols": []}).item_label == "item"
@@ -189,3 +191,20 @@ def test_neural_weights_roundtrip(spark):
 def test_empty_results_table(spark, tmp_path):
     df = files.load_table_or_empty(spark, str(tmp_path / "missing"), "model string, value double")
     assert df.count() == 0 and df.columns == ["model", "value"]
+
+
+def test_row_numbers_follow_files_and_text_features_are_reported(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    n = 0
+    for k, rows in enumerate((10, 4990, 100)):
+        lines = "".join(f"u,{n + j},4,1,\"say \"\"hi\"\"\"\n" for j in range(rows))
+        (folder / f"part-{k}.csv").write_text("user_id,item_id,rating,timestamp,note\n" + lines)
+        n += rows
+    got = files.read_upload_csv(spark, str(folder))
+    assert got.where("row_no <> cast(item_id as bigint)").count() == 0 and got.count() == n
+    assert got.first()["note"] == 'say "hi"'
+    items = spark.createDataFrame([("1", "x"), ("2", "1"), ("3", None), ("4", "n/a")], "item_id string, A string")
+    cfg = C.DatasetConfig(dataset_name="d", feature_cols=["A"])
+    bad = validate.feature_non_binary(files.null_tokens(items), cfg).first()
+    assert (bad["feature"], bad["n"]) == ("A", 1)
