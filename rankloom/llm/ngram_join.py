@@ -259,37 +259,64 @@ def _stars(rows: DataFrame, by: list[str]) -> DataFrame:
         F.col("best.node").alias("pivot"), "node")
 
 
-def links(docs: DataFrame, scratch: Scratch, member: DataFrame) -> DataFrame:
-    """a, b: links between nodes whose components are those of all links. ``member``: see membership()."""
-    frequent = frequent_shingles(docs, member.count())
-    bins = scratch.table(member.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins")), "bins")
+def _shared_postings(docs: DataFrame, frequent) -> DataFrame:
+    """token, part, node, n, pos of shingles that several nodes have in their prefix."""
     alone = Window.partitionBy("token", "part")
     # once per batch and node so far; the rest of a node's repeats meets here
     rows = postings(docs, frequent).repartition("token", "part").dropDuplicates(["token", "part", "node"])
     rows = rows.withColumn("others", F.min("node").over(alone) != F.max("node").over(alone))
     # a token with several parts is kept in all of them: their pivots meet in a second star
-    rows = scratch.table(rows.where((F.col("parts") > 1) | F.col("others")).select("token", "part", "node", "n", "pos"), "postings")
-    scored = rows.groupBy("node").agg((F.count("*") / F.first("n")).alias("shared"))
-    rows = scratch.table(rows.join(scored, "node"), "scored")
-    scratch.drop("postings")
+    return rows.where((F.col("parts") > 1) | F.col("others")).select("token", "part", "node", "n", "pos")
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    return rows.join(rows.groupBy("node").agg((F.count("*") / F.first("n")).alias("shared")), "node")
+
+
+def _star_pairs(rows: DataFrame) -> DataFrame:
     heads = rows.groupBy("token", "part").agg(F.max(F.struct("shared", "node", "n", "pos")).alias("h")).select("token", "h.*")
-    star = _stars(rows, ["token", "part"]).unionByName(_stars(heads, ["token"])).distinct()
-    tried = scratch.table(star, "stars")
-    scratch.release()
-    pairs = scratch.table(_with_parts(within_reach(tried, bins)), "star-groups")
-    first = scratch.table(verified(pairs, docs, frequent), "links1")
-    label = components(first, scratch, "joined")
-    # posting lists that still hold several components: their pairs across components
+    return _stars(rows, ["token", "part"]).unionByName(_stars(heads, ["token"])).distinct()
+
+
+def _open_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Posting lists that hold several components, with every node's component."""
     comp = rows.join(label.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select(
         "token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     several = comp.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rest = scratch.table(comp.join(several, "token"), "open")
+    return comp.join(several, "token")
+
+
+def _across_pairs(rest: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of one posting list and different components that weren't tried yet."""
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
                     & _may_match("x.", "y.")).select(F.col("x.node").alias("pivot"), F.col("y.node").alias("node")).distinct()
     done = tried.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
-    across = within_reach(across.join(done, ["pivot", "node"], "left_anti"), bins)
-    across = scratch.table(_with_parts(scratch.table(across, "across")), "across-groups")
+    return across.join(done, ["pivot", "node"], "left_anti")
+
+
+def links(docs: DataFrame, scratch: Scratch, member: DataFrame) -> DataFrame:
+    """a, b: links between nodes whose components are those of all links. ``member``: see membership().
+
+    Each phase is a table and holds no frame of the one before, so that its shuffle files can go.
+    """
+    frequent = frequent_shingles(docs, member.count())
+    bins = scratch.table(member.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins")), "bins")
+    scratch.table(_shared_postings(docs, frequent), "postings")
+    scratch.release()
+    rows = scratch.table(_scored(scratch.read("postings")), "scored")
+    scratch.drop("postings")
+    tried = scratch.table(_star_pairs(rows), "stars")
+    scratch.release()
+    pairs = scratch.table(_with_parts(scratch.table(within_reach(tried, bins), "near-stars")), "star-groups")
+    first = scratch.table(verified(pairs, docs, frequent), "links1")
+    scratch.release()
+    scratch.table(_open_rows(rows, components(first, scratch, "joined")), "open")
+    scratch.release()
+    scratch.table(_across_pairs(scratch.read("open"), tried), "across")
+    scratch.release()
+    across = scratch.table(_with_parts(scratch.table(within_reach(scratch.read("across"), bins), "near-across")), "across-groups")
+    scratch.drop("scored", "open", "across")
     scratch.release()
     if across.isEmpty():
         return first
