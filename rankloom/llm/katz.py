@@ -124,6 +124,7 @@ class Model:
     def __init__(self, train: DataFrame, scratch: Scratch):
         pairs = scratch.table(bigram_counts(train), "bigrams")
         words = scratch.table(pairs.groupBy(F.col("w2").alias("w")).agg(F.sum("n").alias("n")), "unigrams")
+        scratch.release()
         self.train_tokens, self.types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         total = max(1, self.train_tokens)
         words = words.withColumn("p", _discounted(F.col("n"), discounts(_counts_of_counts(words))) / F.lit(float(total)))
@@ -135,6 +136,8 @@ class Model:
         joined = scratch.table(
             pairs.withColumn("d", _discounted(F.col("n"), discounts(_counts_of_counts(pairs))))
             .join(words.select(F.col("w").alias("w2"), F.col("p").alias("p2")), "w2"), "paired")
+        scratch.drop("bigrams")
+        scratch.release()
         history = joined.groupBy("w1").agg(F.sum("n").alias("total"), F.sum("d").alias("kept"), F.sum("p2").alias("seen"))
         # a history whose counts are all above CUT keeps one count for the unseen
         history = history.withColumn("base", F.when(F.col("kept") < F.col("total"), F.col("total")).otherwise(F.col("total") + 1))
@@ -142,9 +145,11 @@ class Model:
         history = scratch.table(history.select("w1", "base", F.log10(alpha).alias("log_alpha")), "histories")
         self.bigrams = scratch.table(joined.join(history, "w1").select(
             "w1", "w2", (F.log10(F.col("d") / F.col("base")) - F.col("log_alpha") - F.log10("p2")).alias("gain")), "gains")
+        scratch.drop("paired")
+        scratch.release()
         self.words = scratch.table(words.join(history.select(F.col("w1").alias("w"), "log_alpha"), "w", "full_outer").select(
             "w", F.coalesce("n", F.lit(0)).alias("n"), F.log10("p").alias("logp"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha")), "words")
-        scratch.drop("bigrams", "unigrams", "paired", "histories")
+        scratch.drop("unigrams", "histories")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
