@@ -3,9 +3,17 @@
 Bigram counts are Good-Turing discounted up to CUT; a history's backoff weight is
 what the discounted probabilities leave, divided by the unigram mass of the words
 not seen after it, so every history sums to one exactly over the training words
-and one class for all unseen words. A text's score is the sum over its tokens of
-unigram log probability and the history's log backoff weight, plus, for every
-bigram that training has seen, what its own probability gains over that.
+and one class for all unseen words. A token after a history scores the bigram's
+probability where training has seen it; else it backs off to the history's weight
+times the token's own probability.
+
+The texts are tokenised once into a table of blocks (words as local numbers). Each
+block sends the distinct bigrams it holds to buckets of histories, packed into one
+row per block and bucket, and gets their corpus counts back in the order sent; so a
+bigram costs its bytes once per block, not once per document, and every document is
+scored inside its block. Beyond some hundred TB a packed row holds about one bigram,
+and the shuffle is that of a plain bigram table. The model's tables are words (count,
+probability), histories (base, backoff weight) and the buckets' bigram counts.
 """
 
 from __future__ import annotations
@@ -14,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,76 +33,108 @@ from rankloom.llm.scratch import Scratch
 CUT = 5
 #: hashes of the end token and of the history before the first word
 END, START = np.uint64(1), np.uint64(2)
+#: tokens of a block (a longer document is a block of its own) and of a bucket on average
+BLOCK, BUCKET = 3_000_000, 1_000_000
+#: tokens after one history from which it is split over several buckets; histories that may be so at most
+PART, MOST_HEAVY = 250_000, 1 << 20
+
+BLOCKS = "block bigint, doc_id array<bigint>, held array<boolean>, off binary, vocab binary, ids binary"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def _stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """History, token and document of every token; every document ends with END and begins after START."""
+def _pack(values: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def _unpack(data: bytes, dtype) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", dtype)
+
+
+def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of every document, END last, and how many each has."""
     n = len(off) - 1
     buf = tx.LOWER[buf]
     s, e, d = tx.words(buf, off)
-    h = tx.hashes(buf, s, e)
-    doc = np.concatenate([d, np.arange(n)])
-    token = np.concatenate([h, np.full(n, END)])
-    order = np.argsort(doc, kind="stable")
-    token, doc = token[order], doc[order]
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[np.r_[True, doc[1:] != doc[:-1]] if len(doc) else slice(0)] = START
-    return before, token, doc
-
-
-def _runs(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct tuples of the keys and how often each occurs."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    fresh = np.zeros(len(order), bool)
-    fresh[:1] = True
-    for k in keys:
-        fresh[1:] |= k[1:] != k[:-1]
-    at = np.flatnonzero(fresh)
-    return [k[at] for k in keys], np.diff(np.r_[at, len(order)])
-
-
-def _rows(batches, make):
-    for batch in batches:
-        buf, off = tx.utf8(batch.column(1))
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j in tx.pieces(off, 4 * tx.PIECE):
-            yield make(key[i:j], *_stream(buf[off[i]:off[j]], off[i:j + 1] - off[i]))
-
-
-def _longs(names: str, *cols) -> pa.RecordBatch:
-    cols = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in cols]
-    return pa.RecordBatch.from_arrays(cols, names=names.split())
-
-
-def bigram_counts(docs: DataFrame) -> DataFrame:
-    """w1, w2, n over all texts; counted per batch before the shuffle."""
-    def make(_, before, token, doc):
-        (a, b), n = _runs(before, token)
-        return _longs("w1 w2 n", a, b, n)
-    return docs.mapInArrow(lambda b: _rows(b, make), "w1 bigint, w2 bigint, n bigint").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
-
-
-def document_bigrams(docs: DataFrame) -> DataFrame:
-    """key, w1, w2, n: the bigrams of every document."""
-    def make(key, before, token, doc):
-        (d, a, b), n = _runs(doc, before, token)
-        return _longs("key w1 w2 n", key[d], a, b, n)
-    return docs.mapInArrow(lambda b: _rows(b, make), "key bigint, w1 bigint, w2 bigint, n bigint")
-
-
-def document_words(docs: DataFrame) -> DataFrame:
-    """key, w, n, h: how often every document has a token, and has it as a history."""
-    def make(key, before, token, doc):
-        side = np.repeat([0, 1], len(token))
-        (d, w, s), n = _runs(np.r_[doc, doc], np.r_[token, before], side)
-        return _longs("key w n h", key[d], w, np.where(s == 0, n, 0), np.where(s == 1, n, 0))
-    return docs.mapInArrow(lambda b: _rows(b, make), "key bigint, w bigint, n bigint, h bigint")
+    count = np.bincount(d, minlength=n) + 1
+    token = np.full(int(count.sum()), END)
+    is_word = np.ones(len(token), bool)
+    is_word[np.cumsum(count) - 1] = False
+    token[is_word] = tx.hashes(buf, s, e)
+    return token, count
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """BLOCKS of ``docs`` (doc_id, held, text): documents, offsets of their tokens, sorted word hashes, token numbers."""
+    def block(number, held):
+        ids, marks, token, count = (np.concatenate(x) if k > 1 else sum(x, []) for k, x in enumerate(zip(*held, strict=True)))
+        vocab, at = np.unique(np.concatenate([[START], token]), return_inverse=True)
+        off = np.concatenate([[0], np.cumsum(count)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.bool_())),
+             *(pa.array([_pack(x)], pa.binary()) for x in (off, vocab, at[1:].astype(np.int32)))],
+            names=["block", "doc_id", "held", "off", "vocab", "ids"])
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+        for batch in batches:
+            buf, off = tx.utf8(batch.column(2))
+            for i, j in tx.pieces(off):
+                token, count = _tokens(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                held.append((batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist(), token, count))
+                size += len(token)
+                if size >= BLOCK:
+                    yield block(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield block(number, held)
+
+    return docs.mapInArrow(run, BLOCKS)
+
+
+class _Block:
+    """One row of BLOCKS, unpacked."""
+
+    def __init__(self, row: dict):
+        self.block, self.doc_id, self.held = row["block"], row["doc_id"], np.array(row["held"], bool)
+        self.off, self.vocab, self.ids = _unpack(row["off"], np.int64), _unpack(row["vocab"], np.uint64), _unpack(row["ids"], np.int32)
+        self.train = np.repeat(~self.held, np.diff(self.off))
+        self.before = np.empty_like(self.ids)
+        self.before[1:] = self.ids[:-1]
+        self.before[self.off[:-1]] = np.searchsorted(self.vocab, START)
+
+    def pairs(self, heavy: np.ndarray, parts: np.ndarray, n_buckets: int):
+        """Distinct bigrams by bucket (history and word as local numbers), their bucket, and every token's bigram."""
+        v = len(self.vocab)
+        code, at = np.unique(self.before.astype(np.int64) * v + self.ids, return_inverse=True)
+        a, b = code // v, code % v
+        split = np.ones(v, np.uint64)
+        if len(heavy):
+            k = np.minimum(np.searchsorted(heavy, self.vocab), len(heavy) - 1)
+            split = np.where(heavy[k] == self.vocab, parts[k], 1).astype(np.uint64)
+        part = tx.mix(self.vocab[b]) % split[a]
+        bucket = (tx.mix(self.vocab[a] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return a[order], b[order], bucket[order], rank[at]
+
+
+def block_words(table: DataFrame) -> DataFrame:
+    """block, w, n: the words of every block and their training count in it."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = _Block(row)
+                n = np.bincount(x.ids[x.train], minlength=len(x.vocab))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), x.block)), pa.array(x.vocab.view(np.int64)), pa.array(n, pa.int64())],
+                                                 names=["block", "w", "n"])
+    return table.mapInArrow(run, "block bigint, w bigint, n bigint")
 
 
 def discounts(counts_of_counts: dict[int, int]) -> list[float]:
@@ -114,76 +155,144 @@ def _discounted(n: Column, factors: list[float]) -> Column:
     return out
 
 
-def _counts_of_counts(df: DataFrame) -> dict[int, int]:
-    return {r.n: r["count"] for r in df.where(F.col("n") <= CUT + 1).groupBy("n").count().collect()}
+def _discounted_array(n: np.ndarray, factors: list[float]) -> np.ndarray:
+    return np.where(n <= CUT, np.r_[0.0, np.arange(1, CUT + 1) * factors][np.minimum(n, CUT)], n.astype(float))
 
 
 class Model:
-    """words (w, n, logp, log_alpha), bigrams (w1, w2, gain) as tables; train_tokens, types, unseen."""
+    """Tables words (w, n, logp) and histories (w1, base, log_alpha); the blocks' bigram counts in ``paired``."""
 
-    def __init__(self, train: DataFrame, scratch: Scratch):
-        pairs = scratch.table(bigram_counts(train), "bigrams")
-        words = scratch.table(pairs.groupBy(F.col("w2").alias("w")).agg(F.sum("n").alias("n")), "unigrams")
-        scratch.release()
-        self.train_tokens, self.types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    def __init__(self, table: DataFrame, local: DataFrame, scratch: Scratch):
+        self.words = scratch.table(local.where("n > 0").groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
+        self.train_tokens, self.types = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         total = max(1, self.train_tokens)
-        words = words.withColumn("p", _discounted(F.col("n"), discounts(_counts_of_counts(words))) / F.lit(float(total)))
-        left = 1.0 - (words.agg(F.sum("p")).first()[0] or 0.0)
+        few = {r.n: r["count"] for r in self.words.where(F.col("n") <= CUT + 1).groupBy("n").count().collect()}
+        factors = discounts(few)
+        kept = self.words.agg(F.sum(_discounted(F.col("n"), factors) / F.lit(float(total)))).first()[0] or 0.0
         # frequent words alone leave nothing: then one token more stands for the unseen
-        shrink = 1.0 if left > 1e-12 else total / (total + 1.0)
-        self.unseen = max(left, 1.0 / (total + 1.0)) if shrink == 1.0 else 1.0 - shrink * (1.0 - left)
-        words = words.withColumn("p", F.col("p") * F.lit(shrink))
-        joined = scratch.table(
-            pairs.withColumn("d", _discounted(F.col("n"), discounts(_counts_of_counts(pairs))))
-            .join(words.select(F.col("w").alias("w2"), F.col("p").alias("p2")), "w2"), "paired")
-        scratch.drop("bigrams")
-        scratch.release()
-        history = joined.groupBy("w1").agg(F.sum("n").alias("total"), F.sum("d").alias("kept"), F.sum("p2").alias("seen"))
+        shrink = 1.0 if 1.0 - kept > 1e-12 else total / (total + 1.0)
+        self.unseen = max(1.0 - kept, 1.0 / (total + 1.0)) if shrink == 1.0 else 1.0 - shrink * kept
+        self.words = self.words.withColumn("logp", F.log10(_discounted(F.col("n"), factors) / F.lit(float(total)) * F.lit(shrink)))
+        # histories of many tokens; a document begins with START, so that is split by the number of documents
+        n_docs, n_tokens = (table.select(F.size("doc_id").alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0], self.train_tokens)
+        least = max(PART, n_tokens // MOST_HEAVY + 1)
+        heavy = [(r.w, r.n) for r in self.words.where(F.col("n") >= least).select("w", "n").collect()] + [(int(START), n_docs)]
+        keys = np.array([w for w, _ in heavy], np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.heavy = keys[order], np.maximum(1, -(-np.array([n for _, n in heavy], np.int64) // PART))[order]
+        self.n_buckets = max(1, -(-(n_tokens + n_docs) // BUCKET))
+        self.paired = scratch.table(self._bucket_counts(self._dealt(table, local), factors, shrink / total), "paired")
+        sums = self.paired.where(F.col("w1").isNotNull()).groupBy("w1").agg(
+            *(F.sum(f"k{r}").alias(f"k{r}") for r in range(1, CUT + 2)), F.sum("more").alias("more"), F.sum("seen").alias("seen"))
+        sums = scratch.table(sums, "histories")
+        few = sums.agg(*(F.coalesce(F.sum(f"k{r}"), F.lit(0)) for r in range(1, CUT + 2))).first()
+        self.factors = discounts(dict(enumerate(few, 1)))
+        count = lambda by: sum((F.col(f"k{r}") * F.lit(by(r)) for r in range(1, CUT + 1)), F.col("more"))
+        history = sums.select("w1", "seen", count(lambda r: r).alias("total"), count(lambda r: r * self.factors[r - 1]).alias("kept"))
         # a history whose counts are all above CUT keeps one count for the unseen
-        history = history.withColumn("base", F.when(F.col("kept") < F.col("total"), F.col("total")).otherwise(F.col("total") + 1))
+        history = history.withColumn("base", F.when(F.col("kept") < F.col("total"), F.col("total")).otherwise(F.col("total") + 1).cast("double"))
         alpha = (1 - F.col("kept") / F.col("base")) / F.greatest(1 - F.col("seen"), F.lit(1e-300))
-        history = scratch.table(history.select("w1", "base", F.log10(alpha).alias("log_alpha")), "histories")
-        self.bigrams = scratch.table(joined.join(history, "w1").select(
-            "w1", "w2", (F.log10(F.col("d") / F.col("base")) - F.col("log_alpha") - F.log10("p2")).alias("gain")), "gains")
-        scratch.drop("paired")
-        scratch.release()
-        self.words = scratch.table(words.join(history.select(F.col("w1").alias("w"), "log_alpha"), "w", "full_outer").select(
-            "w", F.coalesce("n", F.lit(0)).alias("n"), F.log10("p").alias("logp"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha")), "words")
-        scratch.drop("unigrams", "histories")
+        self.histories = history.select("w1", "base", F.log10(alpha).alias("log_alpha"))
+
+    def _dealt(self, table: DataFrame, local: DataFrame) -> DataFrame:
+        """bucket, block, w1, w2, n2, t: packed distinct bigrams of a block in a bucket, the word's count and the training count here."""
+        heavy, n_buckets = self.heavy, self.n_buckets
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            w, n = right.column("w").to_numpy().view(np.uint64), right.column("n").to_numpy()
+            order = np.argsort(w)
+            for row in left.to_pylist():
+                x = _Block(row)
+                count = n[order][np.searchsorted(w[order], x.vocab)]
+                a, b, bucket, at = x.pairs(*heavy, n_buckets)
+                t = np.bincount(at[x.train], minlength=len(a))
+                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                for i, j in zip(cut, np.r_[cut[1:], len(a)], strict=True):
+                    out.append((int(bucket[i]), x.block, *(_pack(c[i:j]) for c in (x.vocab[a], x.vocab[b], count[b], t))))
+            names = ["bucket", "block", "w1", "w2", "n2", "t"]
+            types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.table([pa.array([r[k] for r in out], types[k]) for k in range(6)], names=names)
+
+        asked = local.select("block", "w").join(self.words.select("w", "n"), "w", "left").select("block", "w", F.coalesce("n", F.lit(0)).alias("n"))
+        return table.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+            run, "bucket bigint, block bigint, w1 binary, w2 binary, n2 binary, t binary")
+
+    @staticmethod
+    def _bucket_counts(dealt: DataFrame, factors: list[float], scale: float) -> DataFrame:
+        """block, bucket, counts (of the bigrams as the block sent them); and per history of the bucket w1, k1.., more, seen."""
+        names = ["block", "bucket", "counts", "w1", *(f"k{r}" for r in range(1, CUT + 2)), "more", "seen"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * (CUT + 3), pa.float64()]
+
+        def run(table: pa.Table) -> pa.Table:
+            rows = table.to_pylist()
+            w1, w2 = (np.concatenate([_unpack(r[k], np.uint64) for r in rows]) for k in ("w1", "w2"))
+            n2, t = (np.concatenate([_unpack(r[k], np.int64) for r in rows]) for k in ("n2", "t"))
+            order = np.lexsort((w2, w1))
+            h, w = w1[order], w2[order]
+            fresh = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
+            first = np.flatnonzero(fresh)
+            c = np.add.reduceat(t[order], first)
+            every = np.empty(len(t), np.int64)
+            every[order] = c[np.cumsum(fresh) - 1]
+            ends = np.cumsum([int.from_bytes(r["w1"][:8], "little") // 8 for r in rows])[:-1]
+            back = [_pack(x) for x in np.split(every, ends)]
+            h, c, p2 = h[first], c, _discounted_array(n2[order][first], factors) * scale
+            h, c, p2 = h[c > 0], c[c > 0], p2[c > 0]
+            key, at = np.unique(h, return_inverse=True)
+            sums = [np.bincount(at, weights=x, minlength=len(key)) for x in (*(c == r for r in range(1, CUT + 2)), np.where(c > CUT, c, 0), p2)]
+            n, m = len(rows), len(key)
+            head = [pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int64()), pa.array(back, pa.binary())]
+            first_rows = pa.table([*head, *(pa.nulls(n, k) for k in kinds[3:])], names=names)
+            tail = [pa.array(key.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums[:-1]), pa.array(sums[-1])]
+            return pa.concat_tables([first_rows, pa.table([*(pa.nulls(m, k) for k in kinds[:3]), *tail], names=names)])
+
+        schema = "block bigint, bucket bigint, counts binary, w1 bigint, " + ", ".join(f"k{r} bigint" for r in range(1, CUT + 2)) + ", more bigint, seen double"
+        return dealt.groupBy("bucket").applyInArrow(run, schema)
+
+    def score(self, table: DataFrame, local: DataFrame) -> DataFrame:
+        """doc_id, n_tokens, n_known, base_score, score of every document of the blocks."""
+        heavy, n_buckets, factors, lost = self.heavy, self.n_buckets, self.factors, math.log10(self.unseen)
+        norm = math.log10(self.train_tokens + 0.5 * (self.types + 1))
+        names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            is_word = right.column("bucket").is_null().to_numpy()
+            told = right.filter(pa.array(is_word)).sort_by("u")
+            sent = right.filter(pa.array(~is_word)).sort_by("bucket").column("counts").to_pylist()
+            for row in left.to_pylist():
+                x = _Block(row)
+                at = np.argsort(told.column("u").to_numpy().view(np.uint64), kind="stable")
+                n, logp, base, back = (told.column(k).to_numpy()[at] for k in ("n", "logp", "base", "log_alpha"))
+                c = np.concatenate([_unpack(s, np.int64) for s in sent])[x.pairs(*heavy, n_buckets)[3]]
+                i, h = x.ids, x.before
+                value = np.log10(np.maximum(_discounted_array(c, factors), 1e-300)) - np.log10(base[h])
+                value = np.where(c > 0, value, logp[i] + back[h])
+                total = lambda v: np.add.reduceat(v, x.off[:-1])  # noqa: E731, B023
+                out.append(pa.table([pa.array(x.doc_id, pa.int64()), pa.array(np.diff(x.off), pa.int64()), pa.array(total((n[i] > 0).astype(np.int64))),
+                                     pa.array(total(np.log10(n[i] + 0.5) - norm)), pa.array(total(value))], names=names))
+            return pa.concat_tables(out)
+
+        asked = local.select("block", "w").join(self.words, "w", "left").join(self.histories.withColumnRenamed("w1", "w"), "w", "left").select(
+            "block", F.col("w").alias("u"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("logp", F.lit(lost)).alias("logp"),
+            F.coalesce("base", F.lit(1.0)).alias("base"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
+        told = asked.unionByName(self.paired.where(F.col("block").isNotNull()).select("block", "bucket", "counts"), allowMissingColumns=True)
+        return table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+            run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs`` (doc_id, text).
 
-    Null or empty text: the end token alone. Rows that share a doc_id and a text score alike; of one doc_id,
-    every row is scored by its own text. No training rows: every token is unseen. No rows: no rows.
+    Null or empty text: the end token alone. Rows that share a doc_id, repeated ones too, are each scored by
+    their own text. A null doc_id trains. No training rows: every token is unseen. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession, "katz")
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model = Model(src.where(~held_out(F.col("doc_id"))).select("doc_id", "text"), scratch)
-    scratch.release()
-    keyed = src.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    texts = keyed.select("key", "text")
-    n, v = model.train_tokens, model.types
-    norm = math.log10(n + 0.5 * (v + 1))
-    words = document_words(texts).alias("d").join(model.words.alias("m"), F.col("d.w") == F.col("m.w"), "left").select(
-        "d.key", "d.n", "d.h", F.coalesce("m.n", F.lit(0)).alias("c"), F.coalesce("m.logp", F.lit(math.log10(model.unseen))).alias("logp"),
-        F.coalesce("m.log_alpha", F.lit(0.0)).alias("log_alpha"))
-    part1 = words.groupBy("key").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.lit(norm))).alias("base_score"),
-        F.sum(F.col("n") * F.col("logp") + F.col("h") * F.col("log_alpha")).alias("score"))
-    part1 = scratch.table(part1, "by-words")
-    del words
-    scratch.release()
-    part2 = document_bigrams(texts).join(model.bigrams, ["w1", "w2"]).groupBy("key").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    part2 = scratch.table(part2, "by-bigrams")
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held"), F.col("text").cast("string").alias("text"))
+    table = scratch.table(blocks(src), "blocks")
+    local = scratch.table(block_words(table), "block-words")
+    model = Model(table, local, scratch)
     scratch.release()
-    # rows repeated in full were counted together: each gets its share
-    rows = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"))
-    out = rows.join(part1, "key").join(part2, "key", "left")
-    per = lambda c: (F.col(c) / F.col("times"))
-    done = out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), per("n_tokens").cast("long").alias("n_tokens"),
-                      per("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), per("base_score").alias("base_score"),
-                      ((F.col("score") + F.coalesce("gain", F.lit(0.0))) / F.col("times")).alias("score"), "times")
-    return done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times", "copy")
+    return model.score(table, local).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+                                            F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
