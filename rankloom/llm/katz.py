@@ -164,6 +164,7 @@ class Model:
 
     def __init__(self, table: DataFrame, local: DataFrame, scratch: Scratch):
         self.words = scratch.table(local.where("n > 0").groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
+        scratch.release()
         self.train_tokens, self.types = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         total = max(1, self.train_tokens)
         few = {r.n: r["count"] for r in self.words.where(F.col("n") <= CUT + 1).groupBy("n").count().collect()}
@@ -182,6 +183,7 @@ class Model:
         self.heavy = keys[order], np.maximum(1, -(-np.array([n for _, n in heavy], np.int64) // PART))[order]
         self.n_buckets = max(1, -(-(n_tokens + n_docs) // BUCKET))
         self.paired = scratch.table(self._bucket_counts(self._dealt(table, local), factors, shrink / total), "paired")
+        scratch.release()
         sums = self.paired.where(F.col("w1").isNotNull()).groupBy("w1").agg(
             *(F.sum(f"k{r}").alias(f"k{r}") for r in range(1, CUT + 2)), F.sum("more").alias("more"), F.sum("seen").alias("seen"))
         sums = scratch.table(sums, "histories")
