@@ -34,7 +34,7 @@ CUT = 5
 #: hashes of the end token and of the history before the first word
 END, START = np.uint64(1), np.uint64(2)
 #: tokens of a block (a longer document is a block of its own) and of a bucket on average
-BLOCK, BUCKET = 3_000_000, 1_000_000
+BLOCK, BUCKET = 1_500_000, 1_000_000
 #: tokens after one history from which it is split over several buckets; histories that may be so at most
 PART, MOST_HEAVY = 250_000, 1 << 20
 
@@ -160,9 +160,10 @@ def _discounted_array(n: np.ndarray, factors: list[float]) -> np.ndarray:
 
 
 class Model:
-    """Tables words (w, n, logp) and histories (w1, base, log_alpha); the blocks' bigram counts in ``paired``."""
+    """Tables words (w, n) and histories (w1, base, log_alpha); the blocks' word counts in ``asked``, bigram counts in ``paired``."""
 
-    def __init__(self, table: DataFrame, local: DataFrame, scratch: Scratch):
+    def __init__(self, table: DataFrame, scratch: Scratch):
+        local = scratch.table(block_words(table), "block-words")
         self.words = scratch.table(local.where("n > 0").groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
         scratch.release()
         self.train_tokens, self.types = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -173,7 +174,7 @@ class Model:
         # frequent words alone leave nothing: then one token more stands for the unseen
         shrink = 1.0 if 1.0 - kept > 1e-12 else total / (total + 1.0)
         self.unseen = max(1.0 - kept, 1.0 / (total + 1.0)) if shrink == 1.0 else 1.0 - shrink * kept
-        self.words = self.words.withColumn("logp", F.log10(_discounted(F.col("n"), factors) / F.lit(float(total)) * F.lit(shrink)))
+        self.logp = F.log10(_discounted(F.col("n"), factors) / F.lit(float(total)) * F.lit(shrink))
         # histories of many tokens; a document begins with START, so that is split by the number of documents
         n_docs, n_tokens = (table.select(F.size("doc_id").alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0], self.train_tokens)
         least = max(PART, n_tokens // MOST_HEAVY + 1)
@@ -182,7 +183,12 @@ class Model:
         order = np.argsort(keys)
         self.heavy = keys[order], np.maximum(1, -(-np.array([n for _, n in heavy], np.int64) // PART))[order]
         self.n_buckets = max(1, -(-(n_tokens + n_docs) // BUCKET))
-        self.paired = scratch.table(self._bucket_counts(self._dealt(table, local), factors, shrink / total), "paired")
+        known = self.words.select("w", "n")
+        self.asked = scratch.table(local.select("block", "w").join(known, "w", "left").select("block", "w", F.coalesce("n", F.lit(0)).alias("n")), "asked")
+        scratch.drop("block-words")
+        del local
+        scratch.release()
+        self.paired = scratch.table(self._bucket_counts(self._dealt(table), factors, shrink / total), "paired")
         scratch.release()
         sums = self.paired.where(F.col("w1").isNotNull()).groupBy("w1").agg(
             *(F.sum(f"k{r}").alias(f"k{r}") for r in range(1, CUT + 2)), F.sum("more").alias("more"), F.sum("seen").alias("seen"))
@@ -196,7 +202,7 @@ class Model:
         alpha = (1 - F.col("kept") / F.col("base")) / F.greatest(1 - F.col("seen"), F.lit(1e-300))
         self.histories = history.select("w1", "base", F.log10(alpha).alias("log_alpha"))
 
-    def _dealt(self, table: DataFrame, local: DataFrame) -> DataFrame:
+    def _dealt(self, table: DataFrame) -> DataFrame:
         """bucket, block, w1, w2, n2, t: packed distinct bigrams of a block in a bucket, the word's count and the training count here."""
         heavy, n_buckets = self.heavy, self.n_buckets
 
@@ -216,8 +222,7 @@ class Model:
             types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.table([pa.array([r[k] for r in out], types[k]) for k in range(6)], names=names)
 
-        asked = local.select("block", "w").join(self.words.select("w", "n"), "w", "left").select("block", "w", F.coalesce("n", F.lit(0)).alias("n"))
-        return table.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+        return table.groupBy("block").cogroup(self.asked.groupBy("block")).applyInArrow(
             run, "bucket bigint, block bigint, w1 binary, w2 binary, n2 binary, t binary")
 
     @staticmethod
@@ -252,7 +257,7 @@ class Model:
         schema = "block bigint, bucket bigint, counts binary, w1 bigint, " + ", ".join(f"k{r} bigint" for r in range(1, CUT + 2)) + ", more bigint, seen double"
         return dealt.groupBy("bucket").applyInArrow(run, schema)
 
-    def score(self, table: DataFrame, local: DataFrame) -> DataFrame:
+    def score(self, table: DataFrame) -> DataFrame:
         """doc_id, n_tokens, n_known, base_score, score of every document of the blocks."""
         heavy, n_buckets, factors, lost = self.heavy, self.n_buckets, self.factors, math.log10(self.unseen)
         norm = math.log10(self.train_tokens + 0.5 * (self.types + 1))
@@ -276,8 +281,8 @@ class Model:
                                      pa.array(total(np.log10(n[i] + 0.5) - norm)), pa.array(total(value))], names=names))
             return pa.concat_tables(out)
 
-        asked = local.select("block", "w").join(self.words, "w", "left").join(self.histories.withColumnRenamed("w1", "w"), "w", "left").select(
-            "block", F.col("w").alias("u"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("logp", F.lit(lost)).alias("logp"),
+        asked = self.asked.join(self.histories.withColumnRenamed("w1", "w"), "w", "left").select(
+            "block", F.col("w").alias("u"), "n", F.when(F.col("n") > 0, self.logp).otherwise(F.lit(lost)).alias("logp"),
             F.coalesce("base", F.lit(1.0)).alias("base"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
         told = asked.unionByName(self.paired.where(F.col("block").isNotNull()).select("block", "bucket", "counts"), allowMissingColumns=True)
         return table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
@@ -293,8 +298,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "katz")
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held"), F.col("text").cast("string").alias("text"))
     table = scratch.table(blocks(src), "blocks")
-    local = scratch.table(block_words(table), "block-words")
-    model = Model(table, local, scratch)
+    model = Model(table, scratch)
     scratch.release()
-    return model.score(table, local).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+    return model.score(table).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
                                             F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
