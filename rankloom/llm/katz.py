@@ -103,6 +103,7 @@ class _Block:
     def __init__(self, row: dict):
         self.block, self.doc_id, self.held = row["block"], row["doc_id"], np.array(row["held"], bool)
         self.off, self.vocab, self.ids = _unpack(row["off"], np.int64), _unpack(row["vocab"], np.uint64), _unpack(row["ids"], np.int32)
+        self.n = _unpack(row["n"], np.int64) if "n" in row else None
         self.train = np.repeat(~self.held, np.diff(self.off))
         self.before = np.empty_like(self.ids)
         self.before[1:] = self.ids[:-1]
@@ -137,6 +138,18 @@ def block_words(table: DataFrame) -> DataFrame:
     return table.mapInArrow(run, "block bigint, w bigint, n bigint")
 
 
+def with_counts(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """The blocks with n, the training counts of their words. ``asked``: block, w, n."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        w, n = right.column("w").to_numpy().view(np.uint64), right.column("n").to_numpy()
+        order = np.argsort(w)
+        w, n = w[order], n[order]
+        told = [_pack(n[np.searchsorted(w, _unpack(v, np.uint64))]) for v in left.column("vocab").to_pylist()]
+        return left.append_column("n", pa.array(told, pa.binary()))
+
+    return table.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, BLOCKS + ", n binary")
+
+
 def discounts(counts_of_counts: dict[int, int]) -> list[float]:
     """Factor of every count up to CUT by Good-Turing; half a count less where the counts are too few to tell."""
     n = [counts_of_counts.get(r, 0) for r in range(CUT + 2)]
@@ -160,7 +173,10 @@ def _discounted_array(n: np.ndarray, factors: list[float]) -> np.ndarray:
 
 
 class Model:
-    """Tables words (w, n) and histories (w1, base, log_alpha); the blocks' word counts in ``asked``, bigram counts in ``paired``."""
+    """Tables words (w, n) and histories (w1, base, log_alpha); ``blocks`` with their words' counts, bigram counts in ``paired``.
+
+    ``table``: the blocks, a table "blocks" of ``scratch`` that is dropped when its words are counted.
+    """
 
     def __init__(self, table: DataFrame, scratch: Scratch):
         local = scratch.table(block_words(table), "block-words")
@@ -174,7 +190,7 @@ class Model:
         # frequent words alone leave nothing: then one token more stands for the unseen
         shrink = 1.0 if 1.0 - kept > 1e-12 else total / (total + 1.0)
         self.unseen = max(1.0 - kept, 1.0 / (total + 1.0)) if shrink == 1.0 else 1.0 - shrink * kept
-        self.logp = F.log10(_discounted(F.col("n"), factors) / F.lit(float(total)) * F.lit(shrink))
+        self.word_factors, self.scale = factors, shrink / total
         # histories of many tokens; a document begins with START, so that is split by the number of documents
         n_docs, n_tokens = (table.select(F.size("doc_id").alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0], self.train_tokens)
         least = max(PART, n_tokens // MOST_HEAVY + 1)
@@ -183,12 +199,14 @@ class Model:
         order = np.argsort(keys)
         self.heavy = keys[order], np.maximum(1, -(-np.array([n for _, n in heavy], np.int64) // PART))[order]
         self.n_buckets = max(1, -(-(n_tokens + n_docs) // BUCKET))
-        known = self.words.select("w", "n")
-        self.asked = scratch.table(local.select("block", "w").join(known, "w", "left").select("block", "w", F.coalesce("n", F.lit(0)).alias("n")), "asked")
+        asked = scratch.table(local.select("block", "w").join(self.words, "w", "left").select("block", "w", F.coalesce("n", F.lit(0)).alias("n")), "asked")
         scratch.drop("block-words")
-        del local
         scratch.release()
-        self.paired = scratch.table(self._bucket_counts(self._dealt(table), factors, shrink / total), "paired")
+        self.blocks = scratch.table(with_counts(table, asked), "counted")
+        scratch.drop("blocks", "asked")
+        del local, asked, table
+        scratch.release()
+        self.paired = scratch.table(self._bucket_counts(self._dealt(), factors, self.scale), "paired")
         scratch.release()
         sums = self.paired.where(F.col("w1").isNotNull()).groupBy("w1").agg(
             *(F.sum(f"k{r}").alias(f"k{r}") for r in range(1, CUT + 2)), F.sum("more").alias("more"), F.sum("seen").alias("seen"))
@@ -202,28 +220,23 @@ class Model:
         alpha = (1 - F.col("kept") / F.col("base")) / F.greatest(1 - F.col("seen"), F.lit(1e-300))
         self.histories = history.select("w1", "base", F.log10(alpha).alias("log_alpha"))
 
-    def _dealt(self, table: DataFrame) -> DataFrame:
+    def _dealt(self) -> DataFrame:
         """bucket, block, w1, w2, n2, t: packed distinct bigrams of a block in a bucket, the word's count and the training count here."""
         heavy, n_buckets = self.heavy, self.n_buckets
 
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = []
-            w, n = right.column("w").to_numpy().view(np.uint64), right.column("n").to_numpy()
-            order = np.argsort(w)
-            for row in left.to_pylist():
-                x = _Block(row)
-                count = n[order][np.searchsorted(w[order], x.vocab)]
-                a, b, bucket, at = x.pairs(*heavy, n_buckets)
-                t = np.bincount(at[x.train], minlength=len(a))
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                for i, j in zip(cut, np.r_[cut[1:], len(a)], strict=True):
-                    out.append((int(bucket[i]), x.block, *(_pack(c[i:j]) for c in (x.vocab[a], x.vocab[b], count[b], t))))
-            names = ["bucket", "block", "w1", "w2", "n2", "t"]
-            types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            return pa.table([pa.array([r[k] for r in out], types[k]) for k in range(6)], names=names)
-
-        return table.groupBy("block").cogroup(self.asked.groupBy("block")).applyInArrow(
-            run, "bucket bigint, block bigint, w1 binary, w2 binary, n2 binary, t binary")
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    x = _Block(row)
+                    a, b, bucket, at = x.pairs(*heavy, n_buckets)
+                    t = np.bincount(at[x.train], minlength=len(a))
+                    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                    for i, j in zip(cut, np.r_[cut[1:], len(a)], strict=True):
+                        sent = (x.vocab[a[i:j]], x.vocab[b[i:j]], x.n[b[i:j]], t[i:j])
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket[i]], pa.int64()), pa.array([x.block], pa.int64()), *(pa.array([_pack(c)], pa.binary()) for c in sent)],
+                                                         names=["bucket", "block", "w1", "w2", "n2", "t"])
+
+        return self.blocks.mapInArrow(run, "bucket bigint, block bigint, w1 binary, w2 binary, n2 binary, t binary")
 
     @staticmethod
     def _bucket_counts(dealt: DataFrame, factors: list[float], scale: float) -> DataFrame:
@@ -257,21 +270,24 @@ class Model:
         schema = "block bigint, bucket bigint, counts binary, w1 bigint, " + ", ".join(f"k{r} bigint" for r in range(1, CUT + 2)) + ", more bigint, seen double"
         return dealt.groupBy("bucket").applyInArrow(run, schema)
 
-    def score(self, table: DataFrame) -> DataFrame:
+    def score(self) -> DataFrame:
         """doc_id, n_tokens, n_known, base_score, score of every document of the blocks."""
-        heavy, n_buckets, factors, lost = self.heavy, self.n_buckets, self.factors, math.log10(self.unseen)
+        heavy, n_buckets, factors = self.heavy, self.n_buckets, self.factors
+        word_factors, scale, unseen = self.word_factors, self.scale, self.unseen
         norm = math.log10(self.train_tokens + 0.5 * (self.types + 1))
         names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             out = []
             is_word = right.column("bucket").is_null().to_numpy()
-            told = right.filter(pa.array(is_word)).sort_by("u")
+            told = right.filter(pa.array(is_word))
             sent = right.filter(pa.array(~is_word)).sort_by("bucket").column("counts").to_pylist()
             for row in left.to_pylist():
                 x = _Block(row)
                 at = np.argsort(told.column("u").to_numpy().view(np.uint64), kind="stable")
-                n, logp, base, back = (told.column(k).to_numpy()[at] for k in ("n", "logp", "base", "log_alpha"))
+                base, back = (told.column(k).to_numpy()[at] for k in ("base", "log_alpha"))
+                n = x.n
+                logp = np.log10(np.where(n > 0, _discounted_array(n, word_factors) * scale, unseen))
                 c = np.concatenate([_unpack(s, np.int64) for s in sent])[x.pairs(*heavy, n_buckets)[3]]
                 i, h = x.ids, x.before
                 value = np.log10(np.maximum(_discounted_array(c, factors), 1e-300)) - np.log10(base[h])
@@ -281,11 +297,10 @@ class Model:
                                      pa.array(total(np.log10(n[i] + 0.5) - norm)), pa.array(total(value))], names=names))
             return pa.concat_tables(out)
 
-        asked = self.asked.join(self.histories.withColumnRenamed("w1", "w"), "w", "left").select(
-            "block", F.col("w").alias("u"), "n", F.when(F.col("n") > 0, self.logp).otherwise(F.lit(lost)).alias("logp"),
-            F.coalesce("base", F.lit(1.0)).alias("base"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
+        asked = block_words(self.blocks).select("block", "w").join(self.histories.withColumnRenamed("w1", "w"), "w", "left").select(
+            "block", F.col("w").alias("u"), F.coalesce("base", F.lit(1.0)).alias("base"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
         told = asked.unionByName(self.paired.where(F.col("block").isNotNull()).select("block", "bucket", "counts"), allowMissingColumns=True)
-        return table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+        return self.blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
             run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
@@ -300,5 +315,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     table = scratch.table(blocks(src), "blocks")
     model = Model(table, scratch)
     scratch.release()
-    return model.score(table).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+    return model.score().select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
                                             F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
