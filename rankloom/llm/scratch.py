@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,5 +37,9 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        # the last job's frames are only let go while later calls run, so one collection isn't enough
+        for _ in range(3):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            self.spark.range(1).collect()
+            time.sleep(0.3)
