@@ -287,10 +287,25 @@ def _open_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _across_pairs(rest: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of one posting list and different components that weren't tried yet."""
+    """Pairs of one posting list and different components that weren't tried yet and may overlap enough.
+
+    A pair meets once per shingle that both prefixes hold. The prefix that ends first in the global order holds
+    every common shingle up to its end, so at most what that set has behind its prefix comes on top of these;
+    for the other set, at most what follows its last common place.
+    """
     x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-                    & _may_match("x.", "y.")).select(F.col("x.node").alias("pivot"), F.col("y.node").alias("node")).distinct()
+    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits)
+    pair = met.groupBy(F.col("x.node").alias("pivot"), F.col("y.node").alias("node")).agg(
+        F.count("*").alias("common"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn"), F.min("x.pos").alias("xpos"), F.min("y.pos").alias("ypos"),
+        F.max("x.pos").alias("xlast"), F.max("y.pos").alias("ylast"))
+
+    def behind(first: str, other: str) -> Column:
+        prefix_rest = F.ceil(F.col(f"{first}n") * PERCENT / 100) - 1
+        return F.least(prefix_rest, F.col(f"{other}n") - F.col(f"{other}last") - 1)
+
+    most = F.col("common") + F.greatest(behind("x", "y"), behind("y", "x"))
+    across = pair.where((most * (100 + PERCENT) >= (F.col("xn") + F.col("yn")) * PERCENT) & _may_match("x", "y")).select("pivot", "node")
     done = tried.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
     return across.join(done, ["pivot", "node"], "left_anti")
 
