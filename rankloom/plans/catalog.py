@@ -417,7 +417,7 @@ SELECT combo_no, w1, w2, w3, alpha, round(ndcg, 6) AS ndcg FROM (
     GROUP BY t.combo_no, t.user_idx) u ON u.combo_no = g.combo_no
   GROUP BY g.combo_no, g.w1, g.w2, g.w3, g.alpha)""", "WIDE", "CTX", "VA", "IDCG", extra={
     "VREL": "SELECT DISTINCT user_idx, item_idx FROM VA WHERE rating >= 3.5",
-    "TU": "SELECT user_idx FROM (SELECT DISTINCT user_idx FROM VREL) ORDER BY user_idx LIMIT 300",
+    "TU": "SELECT DISTINCT user_idx FROM VREL",
     "TW": "SELECT * FROM WIDE WHERE user_idx IN (SELECT user_idx FROM TU)",
     "GRID": f"""SELECT CAST(combo_no AS INTEGER) AS combo_no, CAST(w1 AS DOUBLE) AS w1,
                        CAST(w2 AS DOUBLE) AS w2, CAST(w3 AS DOUBLE) AS w3,
@@ -426,10 +426,10 @@ SELECT combo_no, w1, w2, w3, alpha, round(ndcg, 6) AS ndcg FROM (
 def q_fusion_grid(spark, sf):
     p = prepare_retail(spark, sf)
     vrel = split.relevant_pairs(p.val)
-    sample = split.first_users(vrel, 300)
-    cands = fusion_candidates(spark, sf, users=sample)
+    users = vrel.select("user_idx").distinct()
+    cands = fusion_candidates(spark, sf, users=users)
     ctx = ctxm.context_scores(p.items, p.features, p.train, [(12, 2)])
-    res = hy.grid_search(cands, FUSION_MODELS, vrel.join(sample, "user_idx"), ctx, k=10)
+    res = hy.grid_search(cands, FUSION_MODELS, vrel, ctx, k=10)
     return res.select("combo_no", "w1", "w2", "w3", "alpha", r6("ndcg").alias("ndcg"))
 
 
