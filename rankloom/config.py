@@ -38,7 +38,6 @@ WEIGHT_STEP = 0.1
 CTX_ALPHA_GRID = [0.0, 0.05, 0.15]
 DEFAULT_CTX_ALPHA = 0.15
 N_CANDIDATES = 200
-TUNE_USERS = 300
 EVAL_K = [5, 10, 20]
 EVAL_LIST_LEN = 20
 TEST_RATIO = 0.2

@@ -142,3 +142,16 @@ def test_svd_has_no_item_ceiling(spark, sf, monkeypatch):
     model = svd.fit(train, n_factors=5)
     assert np.allclose(model.sigma, whole.sigma, rtol=1e-8)
     assert rows(svd.topn(model, train, n=10)) == expect
+
+
+def test_tuning_takes_all_validation_users(spark, monkeypatch):
+    from types import SimpleNamespace
+    from rankloom.plans import training as tr
+    val = spark.range(400).select(F.col("id").alias("user_idx"), F.lit(1).cast("long").alias("item_idx"),
+                                  F.lit(5.0).alias("rating"))
+    p = SimpleNamespace(val=val, train=None, items=None, features=None)
+    monkeypatch.setattr(tr, "candidates", lambda p, models, users, seen: users)
+    monkeypatch.setattr(tr.ctxm, "context_scores", lambda *a: None)
+    monkeypatch.setattr(tr.hy, "grid_search", lambda cands, models, rel, ctx, k: (cands.count(), rel.count()))
+    assert tr.tune(p, None) == (400, 400)
+    assert tr.tune(p, None, n_users=7) == (7, 7)
