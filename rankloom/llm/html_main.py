@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 WINNING = 0.2
 #: share of the page's text that the deepest container must hold; an article or main element needs less
 HOLDS, ARTICLE_HOLDS = 0.85, 0.4
+#: share of the page's text from which a marked element is a wrapper and no furniture; a discussion needs HOLDS
+WRAPS = 0.5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -30,6 +32,8 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp wbr img".split())
 CONTAINER = frozenset("article main section div td body center".split())
 DROPPED = frozenset("nav footer aside form dialog menu head fieldset".split())
+#: dropped unless they wrap the page
+WRAPPERS = frozenset("form fieldset".split())
 KEPT = frozenset("html body main article".split())
 #: words of a class, id or role that mark page furniture
 FURNITURE = frozenset(
@@ -38,6 +42,7 @@ FURNITURE = frozenset(
     "sponsor sponsored promo promotion share sharing social related recommended comment comments disqus respond replies reply login search toolbar "
     "pagination pager copyright skip complementary contentinfo".split())
 HEADINGS = frozenset(("header", "topbar"))
+DISCUSSION = frozenset("comment comments disqus respond replies reply".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
@@ -55,17 +60,62 @@ def _names(attrs: str) -> tuple[str, frozenset[str]]:
     return first, frozenset(words)
 
 
+def _worth(text: str, link: int) -> float:
+    return max(0.0, len(text) - 2.0 * link)
+
+
+def _furniture(blocks, nodes, marks: list[tuple[int, bool, bool]], at_mark: list[int]) -> list[bool]:
+    """For every mark (outer mark, discussion, container) whether its element is page furniture.
+
+    A marked element is a wrapper, and stays, if it holds a main element, the page's largest article with as
+    much text as there is outside it, or most of the page's text in several blocks or a container of its own.
+    Inside furniture all is furniture.
+    """
+    m, n = len(marks), len(nodes)
+    held, article, main, pieces = [0.0] * m, [0.0] * n, [False] * m, [0] * m
+    worth = [_worth(text, link) for text, link, _ in blocks]
+    for w, (_, _, node), k in zip(worth, blocks, at_mark, strict=True):
+        while k >= 0:
+            held[k] += w
+            pieces[k] += 1
+            k = marks[k][0]
+        while node >= 0:
+            article[node] += w
+            node = nodes[node][0]
+    total = sum(worth)
+    for *_, k in nodes:
+        while k >= 0:
+            pieces[k] += 1
+            k = marks[k][0]
+    articles = [i for i in range(n) if nodes[i][1] in ("article", "main")]
+    largest = max(articles, key=lambda i: (article[i], -i), default=-1)
+    for i in articles:
+        k = nodes[i][3]
+        while k >= 0:
+            main[k] = main[k] or nodes[i][1] == "main" or i == largest and article[i] >= total - held[k] and article[i] > 0
+            k = marks[k][0]
+    gone = [False] * m
+    for k, (outer, discussion, own) in enumerate(marks):
+        most = held[k] >= HOLDS * total if discussion else held[k] > WRAPS * total
+        gone[k] = outer >= 0 and gone[outer] or not (main[k] or total > 0 and most and pieces[k] > 1 + own)
+    return gone
+
+
 def read_page(html: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[int, str, str]]]:
     """Blocks (text, link characters, container) in page order, and containers (parent, tag, path).
 
-    Containers hold only what isn't page furniture; the first one stands for the whole page.
+    Blocks hold only what isn't page furniture; the first container stands for the whole page.
     """
     blocks: list[tuple[str, int, int]] = []
-    nodes: list[tuple[int, str, str]] = [(-1, "html", "html")]
+    # parent, tag, path, innermost mark
+    nodes: list[tuple[int, str, str, int]] = [(-1, "html", "html", -1)]
+    # elements that may be furniture, and of every block the innermost one
+    marks: list[tuple[int, bool, bool]] = []
+    at_mark: list[int] = []
     if not html:
-        return blocks, nodes
-    # open elements: tag, path, container, dropped, inside article
-    stack = [("html", "html", 0, False, False)]
+        return blocks, [x[:3] for x in nodes]
+    # open elements: tag, path, container, dropped, inside article, mark
+    stack = [("html", "html", 0, False, False, -1)]
     words: list[str] = []
     link = 0
 
@@ -75,6 +125,7 @@ def read_page(html: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[
             text = " ".join(unescape("".join(words)).split())
             if text:
                 blocks.append((text, link, stack[-1][2]))
+                at_mark.append(stack[-1][5])
             words.clear()
             link = 0
 
@@ -146,26 +197,31 @@ def read_page(html: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[
                 close(("p",))
             if tag in _CLOSES:
                 close(_CLOSES[tag])
-        _, path, inside, dropped, article = stack[-1]
+        _, path, inside, dropped, article, mark = stack[-1]
         first, named = _names(attrs)
         step = f"{path}>{tag}" + (f".{first}" if first else "")
         article = article or tag in ("article", "main")
         if tag not in KEPT and not dropped:
-            dropped = tag in DROPPED or bool(named & FURNITURE) or not article and (tag == "header" or bool(named & HEADINGS)) \
-                or "hidden" in attrs.lower().split()
+            dropped = tag in DROPPED and tag not in WRAPPERS or "hidden" in attrs.lower().split()
+            if not dropped and (tag in WRAPPERS or named & FURNITURE or not article and (tag == "header" or named & HEADINGS)):
+                marks.append((mark, bool(named & DISCUSSION), tag in CONTAINER))
+                mark = len(marks) - 1
         if tag in CONTAINER and not dropped:
-            nodes.append((inside, tag, step))
+            nodes.append((inside, tag, step, mark))
             inside = len(nodes) - 1
-        stack.append((tag, step, inside, dropped, article))
+        stack.append((tag, step, inside, dropped, article, mark))
     flush()
-    return blocks, nodes
+    if marks:
+        gone = _furniture(blocks, nodes, marks, at_mark)
+        blocks = [b for b, k in zip(blocks, at_mark, strict=True) if k < 0 or not gone[k]]
+    return blocks, [x[:3] for x in nodes]
 
 
 def best_container(blocks, nodes) -> tuple[int, float]:
     """The container that scores best, and its share of the page's text; links count against a block."""
     total = [0.0] * len(nodes)
     for text, link, node in blocks:
-        worth = max(0.0, len(text) - 2.0 * link)
+        worth = _worth(text, link)
         while node >= 0:
             total[node] += worth
             node = nodes[node][0]
@@ -180,6 +236,12 @@ def best_container(blocks, nodes) -> tuple[int, float]:
             got = (2 if article else 1, round(share, 6) if article else 0.0, i)
             if got > rank:
                 best, rank = i, got
+    if best and nodes[best][1] not in ("article", "main"):
+        at = nodes[best][0]         # a lead or title beside the best container is text as well
+        while at >= 0:
+            if total[at] > total[best]:
+                best = at
+            at = nodes[at][0]
     return best, total[best] / total[0]
 
 

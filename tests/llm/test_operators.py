@@ -301,3 +301,22 @@ def test_native_plans_run_no_python(spark, sf):
     for name in ("op1_chat_format", "op10_mixing"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_main_text_inside_marked_wrappers():
+    body = "<p>" + "some words of the story " * 20 + "</p>"
+    text = " ".join(("some words of the story " * 20).split())
+    for wrapper in ("class='layout with-sidebar'", "id='page' class='has-comments'"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div class='body'>{body}</div>"):
+            page = f"<html><body><div {wrapper}>{inner}<div class='sidebar'><p>see also this</p></div></div></body></html>"
+            assert html_main.extract(page, None) == text
+    assert html_main.extract(f"<form id='aspnet'><div>{body}</div></form>", None) == text
+    teaser = "<div class='related'><article><p>a short teaser</p></article></div>"
+    assert html_main.extract(f"<div class='x'>{body}</div>{teaser}", None) == text
+
+
+def test_main_text_keeps_a_lead_beside_the_container():
+    body = "<p>" + "some words of the story " * 40 + "</p>"
+    page = f"<body><div id=w><div class='lead'><p>The lead comes first.</p></div><div class='body'>{body}</div></div><div class='sidebar'><p>aside words</p></div></body>"
+    got = html_main.extract(page, None)
+    assert got.startswith("The lead comes first.") and got.endswith("of the story") and "aside" not in got
