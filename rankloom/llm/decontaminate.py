@@ -6,7 +6,8 @@ so one threshold holds for all items and a score is the share of an item's BM25
 weight that a passage has. Items lie in blocks with the greatest impact of each
 term; a document, then a passage, opens a block only if its terms' block maxima
 reach the threshold, and only items of opened blocks are scored exactly. Hits
-are verified by the overlap of the item's question and answer with the passage.
+are verified by the overlap of the item's question and answer with the passage;
+an item without a question mark has no such border, so its whole verifies as well.
 """
 
 from __future__ import annotations
@@ -32,11 +33,17 @@ def _words(text: str | None) -> np.ndarray:
     return tx.hashes(buf, s, e)
 
 
+def _border(text: str) -> int:
+    """Behind the last question mark that text follows, or 0."""
+    q = text.rfind("?") + 1
+    return q if text[q:].strip() else 0
+
+
 def _halves(text: str) -> tuple[str, str]:
     """Question and answer: behind the last question mark, else the halves by words."""
-    q = text.rfind("?")
-    if 0 <= q and text[q + 1:].strip():
-        return text[:q + 1], text[q + 1:]
+    q = _border(text)
+    if q:
+        return text[:q], text[q:]
     w = text.split()
     return " ".join(w[:len(w) // 2]), " ".join(w[len(w) // 2:])
 
@@ -52,11 +59,12 @@ class Index:
         self.ids = np.array([i for i, _ in items], np.int64)
         words = [_words(t) for _, t in items]
         self.longest = max([1, *map(len, words)])
-        self.parts = []
+        self.parts, self.whole = [], []
         rows_t, rows_i, rows_w = [], [], []
         for i, w in enumerate(words):
             halves = [x for x in map(_words, _halves(items[i][1])) if len(x)]
             self.parts.append([(min(SHINGLE, len(x)), _shingles(x, min(SHINGLE, len(x)))) for x in halves])
+            self.whole.append(None if _border(items[i][1]) else (min(SHINGLE, len(w)), _shingles(w, min(SHINGLE, len(w)))))
             terms, tf = np.unique(w, return_counts=True)
             idf = np.log(1 + np.array([(n_items - df[int(t)] + 0.5) / (df[int(t)] + 0.5) for t in terms.view(np.int64)]))
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean_words))
@@ -146,7 +154,11 @@ class Index:
             for r, i, score in zip(*self.hits(row, term, opened), strict=True):
                 passage = h[some[r]:some[r] + size[r]]
                 share = [float(np.isin(p, _shingles(passage, k)).mean()) for k, p in self.parts[i]]
-                if share and min(share) >= OVERLAP:
+                good = share and min(share) >= OVERLAP
+                if share and not good and self.whole[i]:
+                    k, p = self.whole[i]
+                    good = np.isin(p, _shingles(passage, k)).mean() >= OVERLAP
+                if good:
                     got = (float(score), share[0], share[-1])
                     best[int(i)] = max(best.get(int(i), (0.0, 0.0, 0.0)), got)
         return [(i, *v) for i, v in sorted(best.items())]

@@ -320,3 +320,13 @@ def test_main_text_keeps_a_lead_beside_the_container():
     page = f"<body><div id=w><div class='lead'><p>The lead comes first.</p></div><div class='body'>{body}</div></div><div class='sidebar'><p>aside words</p></div></body>"
     got = html_main.extract(page, None)
     assert got.startswith("The lead comes first.") and got.endswith("of the story") and "aside" not in got
+
+
+def test_decontamination_of_edited_passages(spark):
+    item = [f"w{i}" for i in range(37)]
+    edits = {1: (9,), 2: (27,), 3: (9, 10), 4: (26, 28), 5: (3, 9, 15, 21, 27, 33)}
+    docs = [(d, " ".join([f"a{k}" for k in range(60)] + ["other" if k in at else w for k, w in enumerate(item)] + [f"b{k}" for k in range(60)])) for d, at in edits.items()]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"z{i}" for i in range(30)))], "item_id bigint, text string")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == {(d, 1) for d in (1, 2, 3, 4)}
+    assert [r.doc_id for r in decontaminate.clean(df, bench).collect()] == [5]
