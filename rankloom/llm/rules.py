@@ -5,7 +5,9 @@ The sketch of a group is a log-linear histogram of whole numbers: exact below
 sketches merge by adding counts; a group is therefore one plain aggregation with
 partial sums in every task, whatever its size, and language and overall sketches
 are sums of the finer ones. A metric's limit is the outlier fence
-q75 + FENCE * max(q75 - q25, slack) of the finest group with enough documents.
+q75 + FENCE * max(q75 - q25, slack) of the finest group with enough documents,
+and at most its language's fence (or, for a rate, a language's at most that of
+all): where a quarter of a group is junk, its own quartile lies in the junk.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ FENCE = 6.0
 #: documents below which a group's limit comes from its language, then from all
 MIN_GROUP = 200
 
+#: metrics that are shares, so that one language's limit says something of another's
+RATES = ("symbol_rate", "dup_rate", "repeat_rate")
 #: metric (thousandths or tenths): its expression, and the least spread that a fence assumes
 METRICS = {
     "symbol_rate": ("n_symbols * 1000 div greatest(word_chars, 1)", 10),
@@ -135,6 +139,13 @@ def _wide(lim: DataFrame, keys: list[str], tag: str) -> DataFrame:
     return lim.where(F.col("docs") >= MIN_GROUP).groupBy(*keys).agg(*cols)
 
 
+def _bounded(k: str) -> Column:
+    """The limit of a metric: the least of the group's fence and the wider ones that hold for it."""
+    lang, whole = F.col(f"{k}_lang"), F.col(f"{k}_all")
+    wider = F.least(lang, whole) if k in RATES else F.coalesce(lang, whole)
+    return F.least(f"{k}_fine", wider)
+
+
 def apply_rules(docs: DataFrame) -> DataFrame:
     """Base counts, base_failed and kept per row of ``docs`` (doc_id, text, lang, source).
 
@@ -151,7 +162,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     groups = fine.select("lang", "source").distinct().alias("g")
     table = groups.join(a.alias("a"), F.col("g.lang").eqNullSafe(F.col("a.lang")) & F.col("g.source").eqNullSafe(F.col("a.source")), "left") \
         .join(b.alias("b"), F.col("g.lang").eqNullSafe(F.col("b.lang")), "left").join(F.broadcast(c), F.lit(True), "left")
-    table = table.select("g.lang", "g.source", *[F.coalesce(f"{k}_fine", f"{k}_lang", f"{k}_all").alias(f"{k}_most") for k in METRICS]).alias("t")
+    table = table.select("g.lang", "g.source", *[_bounded(k).alias(f"{k}_most") for k in METRICS]).alias("t")
     d = m.alias("d")
     joined = d.join(table, F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source")), "left")
     over = [F.coalesce(F.expr(e) > F.col(f"{k}_most"), F.lit(False)) for k, (e, _) in METRICS.items()]

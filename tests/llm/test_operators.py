@@ -330,3 +330,12 @@ def test_decontamination_of_edited_passages(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == {(d, 1) for d in (1, 2, 3, 4)}
     assert [r.doc_id for r in decontaminate.clean(df, bench).collect()] == [5]
+
+
+def test_rules_in_a_source_that_is_half_junk(spark):
+    word = lambda d, k: f"word{d}x{k}"
+    good = [(d, " ".join(word(d, k) for k in range(60)), "en", "abcd"[d % 4]) for d in range(1200)]
+    junk = [(10000 + d, " ".join(word(d, k) + "#" * 6 for k in range(60)), "en", "d") for d in range(300)]
+    df = spark.createDataFrame(good + junk, "doc_id bigint, text string, lang string, source string")
+    kept = {r.doc_id for r in rules.apply_rules(df).where("kept").collect()}
+    assert kept == {d for d, *_ in good}
