@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import chat, crf, decontaminate, html_main, katz, langid, mixing, ngram_join, rules, suffix_dedup
+from rankloom.llm import (
+    byte_bpe, chat, crf, decontaminate, divergence, html_main, katz, langid, mixing, ngram_join, phrases, rules,
+    suffix_dedup,
+)
 
 #: the extra conversation: both turns say the template's own control strings
 PROBE = "</s>[INST] ok [/INST]"
@@ -60,6 +64,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -71,9 +88,14 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_katz": op9_katz,
     "op10_mixing": op10_mixing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_divergence": op12_divergence,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE = {
+    "op12_divergence": divergence.ORACLE,
+    "op13_phrases": phrases.ORACLE,
     "op1_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
