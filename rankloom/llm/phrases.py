@@ -146,28 +146,38 @@ def _tokenise(batches):
     yield from emit()
 
 
+STREAM = "block long, lang string, n long, places binary, phrases binary, lasts binary"
+
+
+def _stream(block: pa.Table, at: np.ndarray, phrase: np.ndarray, last: np.ndarray) -> pa.Table:
+    """A block's frequent phrases of one length: where they start, their ids and their last words."""
+    packed = {"places": pack_sorted(at), "phrases": pack(phrase), "lasts": pack(last)}
+    return pa.table({"block": block["block"], "lang": block["lang"], "n": pa.array([len(at)], pa.int64()),
+                     **{k: pa.array([v], pa.binary()) for k, v in packed.items()}})
+
+
+def _pairs(n: int, places: bytes, phrases: bytes, lasts: bytes):
+    """Places where two frequent phrases start one behind the other: the first, and the second's last word.
+
+    A longer phrase is only frequent if all but its first and all but its last word are. Pieces are
+    told apart by a gap.
+    """
+    at, phrase, last = unpack_sorted(places, n), unpack(phrases, n), unpack(lasts, n)
+    first = np.flatnonzero(at[1:] == at[:-1] + 1)
+    return at[first], phrase[first], last[first + 1]
+
+
 def _to_ids(key, block: pa.Table, known: pa.Table) -> pa.Table:
-    """The block's stream in word ids; -1 for other words and breaks."""
+    """The block's frequent words as phrases of one word."""
     stream = np.frombuffer(block["stream"][0].as_py(), np.int32)
-    ids = np.full(int(stream.max(initial=0)) + 1, -1, np.int64)
+    ids = np.full(int(stream.max(initial=0)) + 1, -1, np.int32)
     ids[known["pos"].to_numpy()] = known["id"].to_numpy()
     words = ids[stream]
-    return pa.table({"block": block["block"], "lang": block["lang"],
-                     "words": pa.array([pack(words + 1)], pa.binary()), "left": pa.array([b""], pa.binary()),
-                     "n": pa.array([len(words)], pa.int64())})
-
+    at = np.flatnonzero(words >= 0)
+    return _stream(block, at, words[at], words[at])
 
-def _pairs(words: bytes, left: bytes, n: int, m: int):
-    """Positions of possible phrases of m words, and what they are made of: a phrase and a word."""
-    word = unpack(words, n) - 1
-    front = unpack(left, n) - 1 if m > 2 else word
-    at = np.flatnonzero((front[:n - m + 1] >= 0) & (word[m - 1:] >= 0)) if n >= m else np.zeros(0, np.int64)
-    if m > 2:  # all but the first word must be a frequent phrase as well
-        at = at[front[at + 1] >= 0]
-    return at, front[at], word[at + m - 1]
 
-
-def _send(m: int, heavy: dict):
+def _send(heavy: dict):
     """Rows (block, lang, tile, part, n, cells, counts) of every block; ``heavy`` holds weights that call for a split."""
     schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("tile", pa.int32()), ("part", pa.int32()),
                         ("n", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
@@ -175,8 +185,8 @@ def _send(m: int, heavy: dict):
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                block, lang, words, left, n = (batch.column(c)[i].as_py() for c in range(5))
-                _, x, y = _pairs(words, left, n, m)
+                block, lang, *stream = (batch.column(c)[i].as_py() for c in range(6))
+                _, x, y = _pairs(*stream)
                 tile, cell = cells(x, y)
                 order = np.argsort(tile.astype(np.uint16), kind="stable")
                 tile, cell = tile[order], cell[order]
@@ -254,29 +264,26 @@ def _answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, schema.types)], schema=schema)
 
 
-def _rank_block(m: int):
-    def run(key, block: pa.Table, found: pa.Table) -> pa.Table:
-        """The block with its frequent phrases of m words in ``left``; no row if it has none."""
-        if not block.num_rows or not found.num_rows:
-            return block.slice(0, 0)
-        words, left, n = (block[c][0].as_py() for c in ("words", "left", "n"))
-        at, x, y = _pairs(words, left, n, m)
-        tile, cell = cells(x, y)
-        fresh = np.zeros(n, np.int64)
-        answers = defaultdict(list)
-        for t, k, c, i in zip(*(found[c].to_pylist() for c in ("tile", "n", "cells", "ids"))):
-            answers[t].append((unpack_sorted(c, k), unpack(i, k)))
-        for t, parts in answers.items():
-            known, ids = (np.concatenate(z) for z in zip(*parts))
-            order = np.argsort(known)
-            known, ids = known[order], ids[order]
-            own = np.flatnonzero(tile == t)
-            where = np.minimum(np.searchsorted(known, cell[own]), len(known) - 1)
-            hit = known[where] == cell[own]
-            fresh[at[own[hit]]] = ids[where[hit]] + 1
-        return block.set_column(block.column_names.index("left"), "left", pa.array([pack(fresh)], pa.binary()))
-
-    return run
+def _next_level(key, block: pa.Table, found: pa.Table) -> pa.Table:
+    """The block's frequent phrases of one word more; no row if it has none."""
+    if not block.num_rows or not found.num_rows:
+        return block.slice(0, 0)
+    at, x, y = _pairs(*(block[c][0].as_py() for c in ("n", "places", "phrases", "lasts")))
+    tile, cell = cells(x, y)
+    longer = np.full(len(at), -1, np.int64)
+    answers = defaultdict(list)
+    for t, k, c, i in zip(*(found[c].to_pylist() for c in ("tile", "n", "cells", "ids"))):
+        answers[t].append((unpack_sorted(c, k), unpack(i, k)))
+    for t, parts in answers.items():
+        known, ids = (np.concatenate(z) for z in zip(*parts))
+        order = np.argsort(known)
+        known, ids = known[order], ids[order]
+        own = np.flatnonzero(tile == t)
+        where = np.minimum(np.searchsorted(known, cell[own]), len(known) - 1)
+        hit = known[where] == cell[own]
+        longer[own[hit]] = ids[where[hit]]
+    hit = longer >= 0
+    return _stream(block, at[hit], longer[hit], y[hit])
 
 
 # ── the job ──────────────────────────────────────────────────────────────────
@@ -306,14 +313,13 @@ def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tupl
         sequence_within(frequent, ["lang"], [F.desc("a"), "word"], rn="id", count=None)
         .withColumn("id", F.col("id") - 1), "phrases1")}
     ids = used.join(found[1].select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("at"), "pos", "id")
-    stream = "block long, lang string, words binary, left binary, n long"
     level = scratch.table(blocks.select("block", "lang", "stream").groupBy("block")
-                          .cogroup(ids.groupBy("at")).applyInArrow(_to_ids, stream), "level1")
+                          .cogroup(ids.groupBy("at")).applyInArrow(_to_ids, STREAM), "level1")
     scratch.drop("blocks")
     for m in range(2, WORDS + 1):
         heavy = _heavy(found[m - 1], found[1])
         sent = scratch.table(level.mapInArrow(
-            _send(m, heavy), "block long, lang string, tile int, part int, n int, cells binary, counts binary"), f"sent{m}")
+            _send(heavy), "block long, lang string, tile int, part int, n int, cells binary, counts binary"), f"sent{m}")
         ranked = (sent.groupBy("lang", "tile", "part").applyInArrow(
             _sum_tile(least), "lang string, tile int, part int, cell long, x long, y long, a long"))
         found[m] = scratch.table(
@@ -324,7 +330,7 @@ def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tupl
                        .cogroup(found[m].select("lang", "tile", "part", "cell", "id").groupBy("lang", "tile", "part"))
                        .applyInArrow(_answer, "block long, tile int, n int, cells binary, ids binary"))
             level = scratch.table(level.groupBy("block").cogroup(answers.groupBy("block"))
-                                  .applyInArrow(_rank_block(m), stream), f"level{m}")
+                                  .applyInArrow(_next_level, STREAM), f"level{m}")
         scratch.drop(f"sent{m}", f"level{m - 1}")
     return totals, found
 
