@@ -1,10 +1,13 @@
 """Source divergence audit by chunk factorization.
 
-White-space chunks are counted per document inside blocks of documents; every globally
-distinct chunk is tokenised once, and its terms are joined back to the chunk counts. A
-block sends one row per language and chunk, however often the chunk occurs, so no
-chunk or source can fill a task; of the documents that hold a chunk it names at most
-``MIN_DOCS``, which is enough to decide whether a term is in that many.
+White-space chunks are counted per document inside blocks of documents; a block sends
+one row per language and chunk, however often the chunk occurs, so no chunk or source
+can fill a task. The rows are added up per language and chunk; every globally distinct
+chunk is tokenised once, and its terms are joined back.
+
+A document may hold a term by several chunks, so documents of different chunks must not
+be added. A chunk keeps the exact number of its documents, the first and the last of
+them: with two at most these are all, with more the term is in enough documents anyway.
 
 Two sources of a language are compared over all kept terms without forming them: what
 a pair of absent counts, and a present against an absent count, contribute follows
@@ -16,82 +19,83 @@ the values are bounded by 10^18.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.scratch import Scratch
 
-#: a language keeps the terms that this many of its documents hold
+#: a language keeps the terms that this many of its documents hold (a chunk names two of its documents)
 MIN_DOCS = 3
 #: terms reported per source
 TOP = 200
 #: text bytes of one block of documents
-BLOCK = 32 << 20
+BLOCK = 24 << 20
 #: terms of one comparison group, and of one numpy pass
 GROUP, PASS = 1 << 16, 1 << 13
 #: sources of one tile of the comparison
 TILE = 64
-ROWS = 1 << 16
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
 BIG = "decimal(38,0)"
 
 
+SCHEMA = pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("docs", pa.int64()), ("first", pa.int64()),
+                    ("last", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+
+
+def _count_block(langs: pa.Array, sources: pa.Array, texts: pa.Array, base: int) -> pa.RecordBatch:
+    """Rows (lang, chunk) of some documents: how many hold it, the first, the last, and occurrences per source."""
+    split = pc.ascii_split_whitespace(texts)
+    chunks = split.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    lang, source = langs.dictionary_encode(), sources.dictionary_encode()
+    of_lang, of_source = lang.indices.to_numpy().astype(np.int64), source.indices.to_numpy().astype(np.int64)
+    code, names = chunks.indices.to_numpy(), chunks.dictionary
+    blank = pc.index(names, pa.scalar("")).as_py()  # white space at an end gives an empty chunk
+    if blank >= 0:
+        solid = code != blank
+        code, doc = code[solid], doc[solid]
+
+    # per document: each of its chunks with its count
+    key = (of_lang[doc] * len(names) + code) * len(texts) + doc
+    key.sort()
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(start, append=len(key))
+    held, doc = key[start] // len(texts), key[start] % len(texts)
+
+    # per language and chunk
+    head = np.flatnonzero(np.diff(held, prepend=-1))
+    docs = np.diff(head, append=len(held))
+    by_source = np.repeat(np.arange(len(head)), docs) * len(source.dictionary) + of_source[doc]
+    order = np.argsort(by_source, kind="stable")
+    by_source = by_source[order]
+    start = np.flatnonzero(np.diff(by_source, prepend=-1))
+    total = np.add.reduceat(count[order], start) if len(start) else count
+    ends = np.searchsorted(by_source[start], np.arange(len(head) + 1) * len(source.dictionary))
+    ends = pa.array(ends, pa.int32())
+    return pa.RecordBatch.from_arrays([
+        lang.dictionary.take(pa.array(held[head] // len(names))), names.take(pa.array(held[head] % len(names))),
+        pa.array(docs, pa.int64()), pa.array(base + doc[head]), pa.array(base + doc[head + docs - 1]),
+        pa.ListArray.from_arrays(ends, source.dictionary.take(pa.array(by_source[start] % len(source.dictionary)))),
+        pa.ListArray.from_arrays(ends, pa.array(total, pa.int64()))], schema=SCHEMA)
+
+
 def _count_chunks(batches):
-    """Rows (block, lang, chunk): up to MIN_DOCS of its documents, and its occurrences per source."""
+    """Blocks of at most BLOCK bytes of text, or one longer document; documents are numbered over all tasks."""
     from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("chunk", pa.string()),
-                        ("docs", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())),
-                        ("counts", pa.list_(pa.int64()))])
-
-    def emit(block, holders, occurrences):
-        for lang, docs in holders.items():
-            by_source = occurrences[lang].items()
-            items = list(docs.items())
-            for at in range(0, len(items), ROWS):
-                sources, counts, ends = [], [], [0]
-                some = items[at:at + ROWS]
-                for chunk, _ in some:
-                    for source, count in by_source:
-                        if chunk in count:
-                            sources.append(source)
-                            counts.append(count[chunk])
-                    ends.append(len(sources))
-                ends = pa.array(ends, pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(some), block)), pa.array([lang] * len(some)),
-                    pa.array([c for c, _ in some], pa.binary()).cast(pa.string()),
-                    pa.array([d for _, d in some], pa.list_(pa.int32())),
-                    pa.ListArray.from_arrays(ends, pa.array(sources, pa.string())),
-                    pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))], schema=schema)
-
-    block, size, no = part << 32, 0, 0
-    holders, occurrences = defaultdict(dict), defaultdict(lambda: defaultdict(Counter))
+    from rankloom.llm import text
+
+    base = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-            chunks = Counter(text.encode().split())  # bytes split at ASCII white space only
-            occurrences[lang][source].update(chunks)
-            docs = holders[lang]
-            for chunk in chunks:
-                held = docs.get(chunk)
-                if held is None:
-                    docs[chunk] = [no]
-                elif len(held) < MIN_DOCS:
-                    held.append(no)
-            no, size = no + 1, size + len(text)
-            if size >= BLOCK:
-                yield from emit(block, holders, occurrences)
-                block, size, no = block + 1, 0, 0
-                holders.clear()
-                occurrences.clear()
-    yield from emit(block, holders, occurrences)
+        _, off = text.utf8(batch.column("text"))
+        for i, j in text.pieces(off, BLOCK):
+            yield _count_block(*(batch.column(c).slice(i, j - i) for c in ("lang", "source", "text")), base)
+            base += j - i
 
 
 #: SQL of 1 + floor(10^9 (c + 1) / (n + v)), exactly
@@ -103,36 +107,48 @@ def _apart(p: str, q: str) -> str:
     return f"((({p}) - ({q})) * (({p}) - ({q})) div ({q}))"
 
 
-def kept_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(lang, term, n_docs, count, uses): terms in MIN_DOCS documents of their language, with counts per source.
+def _with_sources(rows: DataFrame, key: str) -> DataFrame:
+    """Rows grouped by language and ``key``, counts added per source; stays within the partitions of ``key``."""
+    return (rows.groupBy("lang", key, "source")
+            .agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"),
+                 F.min("first").alias("first"), F.max("last").alias("last"))
+            .groupBy("lang", key)
+            .agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"),
+                 F.collect_list(F.struct("source", "count")).alias("uses")))
 
-    ``n_docs`` is saturated: MIN_DOCS a block at most.
-    """
+
+def kept_terms(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(lang, term, count, uses): terms in MIN_DOCS documents of their language, with counts per source."""
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    uses = scratch.table(rows.mapInArrow(
-        _count_chunks, "block long, lang string, chunk string, docs array<int>, sources array<string>, "
-                       "counts array<long>"), "uses")
+    blocks = rows.mapInArrow(_count_chunks, "lang string, chunk string, docs long, first long, last long, "
+                                            "sources array<string>, counts array<long>")
+    once = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
+    chunks = scratch.table(_with_sources(
+        blocks.repartition("chunk")
+        .select("lang", "chunk", "docs", "first", "last", F.posexplode(F.arrays_zip("sources", "counts")))
+        .select("lang", "chunk", F.col("col.sources").alias("source"), F.col("col.counts").alias("count"),
+                once("docs"), once("first"), once("last")), "chunk"), "chunks")
+    scratch.release()
     lowered = F.translate("chunk", UPPER, LOWER)
-    terms = scratch.table(
-        uses.select("chunk").distinct()
-        .select("chunk", F.regexp_extract_all(lowered, F.lit(TERM), 1).alias("terms"))
-        .where(F.size("terms") > 0), "terms")
-    # a document may hold a term by several chunks, so documents are united inside their block;
-    # all three groupings stay within the terms' partitions
-    by_block = (uses.join(terms, "chunk")
-                .select("block", "lang", F.explode("terms").alias("term"), "docs", "sources", "counts")
-                .repartition("lang", "term").groupBy("block", "lang", "term")
-                .agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("n_docs"),
-                     F.flatten(F.collect_list("sources")).alias("source"),
-                     F.flatten(F.collect_list("counts")).alias("count")))
-    by_source = (by_block.select("lang", "term", "n_docs", F.posexplode(F.arrays_zip("source", "count")))
-                 .groupBy("lang", "term", "col.source")
-                 .agg(F.sum("col.count").alias("count"),
-                      F.sum(F.when(F.col("pos") == 0, F.col("n_docs"))).alias("n_docs")))
-    kept = (by_source.groupBy("lang", "term")
-            .agg(F.sum("n_docs").alias("n_docs"), F.sum("count").alias("count"),
-                 F.collect_list(F.struct("source", "count")).alias("uses"))
-            .where(F.col("n_docs") >= MIN_DOCS))
+    terms = (chunks.select("chunk").distinct()
+             .select("chunk", F.regexp_extract_all(lowered, F.lit(TERM), 1).alias("terms"))
+             .where(F.size("terms") > 0))
+    # one row per source of a chunk, and one per named document, so that both are grouped in one go
+    number = F.lit(None).cast("long")
+    parts = F.concat(
+        F.transform("uses", lambda u: F.struct(u.source.alias("source"), u["count"].alias("count"),
+                                               number.alias("doc"), number.alias("docs"))),
+        F.array(*(F.struct(F.lit(None).cast("string").alias("source"), number.alias("count"),
+                           F.col(c).alias("doc"), F.col("docs").alias("docs")) for c in ("first", "last"))))
+    kept = (chunks.join(terms, "chunk")
+            .select("lang", F.explode("terms").alias("term"), "docs", "first", "last", "uses")
+            .repartition("lang", "term").select("lang", "term", F.explode(parts).alias("p"))
+            .groupBy("lang", "term", "p.source", "p.doc")
+            .agg(F.sum("p.count").alias("count"), F.max("p.docs").alias("docs"))
+            .groupBy("lang", "term")
+            .agg(F.sum("count").alias("count"), F.count("doc").alias("named"), F.max("docs").alias("docs"),
+                 F.collect_list(F.when(F.col("doc").isNull(), F.struct("source", "count"))).alias("uses"))
+            .where(F.greatest("named", "docs") >= MIN_DOCS).drop("named", "docs"))
     return scratch.table(kept, "kept")
 
 
@@ -226,7 +242,8 @@ def audit(docs: DataFrame, top: int = TOP) -> DataFrame:
     """Divergence of every source from every other of its language, and its most typical terms."""
     scratch = Scratch(docs.sparkSession, "divergence")
     kept = kept_terms(docs, scratch)
-    scratch.drop("uses", "terms")
+    scratch.drop("chunks")
+    scratch.release()
     groups = scratch.table(group_table(docs, kept), "groups")
     # numbered before they are exploded: all rows of a term share its number
     rates = (kept.withColumn("id", F.monotonically_increasing_id())

@@ -123,7 +123,7 @@ def test_audit_odd_rows(spark):
 
 
 def test_audit_many_blocks_and_tiles(spark, monkeypatch):
-    for name, value in (("BLOCK", 400), ("GROUP", 4), ("PASS", 3), ("TILE", 3), ("ROWS", 5)):
+    for name, value in (("BLOCK", 400), ("GROUP", 4), ("PASS", 3), ("TILE", 3)):
         monkeypatch.setattr(divergence, name, value)
     rng = random.Random(3)
     vocabulary = [f"{a}{b}" for a in "abcdefgh" for b in "xyzé"]
