@@ -8,9 +8,8 @@
 * ``dense_index`` is the same with no group: a distributed ``zipWithIndex``.
 * ``top_n`` is ``row_number() <= n``; Catalyst plans a partial ``WindowGroupLimit``
   before the shuffle, so a hot group ships at most n rows per map task.
-* ``merge_lists`` / ``global_order_topn`` rank items for every user against
-  score-sorted item lists without forming users × items: a user only walks the
-  heads of the lists, skipping seen items (O(n + seen) per list).
+* ``global_order_topn`` ranks items for every user by one global order, in blocks
+  (``functions/blocks.py``).
 """
 
 from __future__ import annotations
@@ -80,69 +79,6 @@ def score_key(score: str | Column, decimals: int = 9) -> Column:
     return F.round(s, decimals)
 
 
-# ── per-user merge of score-sorted lists (mapInPandas helper) ────────────────
-def merge_lists(offsets, lists_i, lists_v, weight: float, skip, n: int):
-    """Top ``n`` of ``offsets[s] + weight·lists_v[s][k]`` over all lists, skipping ``skip``.
-
-    Each list is sorted by value descending (item ascending on ties), so a heap over
-    list heads yields items in exact score order. Collection stops once n items are
-    held and the next rounded score is below the n-th; the result is ordered by
-    (rounded score desc, item asc). Cost O((n + |skip ∩ prefix|)·log S).
-    """
-    import heapq
-    heap = [(-(offsets[s] + weight * lists_v[s][0]), int(lists_i[s][0]), s, 0)
-            for s in range(len(lists_i)) if len(lists_i[s])]
-    heapq.heapify(heap)
-    got, nth = [], None
-    while heap:
-        neg, item, s, k = heapq.heappop(heap)
-        if k + 1 < len(lists_i[s]):
-            heapq.heappush(heap, (-(offsets[s] + weight * lists_v[s][k + 1]),
-                                  int(lists_i[s][k + 1]), s, k + 1))
-        if item in skip:
-            continue
-        key = round(-neg, 9)
-        if nth is not None and key < nth:
-            break
-        got.append((key, item, -neg))
-        if len(got) == n:
-            nth = key
-    got.sort(key=lambda t: (-t[0], t[1]))
-    return [(item, score) for _, item, score in got[:n]]
-
-
-def sorted_list(pdf, item_col: str, value_col: str):
-    """(items, values) sorted by value desc, item asc — one list for ``merge_lists``."""
-    import numpy as np
-    g = pdf.sort_values([value_col, item_col], ascending=[False, True])
-    return g[item_col].to_numpy(np.int64), g[value_col].to_numpy(np.float64)
-
-
-def emit_ranked(rows) -> "object":
-    """[(user, [(item, score), ...]), ...] → pandas frame (user_idx, rank, item_idx, score)."""
-    import numpy as np
-    import pandas as pd
-    u, r, i, s = [], [], [], []
-    for uid, ranked in rows:
-        for k, (item, score) in enumerate(ranked, 1):
-            u.append(uid)
-            r.append(k)
-            i.append(item)
-            s.append(score)
-    return pd.DataFrame({"user_idx": np.asarray(u, np.int64), "rank": np.asarray(r, np.int64),
-                         "item_idx": np.asarray(i, np.int64), "score": np.asarray(s, np.float64)})
-
-
-RANKED_SCHEMA = "user_idx long, rank long, item_idx long, score double"
-SIDE_LIMIT_BYTES = 512 << 20   # item-side lists shipped to every task
-
-
-def check_side(n_entries: int, bytes_per_entry: int = 16) -> None:
-    if n_entries * bytes_per_entry > SIDE_LIMIT_BYTES:
-        raise ValueError(f"item side of {n_entries} entries exceeds the broadcast limit "
-                         f"({SIDE_LIMIT_BYTES >> 20} MB)")
-
-
 def seen_lists(seen: DataFrame) -> DataFrame:
     """(user_idx, _seen array) — a user's distinct seen items (≤ catalogue size)."""
     return (seen.select("user_idx", "item_idx").distinct().groupBy("user_idx")
@@ -153,28 +89,18 @@ def global_order_topn(users: DataFrame, items: DataFrame, value_col: str, n: int
                       seen: DataFrame, offset_col: str | None = None) -> DataFrame:
     """Top-n unseen per user when score = user offset + item value (one global order).
 
-    ``users``: user_idx (+ ``offset_col``); ``items``: item_idx + ``value_col``. The
-    item order is broadcast after a size check; each task walks it per user, skipping
-    the user's seen items, so the work per user is O(n + seen).
+    ``users``: user_idx (+ ``offset_col``); ``items``: item_idx + ``value_col``. Items
+    without a vector in ``blocked_topn``: nearly every user is settled by the first block.
     """
-    spark = users.sparkSession
-    side = items.select("item_idx", value_col).toPandas()
-    check_side(len(side))
-    li, lv = sorted_list(side, "item_idx", value_col)
-    b = spark.sparkContext.broadcast((li, lv))
-    cols = ["user_idx"] + ([offset_col] if offset_col else [])
-    todo = spread(users.select(*cols).join(seen_lists(seen), "user_idx", "left"))
-
-    def run(batches):
-        li_, lv_ = b.value
-        for pdf in batches:
-            offs = pdf[offset_col].to_numpy() if offset_col else [0.0] * len(pdf)
-            yield emit_ranked(
-                (uid, merge_lists([off], [li_], [lv_], 1.0,
-                                  set(sn) if sn is not None else set(), n))
-                for uid, off, sn in zip(pdf["user_idx"], offs, pdf["_seen"]))
-
-    return todo.mapInPandas(run, RANKED_SCHEMA)
+    from rankloom.functions.blocks import blocked_topn, item_blocks
+    none = F.lit(None).cast("array<double>")
+    asked = (users.join(seen_lists(seen), "user_idx", "left")
+             .select(F.col("user_idx").alias("qid"), none.alias("vec"),
+                     (F.col(offset_col) if offset_col else F.lit(0.0)).alias("off"),
+                     F.lit(n).alias("n"), F.col("_seen").alias("seen")))
+    ranked = blocked_topn(asked, item_blocks(items.select("item_idx", none.alias("vec"),
+                                                          F.col(value_col).alias("bias"))), n)
+    return ranked.withColumnRenamed("qid", "user_idx")
 
 
 def spread(df: DataFrame, key: str = "user_idx", factor: int = 4) -> DataFrame:

@@ -3,23 +3,19 @@
 Vectors are kept in long form ``(key, feature, value)`` so a dot product is an
 equi-join on ``feature`` plus a sum, and the feature count never limits scale.
 
-Top-n for all users (B06) never forms users × items: items are grouped by their
-feature *signature*; inside a signature every item has the same cosine with a user,
-so a user's ranking is a merge of per-signature lists sorted by popularity (see
-``content_topn``).
+Top-n for all users (B06) scores blocks of dense profiles against blocks of dense item
+vectors (``functions/blocks.py``).
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom import config as C
 from rankloom.functions.columns import ema_alpha
-from rankloom.functions.ranking import (RANKED_SCHEMA, check_side, emit_ranked, merge_lists,
-                                        seen_lists, spread)
+from rankloom.functions.blocks import blocked_topn, item_blocks
+from rankloom.functions.ranking import seen_lists
 
 
 def item_unit_vectors(features: DataFrame) -> DataFrame:
@@ -83,11 +79,10 @@ def pair_scores(pairs: DataFrame, profiles: DataFrame, features: DataFrame) -> D
 
 
 def item_signatures(items: DataFrame, features: DataFrame) -> DataFrame:
-    """item_idx → signature (sorted feature list joined by '|', '' when featureless)."""
-    sig = (features.groupBy("item_idx")
-           .agg(F.array_join(F.array_sort(F.collect_list("feature")), "|").alias("sig")))
+    """item_idx → signature (sorted array of features, empty when featureless)."""
+    sig = features.groupBy("item_idx").agg(F.array_sort(F.collect_list("feature")).alias("sig"))
     return (items.select("item_idx").join(sig, "item_idx", "left")
-            .withColumn("sig", F.coalesce(F.col("sig"), F.lit(""))))
+            .withColumn("sig", F.coalesce(F.col("sig"), F.array().cast("array<string>"))))
 
 
 def content_topn(train: DataFrame, items: DataFrame, features: DataFrame, n: int = 10,
@@ -96,63 +91,39 @@ def content_topn(train: DataFrame, items: DataFrame, features: DataFrame, n: int
                  raw: bool = False, feature_cols: list[str] | None = None) -> DataFrame:
     """Top-n unseen by cosine + 0.05·log1p(pop) for every user with a profile.
 
-    Inside a feature signature every item has the same cosine with a user, so each
-    signature's items form one list sorted by popularity. Per user block, a task
-    scores the S signatures (S × F), then merges the S sorted lists with a heap until
-    the n-th best rounded score is settled — O(S·F + (n + seen)·log S) per user,
-    independent of the catalogue size. The item side (signature lists) is broadcast
-    after a size check. ``profiles``/``users``/``seen`` default to those of ``train``;
-    pass overrides for session profiles (B07) or serving seen sets.
+    ``profiles``/``users``/``seen`` default to those of ``train``; pass overrides for
+    session profiles (B07) or serving seen sets.
     """
-    spark = train.sparkSession
     profiles = user_profiles(train, features) if profiles is None else profiles
     users = users_with_profile(train) if users is None else users
     seen = train if seen is None else seen
-    feats = feature_cols or [r[0] for r in features.select("feature").distinct()
-                             .orderBy("feature").collect()]
-    pop = item_popularity(items, train)
-    side = (item_signatures(items, features).join(pop, "item_idx")
-            .select("sig", "item_idx", "pop").toPandas())
-    check_side(len(side) + len(feats) * max(side["sig"].nunique(), 1))
-    pos = {f: k for k, f in enumerate(feats)}
-    sig_names = sorted(side["sig"].unique())
-    sig_vec = np.zeros((len(sig_names), len(feats)))
-    lists_i, lists_p = [], []
-    for s_no, name in enumerate(sig_names):
-        fs = [f for f in name.split("|") if f]
-        for f in fs:
-            sig_vec[s_no, pos[f]] = 1.0 / np.sqrt(len(fs))
-        g = side[side["sig"] == name].sort_values(["pop", "item_idx"], ascending=[False, True])
-        lists_i.append(g["item_idx"].to_numpy(np.int64))
-        lists_p.append(g["pop"].to_numpy(np.float64))
-    bside = spark.sparkContext.broadcast((sig_vec, lists_i, lists_p, pos))
-    dense = (profiles.groupBy("user_idx")
-             .agg(F.collect_list(F.struct("feature", "value")).alias("_p")))
-    todo = spread(users.select("user_idx").distinct().join(dense, "user_idx", "left")
-                  .join(seen_lists(seen), "user_idx", "left"))
-    w = float(pop_weight)
-
-    def run(batches):
-        sv, li, lp, fpos = bside.value
-        for pdf in batches:
-            def one(prof):
-                vec = np.zeros(sv.shape[1])
-                for ent in (prof if prof is not None else []):
-                    vec[fpos[ent["feature"]]] = ent["value"]
-                return sv @ vec
-            yield emit_ranked(
-                (uid, merge_lists(one(prof), li, lp, w,
-                                  set(sn) if sn is not None else set(), n))
-                for uid, prof, sn in zip(pdf["user_idx"], pdf["_p"], pdf["_seen"]))
-
-    ranked = todo.mapInPandas(run, RANKED_SCHEMA)
-    return ranked.select("user_idx", "rank", "item_idx",
+    feats = feature_cols or feature_names(features)
+    asked = (users.select("user_idx").distinct().join(dense_profiles(profiles, feats), "user_idx", "left")
+             .join(seen_lists(seen), "user_idx", "left")
+             .select(F.col("user_idx").alias("qid"), F.col("profile").alias("vec"), F.lit(0.0).alias("off"),
+                     F.lit(n).alias("n"), F.col("_seen").alias("seen")))
+    ranked = blocked_topn(asked, content_blocks(train, items, features, feats, pop_weight), n)
+    return ranked.select(F.col("qid").alias("user_idx"), "rank", "item_idx",
                          F.col("score") if raw else F.round("score", 6).alias("score"))
 
 
+def feature_names(features: DataFrame) -> list[str]:
+    """The configured features that occur, sorted (one name per feature column)."""
+    return [r[0] for r in features.select("feature").distinct().orderBy("feature").collect()]
+
+
+def content_blocks(train: DataFrame, items: DataFrame, features: DataFrame, feature_cols: list[str],
+                   pop_weight: float = C.CBF_POP_WEIGHT) -> DataFrame:
+    """Item blocks of the content scorer: unit vectors in ``feature_cols`` order, popularity as bias."""
+    side = item_popularity(items, train).join(dense_item_vectors(features, feature_cols), "item_idx", "left")
+    return item_blocks(side.select("item_idx", "vec", (F.col("pop") * F.lit(float(pop_weight))).alias("bias")))
+
+
 # ── EMA updates (B08–B10) ────────────────────────────────────────────────────
 def dense_profiles(profiles: DataFrame, feature_cols: list[str]) -> DataFrame:
     """Long profile rows → ``(user_idx, profile array<double>)`` in config order."""
+    if not feature_cols:
+        return profiles.select("user_idx", F.array().cast("array<double>").alias("profile")).distinct()
     pos = {f: i for i, f in enumerate(feature_cols)}
     mapping = F.create_map(*[x for f, i in pos.items() for x in (F.lit(f), F.lit(i))])
     entries = profiles.withColumn("_pos", mapping[F.col("feature")])

@@ -66,11 +66,12 @@ def _contexts(contexts) -> F.Column:
 
 
 def context_scores(items: DataFrame, features: DataFrame, train: DataFrame,
-                   contexts=((C.DEFAULT_HOUR, C.DEFAULT_DOW),)) -> DataFrame:
+                   contexts=((C.DEFAULT_HOUR, C.DEFAULT_DOW),), of: DataFrame | None = None) -> DataFrame:
     """``(hour, dow, item_idx, ctx)`` for every item and requested (hour, dow).
 
     Per item: mean over its supported features of (h + d)/2 with missing cells 0;
-    items without a supported feature take the global (h + d)/2.
+    items without a supported feature take the global (h + d)/2. ``of`` holds the features of
+    ``items`` where these are not the catalogue that the biases come from.
     """
     fb = feature_time_bias(train, features)
     gb = global_time_bias(train)
@@ -80,7 +81,7 @@ def context_scores(items: DataFrame, features: DataFrame, train: DataFrame,
                                                    F.col("bias").alias("_h"))
     fd = fb.where(F.col("kind") == "dow").select("feature", F.col("key").alias("dow"),
                                                   F.col("bias").alias("_d"))
-    per_feat = (features.select("item_idx", "feature").join(sup, "feature")
+    per_feat = ((features if of is None else of).select("item_idx", "feature").join(sup, "feature")
                 .select("item_idx", "feature", F.inline(ctx))
                 .join(fh, ["feature", "hour"], "left").join(fd, ["feature", "dow"], "left")
                 .groupBy("hour", "dow", "item_idx")

@@ -131,13 +131,14 @@ def test_svd_factors_need_no_arrow(spark, sf):
 
 
 def test_svd_has_no_item_ceiling(spark, sf, monkeypatch):
-    """A catalogue above the broadcast limit is fitted, in several item blocks, and ranked alike."""
+    """A catalogue of several item blocks is fitted and ranked alike."""
+    from rankloom.functions import blocks
     from rankloom.operators import svd
     train = prepare_retail(spark, sf).train
     rows = lambda df: sorted((r.user_idx, r["rank"], r.item_idx) for r in df.collect())
     whole = svd.fit(train, n_factors=5)
     expect = rows(svd.topn(whole, train, n=10))
-    monkeypatch.setattr(svd, "BROADCAST_LIMIT_BYTES", 4096)
+    monkeypatch.setattr(blocks, "ITEMS", 16)
     monkeypatch.setattr(svd, "ITEM_BLOCK", 16, raising=False)
     model = svd.fit(train, n_factors=5)
     assert np.allclose(model.sigma, whole.sigma, rtol=1e-8)
