@@ -278,6 +278,77 @@ FROM (SELECT *, 1.0 + CASE WHEN clicked THEN 0.3 ELSE 0.0 END + CASE WHEN liked
                     + CASE WHEN view_time_sec > 0 THEN 0.5 * least(view_time_sec / 300.0, 1.0)
                            ELSE 0.0 END AS engagement
       FROM EV)"""),
+    # ── request tables ──
+    "RQ": (["UM", "IM", "ENG"], """
+SELECT e.event_id AS request_id, UM.user_idx, ['cf', 'cbf', 'ncf', 'hybrid'][1 + e.event_id % 4] AS model,
+       1 + e.event_id % 50 AS n, CAST(hour(e.ts) AS INTEGER) AS hour,
+       CAST(CAST(floor(e.value) AS BIGINT) % 7 AS INTEGER) AS dow, e.event_id % 5 <> 0 AS exclude_seen,
+       IM.item_idx AS b_item, b.effective_rating AS b_rating, b.engagement AS b_engagement
+FROM events e JOIN UM ON UM.user_id = e.user_id
+LEFT JOIN ENG b ON b.event_id = e.event_id AND e.event_id % 3 = 0 LEFT JOIN IM ON IM.item_id = b.item_id"""),
+    "RQA": (["RQ", "IV"], """
+SELECT *, least(0.6, 0.2 * (b_rating / 5.0) * greatest(b_engagement, 0.1)) AS alpha FROM RQ
+WHERE b_item IN (SELECT item_idx FROM IV)"""),
+    "RQP": (["RQ", "RQA", "PROF", "IV"], """
+SELECT request_id, feature, m / nrm AS value
+FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY request_id)) AS nrm
+      FROM (SELECT request_id, feature, (1.0 - alpha) * sum(p) + alpha * sum(v) AS m
+            FROM (SELECT RQA.request_id, RQA.alpha, PROF.feature, PROF.value AS p, 0.0 AS v
+                  FROM RQA JOIN PROF ON PROF.user_idx = RQA.user_idx
+                  UNION ALL
+                  SELECT RQA.request_id, RQA.alpha, IV.feature, 0.0 AS p, IV.value AS v
+                  FROM RQA JOIN IV ON IV.item_idx = RQA.b_item)
+            GROUP BY request_id, alpha, feature)) WHERE nrm > 0
+UNION ALL
+SELECT RQ.request_id, PROF.feature, PROF.value FROM RQ JOIN PROF ON PROF.user_idx = RQ.user_idx
+WHERE RQ.request_id NOT IN (SELECT request_id FROM RQA)"""),
+    "RQS": (["RQ", "RQP", "IV", "IPOP", "IB", "UB", "MU", "CSEEN"], """
+SELECT request_id, asked, n, model, item_idx, score,
+       row_number() OVER (PARTITION BY request_id, model ORDER BY round(score, 9) DESC, item_idx) AS rank
+FROM (
+  SELECT r.request_id, r.model AS asked, r.n, r.user_idx, r.exclude_seen, r.b_item, 'cbf' AS model, IP.item_idx,
+         coalesce(c.cos, 0) + 0.05 * IP.pop AS score
+  FROM RQ r CROSS JOIN IPOP IP
+  LEFT JOIN (SELECT p.request_id, v.item_idx, sum(p.value * v.value) AS cos
+             FROM RQP p JOIN IV v ON v.feature = p.feature GROUP BY p.request_id, v.item_idx) c
+    ON c.request_id = r.request_id AND c.item_idx = IP.item_idx WHERE r.model IN ('cbf', 'hybrid')
+  UNION ALL
+  SELECT r.request_id, r.model, r.n, r.user_idx, r.exclude_seen, r.b_item, 'cf', IB.item_idx,
+         coalesce((SELECT mu FROM MU) + UB.user_bias, 0) + IB.item_bias + 0.5 * IB.pop_prior
+  FROM RQ r CROSS JOIN IB LEFT JOIN UB ON UB.user_idx = r.user_idx WHERE r.model IN ('cf', 'hybrid')
+  UNION ALL
+  SELECT r.request_id, r.model, r.n, r.user_idx, r.exclude_seen, r.b_item, 'ncf', IB.item_idx, IB.pop_prior
+  FROM RQ r CROSS JOIN IB WHERE r.model IN ('ncf', 'hybrid')) x
+WHERE item_idx IS DISTINCT FROM b_item
+  AND NOT (exclude_seen AND EXISTS (SELECT 1 FROM CSEEN s WHERE s.user_idx = x.user_idx AND s.item_idx = x.item_idx))
+QUALIFY rank <= CASE WHEN asked = 'hybrid' THEN greatest(200, 5 * n) ELSE n END"""),
+    "CTXR": (["ITEMS", "IF", "FSUP", "FTB", "GTB"], """
+SELECT t.hour, t.dow, ITEMS.item_idx,
+       coalesce(f.ctx, (coalesce(gh.bias, 0) + coalesce(gd.bias, 0)) / 2) AS ctx
+FROM ITEMS CROSS JOIN (SELECT h AS hour, d AS dow FROM range(0, 24) a(h), range(0, 7) b(d)) t
+LEFT JOIN GTB gh ON gh.kind = 'hour' AND gh.key = t.hour LEFT JOIN GTB gd ON gd.kind = 'dow' AND gd.key = t.dow
+LEFT JOIN (
+  SELECT t.hour, t.dow, IF.item_idx, avg((coalesce(h.bias, 0) + coalesce(d.bias, 0)) / 2) AS ctx
+  FROM IF JOIN FSUP ON IF.feature = FSUP.feature
+  CROSS JOIN (SELECT h AS hour, d AS dow FROM range(0, 24) a(h), range(0, 7) b(d)) t
+  LEFT JOIN FTB h ON h.feature = IF.feature AND h.kind = 'hour' AND h.key = t.hour
+  LEFT JOIN FTB d ON d.feature = IF.feature AND d.kind = 'dow' AND d.key = t.dow
+  GROUP BY t.hour, t.dow, IF.item_idx) f ON f.item_idx = ITEMS.item_idx AND f.hour = t.hour AND f.dow = t.dow"""),
+    "RQH": (["RQ", "RQS", "CTXR"], """
+SELECT request_id, item_idx, score,
+       row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, item_idx) AS rank
+FROM (
+  SELECT w.request_id, w.item_idx,
+         CAST(0.3 AS DOUBLE) * coalesce(n_0, 0) + CAST(0.3 AS DOUBLE) * coalesce(n_1, 0)
+         + CAST(0.4 AS DOUBLE) * coalesce(n_2, 0) + CAST(0.15 AS DOUBLE) * coalesce(c.ctx, 0) AS score
+  FROM (SELECT request_id, item_idx, max(CASE WHEN model = 'cf' THEN norm END) AS n_0,
+               max(CASE WHEN model = 'cbf' THEN norm END) AS n_1, max(CASE WHEN model = 'ncf' THEN norm END) AS n_2
+        FROM (SELECT *, CASE WHEN mx = mn THEN 0.5 ELSE (score - mn) / (mx - mn) END AS norm
+              FROM (SELECT *, min(score) OVER (PARTITION BY request_id, model) AS mn,
+                           max(score) OVER (PARTITION BY request_id, model) AS mx FROM RQS WHERE asked = 'hybrid'))
+        GROUP BY request_id, item_idx) w
+  JOIN RQ ON RQ.request_id = w.request_id
+  LEFT JOIN CTXR c ON c.item_idx = w.item_idx AND c.hour = RQ.hour AND c.dow = RQ.dow)"""),
     # ── validation / preparation ──
     "DR0": (["R"], """
 SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id,

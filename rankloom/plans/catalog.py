@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import collaborative as cf
 from rankloom.operators import ingest, split
 from rankloom.oracle import sql
+from rankloom.plans import requests as rq
 from rankloom.plans.pipeline import prepare_retail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,6 +559,32 @@ def q_recommend(spark, sf):
                       F.array_join("features", ", ").alias("features"), "score")
 
 
+@register("recommend_requests", sql("""
+SELECT RQ.request_id, RQ.user_idx, RQ.model, CAST(s.rank AS BIGINT) AS rank, s.item_idx, round(s.score, 6) AS score
+FROM RQ JOIN RQS s ON s.request_id = RQ.request_id AND s.model = RQ.model
+UNION ALL
+SELECT RQ.request_id, RQ.user_idx, RQ.model, CAST(h.rank AS BIGINT), h.item_idx, round(h.score, 6)
+FROM RQ JOIN RQH h ON h.request_id = RQ.request_id AND h.rank <= RQ.n""", "RQ", "RQS", "RQH"))
+def q_recommend_requests(spark, sf):
+    """Q01/Q03: every event as a request with its own model, length, context, exclusion and behaviour."""
+    p = prepare_retail(spark, sf)
+    out = rq.recommend(rq.event_requests(spark, sf, p), p, rq.scorers(p))
+    return out.select("request_id", "user_idx", "model", "rank", "item_idx", r6("score").alias("score"))
+
+
+@register("request_behavior", sql("""
+SELECT RQ.request_id, RQ.b_item, round(RQ.b_engagement, 3) AS engagement_weight,
+       round(RQ.b_rating, 2) AS effective_rating, coalesce(RQA.alpha > 0, false) AS applied
+FROM RQ LEFT JOIN RQA ON RQA.request_id = RQ.request_id WHERE RQ.b_rating IS NOT NULL""", "RQ", "RQA"))
+def q_request_behavior(spark, sf):
+    """Q03: what a request's behaviour amounts to, and whether it moved the profile."""
+    p = prepare_retail(spark, sf)
+    asked = rq.event_requests(spark, sf, p).where(F.col("b_rating").isNotNull())
+    return rq.behaviours(asked, p).select(
+        "request_id", "b_item", F.round("b_engagement", 3).alias("engagement_weight"),
+        F.round("b_rating", 2).alias("effective_rating"), "applied")
+
+
 def _bound_requests(spark, sf):
     e = fx.table(spark, sf, "events")
     v = F.floor(F.col("value")).cast("int")
