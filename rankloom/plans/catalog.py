@@ -7,6 +7,7 @@ last step on both sides so the two engines can be compared value by value.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import collaborative as cf
 from rankloom.operators import ingest, split
+from rankloom import config as C
+from rankloom.functions import ranking as rk
 from rankloom.oracle import sql
 from rankloom.plans import requests as rq
 from rankloom.plans.pipeline import prepare_retail
@@ -928,20 +931,21 @@ def stream_statics(spark, sf):
 _STREAM_MEMO: dict = {}
 
 
+def _job(name, sf):
+    """A stream job's name: what it does, over which input, in which session's tables."""
+    return f"{name}-{hashlib.sha1(sf.rstrip('/').encode()).hexdigest()[:10]}"
+
+
 def profile_run(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STREAM_MEMO:
         vecs, base = stream_statics(spark, sf)
         ups = st.profile_stream(fx.event_stream(spark, _events_glob(sf)), vecs, base, N_FEAT)
-        _STREAM_MEMO[key] = st.run_to_table(ups, ["user_id"], "profiles")
+        _STREAM_MEMO[key] = st.run_to_table(ups, ["user_id"], _job("profiles", sf))
     return _STREAM_MEMO[key]
 
 
-@register("ema_replay", sql("""
-SELECT r.user_id, CAST(i - 1 AS INTEGER) AS feature_pos, round(r.p[i], 6) AS value
-FROM REC r JOIN (SELECT user_id, max(rn) AS n FROM EVX GROUP BY user_id) m
-  ON m.user_id = r.user_id AND r.step = m.n
-CROSS JOIN range(1, 23) AS t(i)""", "EVX", "BP", extra={"REC": """
+_REC_CTE = """
 SELECT u.user_id, 0 AS step,
        coalesce(BP.base, list_transform(range(22), lambda i: 0.0)) AS p
 FROM (SELECT DISTINCT user_id FROM EVX) u LEFT JOIN BP ON BP.user_id = u.user_id
@@ -954,7 +958,14 @@ SELECT r.user_id, r.step + 1,
                                  lambda t: (1.0 - x.alpha) * t[1] + x.alpha * t[2]),
                   lambda z: z * z))))
             ELSE r.p END
-FROM REC r JOIN EVX x ON x.user_id = r.user_id AND x.rn = r.step + 1"""}).replace(
+FROM REC r JOIN EVX x ON x.user_id = r.user_id AND x.rn = r.step + 1"""
+
+
+@register("ema_replay", sql("""
+SELECT r.user_id, CAST(i - 1 AS INTEGER) AS feature_pos, round(r.p[i], 6) AS value
+FROM REC r JOIN (SELECT user_id, max(rn) AS n FROM EVX GROUP BY user_id) m
+  ON m.user_id = r.user_id AND r.step = m.n
+CROSS JOIN range(1, 23) AS t(i)""", "EVX", "BP", extra={"REC": _REC_CTE}).replace(
     "WITH ", "WITH RECURSIVE ", 1))
 def q_ema_replay(spark, sf):
     """Profiles after replaying every event in order through the keyed state."""
@@ -974,7 +985,7 @@ def q_stream_profiles(spark, sf):
 @register("stream_seen", sql("SELECT DISTINCT user_id, item_id FROM EV", "EV"))
 def q_stream_seen(spark, sf):
     s = st.seen_stream(fx.event_stream(spark, _events_glob(sf)))
-    return st.run_to_table(s, [], "seen", output_mode="append")
+    return st.run_seen(s, _job("seen", sf))
 
 
 @register("stream_popularity", sql("""
@@ -982,7 +993,7 @@ SELECT item_id, round(sum(engagement), 6) AS weight, CAST(count(*) AS BIGINT) AS
 FROM ENG GROUP BY item_id""", "ENG"))
 def q_stream_popularity(spark, sf):
     s = st.popularity_stream(fx.event_stream(spark, _events_glob(sf)))
-    out = st.run_to_table(s, ["item_id"], "popularity")
+    out = st.run_to_table(s, ["item_id"], _job("popularity", sf))
     return out.select("item_id", r6("weight").alias("weight"), "events")
 
 
@@ -995,30 +1006,78 @@ def q_stream_windows(spark, sf):
     p = prepare_retail(spark, sf)
     feats = p.features.join(p.item_map, "item_idx").select("item_id", "feature")
     s = st.window_stream(fx.event_stream(spark, _events_glob(sf)), feats)
-    out = st.run_to_table(s, ["window_start", "feature"], "windows")
+    out = st.run_to_table(s, ["window_start", "feature"], _job("windows", sf))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "feature",
                       "events", r6("avg_rating").alias("avg_rating"))
 
 
-@register("stream_rerank")
+@register("stream_rerank", sql("""
+SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM (
+  SELECT w.user_idx, w.item_idx, s.score,
+         CAST(row_number() OVER (PARTITION BY w.user_idx ORDER BY round(s.score, 9) DESC, w.item_idx) AS BIGINT) AS rank
+  FROM SRW w LEFT JOIN CTX c ON c.item_idx = w.item_idx,
+  LATERAL (SELECT CAST(0.3 AS DOUBLE) * coalesce(w.n_0, 0) + CAST(0.3 AS DOUBLE) * coalesce(w.n_1, 0)
+                  + CAST(0.4 AS DOUBLE) * coalesce(w.n_2, 0)
+                  + CAST(0.15 AS DOUBLE) * coalesce(c.ctx, 0) AS score) s)
+WHERE rank <= 10""", "EVX", "EV", "BP", "UM", "IM", "IF", "DV", "IB", "UB", "MU", "IPOP", "CSEEN", "CTX", extra={
+    "REC": _REC_CTE,
+    "SRU": """
+SELECT UM.user_idx, r.p FROM REC r JOIN UM ON UM.user_id = r.user_id
+JOIN (SELECT user_id, max(rn) AS n FROM EVX GROUP BY user_id) m ON m.user_id = r.user_id AND r.step = m.n""",
+    "SRSEEN": """
+SELECT user_idx, item_idx FROM CSEEN
+UNION SELECT UM.user_idx, IM.item_idx FROM EV JOIN UM ON UM.user_id = EV.user_id JOIN IM ON IM.item_id = EV.item_id""",
+    "SRC": """
+SELECT user_idx, model, item_idx, score,
+       row_number() OVER (PARTITION BY user_idx, model ORDER BY round(score, 9) DESC, item_idx) AS rank
+FROM (SELECT u.user_idx, 'cbf' AS model, IPOP.item_idx,
+             coalesce(list_sum(list_transform(list_zip(u.p, d.vec), lambda t: t[1] * t[2])), 0) + 0.05 * IPOP.pop AS score
+      FROM SRU u CROSS JOIN IPOP LEFT JOIN IM ON IM.item_idx = IPOP.item_idx LEFT JOIN DV d ON d.item_id = IM.item_id
+      UNION ALL
+      SELECT u.user_idx, 'cf', IB.item_idx,
+             coalesce((SELECT mu FROM MU) + UB.user_bias, 0) + IB.item_bias + 0.5 * IB.pop_prior
+      FROM SRU u CROSS JOIN IB LEFT JOIN UB ON UB.user_idx = u.user_idx
+      UNION ALL
+      SELECT u.user_idx, 'ncf', IB.item_idx, IB.pop_prior FROM SRU u CROSS JOIN IB) x
+WHERE NOT EXISTS (SELECT 1 FROM SRSEEN s WHERE s.user_idx = x.user_idx AND s.item_idx = x.item_idx)
+QUALIFY rank <= 200""",
+    "SRW": """
+SELECT user_idx, item_idx, max(CASE WHEN model = 'cf' THEN norm END) AS n_0,
+       max(CASE WHEN model = 'cbf' THEN norm END) AS n_1, max(CASE WHEN model = 'ncf' THEN norm END) AS n_2
+FROM (SELECT *, CASE WHEN mx = mn THEN 0.5 ELSE (score - mn) / (mx - mn) END AS norm
+      FROM (SELECT *, min(score) OVER (PARTITION BY user_idx, model) AS mn,
+                   max(score) OVER (PARTITION BY user_idx, model) AS mx FROM SRC))
+GROUP BY user_idx, item_idx"""}).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_stream_rerank(spark, sf):
-    """Each micro-batch re-ranks (content, top 10) the users it touched."""
+    """Each micro-batch ranks the users it touched by the hybrid, from their profile after it,
+    without anything they have consumed; a user's last ranking."""
     p = prepare_retail(spark, sf)
     vecs, base = stream_statics(spark, sf)
-    ups = st.profile_stream(fx.event_stream(spark, _events_glob(sf), max_files=1), vecs, base,
-                            N_FEAT)
-    feats = RETAIL_CONFIG.feature_cols
+    ups = st.profile_stream(fx.event_stream(spark, _events_glob(sf), max_files=1), vecs, base, N_FEAT)
+    return st.run_rerank(ups, hybrid_rerank(p), _job("rerank", sf), ["user_idx"]).select(
+        "user_idx", "rank", "item_idx", r6("score").alias("score"))
+
+
+def hybrid_rerank(p, n: int = 10):
+    """A function from a batch of stream profiles to the touched users' rankings."""
+    models, seen = rq.scorers(p), rk.seen_lists(p.serve_train)
 
     def rerank(batch):
         touched = batch.join(p.user_map, "user_id")
-        prof = (touched.select("user_idx", F.posexplode("profile").alias("_pos", "value"))
-                .where(F.col("value") != 0)
-                .select("user_idx", F.element_at(F.array(*[F.lit(f) for f in feats]),
-                                                 F.col("_pos") + 1).alias("feature"), "value"))
-        return cbf.content_topn(p.train, p.items, p.features, n=10, profiles=prof,
-                                users=touched.select("user_idx"), seen=p.serve_train)
-
-    return st.run_rerank(ups, rerank, "rerank")
+        consumed = (touched.select("user_idx", F.explode("consumed").alias("item_id")).join(p.item_map, "item_id")
+                    .groupBy("user_idx").agg(F.collect_set("item_idx").alias("_new")))
+        none = F.array().cast("array<long>")
+        contexts = (touched.select(F.col("user_idx").alias("qid"), "user_idx", F.col("profile").alias("vec"))
+                    .join(seen, "user_idx", "left").join(consumed, "user_idx", "left")
+                    .withColumn("seen", F.concat(F.coalesce("_seen", none), F.coalesce("_new", none)))
+                    .withColumns({f"n_{m}": F.lit(C.N_CANDIDATES) for m in rq.MODELS}))
+        contexts = contexts.checkpoint()
+        asked = contexts.select(F.col("qid").alias("request_id"), F.lit(n).alias("n"),
+                                F.lit(C.DEFAULT_HOUR).alias("hour"), F.lit(C.DEFAULT_DOW).alias("dow"))
+        ranked = rq.rank_contexts(contexts, models).withColumnRenamed("qid", "request_id")
+        return rq.fuse_requests(ranked, asked, p).withColumnRenamed("request_id", "user_idx")
+
+    return rerank
 
 
 # ── neural scorer ───────────────────────────────────────────────────────────
