@@ -114,9 +114,15 @@ def feature_names(features: DataFrame) -> list[str]:
 
 def content_blocks(train: DataFrame, items: DataFrame, features: DataFrame, feature_cols: list[str],
                    pop_weight: float = C.CBF_POP_WEIGHT) -> DataFrame:
-    """Item blocks of the content scorer: unit vectors in ``feature_cols`` order, popularity as bias."""
+    """Item blocks of the content scorer."""
+    return item_blocks(content_side(train, items, features, feature_cols, pop_weight))
+
+
+def content_side(train: DataFrame, items: DataFrame, features: DataFrame, feature_cols: list[str],
+                 pop_weight: float = C.CBF_POP_WEIGHT) -> DataFrame:
+    """(item_idx, vec, bias): unit vectors in ``feature_cols`` order, weighted popularity."""
     side = item_popularity(items, train).join(dense_item_vectors(features, feature_cols), "item_idx", "left")
-    return item_blocks(side.select("item_idx", "vec", (F.col("pop") * F.lit(float(pop_weight))).alias("bias")))
+    return side.select("item_idx", "vec", (F.col("pop") * F.lit(float(pop_weight))).alias("bias"))
 
 
 # ── EMA updates (B08–B10) ────────────────────────────────────────────────────

@@ -65,17 +65,24 @@ def _contexts(contexts) -> F.Column:
     return F.array(*[F.struct(F.lit(h).alias("hour"), F.lit(d).alias("dow")) for h, d in pairs])
 
 
+def context_tables(train: DataFrame, features: DataFrame) -> dict[str, DataFrame]:
+    """What ``context_scores`` learns: biases per feature and overall, and the supported features."""
+    return {"context_feature": feature_time_bias(train, features), "context_global": global_time_bias(train),
+            "context_supported": supported_features(train, features)}
+
+
 def context_scores(items: DataFrame, features: DataFrame, train: DataFrame,
-                   contexts=((C.DEFAULT_HOUR, C.DEFAULT_DOW),), of: DataFrame | None = None) -> DataFrame:
+                   contexts=((C.DEFAULT_HOUR, C.DEFAULT_DOW),), of: DataFrame | None = None,
+                   tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """``(hour, dow, item_idx, ctx)`` for every item and requested (hour, dow).
 
     Per item: mean over its supported features of (h + d)/2 with missing cells 0;
     items without a supported feature take the global (h + d)/2. ``of`` holds the features of
-    ``items`` where these are not the catalogue that the biases come from.
+    ``items`` where these are not the catalogue that the biases come from; ``tables`` are stored
+    ``context_tables``, with which ``train`` is not read.
     """
-    fb = feature_time_bias(train, features)
-    gb = global_time_bias(train)
-    sup = supported_features(train, features)
+    tables = context_tables(train, features) if tables is None else tables
+    fb, gb, sup = (tables[f"context_{t}"] for t in ("feature", "global", "supported"))
     ctx = _contexts(contexts)
     fh = fb.where(F.col("kind") == "hour").select("feature", F.col("key").alias("hour"),
                                                    F.col("bias").alias("_h"))
