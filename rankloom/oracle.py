@@ -230,36 +230,40 @@ SELECT ITEMS.item_idx, ITEMS.item_id, ITEMS.name,
 FROM ITEMS LEFT JOIN IF ON IF.item_idx = ITEMS.item_idx
 GROUP BY ITEMS.item_idx, ITEMS.item_id, ITEMS.name"""),
     "REQ": (["S"], """
-SELECT user_idx, item_idx, rating, interaction_weight AS engagement FROM S
-WHERE role = 'test' AND rn = c1 + 1"""),
+SELECT user_idx, rn, item_idx, rating, interaction_weight AS engagement FROM S WHERE role = 'test'"""),
     "RA": (["REQ", "IV"], """
 SELECT *, least(0.6, 0.2 * (rating / 5.0) * greatest(engagement, 0.1)) AS alpha FROM REQ
 WHERE item_idx IN (SELECT item_idx FROM IV)"""),
     "PREV": (["RA", "PROF", "IV"], """
-SELECT user_idx, feature, m / nrm AS value
-FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY user_idx)) AS nrm
-      FROM (SELECT user_idx, feature, (1.0 - alpha) * sum(p) + alpha * sum(v) AS m
-            FROM (SELECT RA.user_idx, RA.alpha, PROF.feature, PROF.value AS p, 0.0 AS v
+SELECT user_idx, rn, feature, m / nrm AS value
+FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY user_idx, rn)) AS nrm
+      FROM (SELECT user_idx, rn, feature, (1.0 - alpha) * sum(p) + alpha * sum(v) AS m
+            FROM (SELECT RA.user_idx, RA.rn, RA.alpha, PROF.feature, PROF.value AS p, 0.0 AS v
                   FROM RA JOIN PROF ON PROF.user_idx = RA.user_idx
                   UNION ALL
-                  SELECT RA.user_idx, RA.alpha, IV.feature, 0.0 AS p, IV.value AS v
+                  SELECT RA.user_idx, RA.rn, RA.alpha, IV.feature, 0.0 AS p, IV.value AS v
                   FROM RA JOIN IV ON IV.item_idx = RA.item_idx)
-            GROUP BY user_idx, alpha, feature))
+            GROUP BY user_idx, rn, alpha, feature))
 WHERE nrm > 0"""),
-    "SESS": (["RA", "PREV", "IV", "IPOP", "CSEEN"], """
-SELECT user_idx, item_idx, score,
-       CAST(row_number() OVER (PARTITION BY user_idx
+    "SPROF": (["REQ", "RA", "PREV", "PROF"], """
+SELECT user_idx, rn, feature, value FROM PREV
+UNION ALL
+SELECT REQ.user_idx, REQ.rn, PROF.feature, PROF.value FROM REQ JOIN PROF ON PROF.user_idx = REQ.user_idx
+WHERE NOT EXISTS (SELECT 1 FROM RA WHERE RA.user_idx = REQ.user_idx AND RA.rn = REQ.rn)"""),
+    "SESS": (["REQ", "SPROF", "IV", "IPOP", "CSEEN"], """
+SELECT user_idx, rn, item_idx, score,
+       CAST(row_number() OVER (PARTITION BY user_idx, rn
                                ORDER BY round(score, 9) DESC, item_idx) AS BIGINT) AS rank
-FROM (SELECT u.user_idx, IP.item_idx, coalesce(c.cos, 0) + 0.05 * IP.pop AS score
-      FROM (SELECT DISTINCT user_idx FROM RA) u CROSS JOIN IPOP IP
-      LEFT JOIN (SELECT p.user_idx, v.item_idx, sum(p.value * v.value) AS cos
-                 FROM PREV p JOIN IV v ON v.feature = p.feature
-                 GROUP BY p.user_idx, v.item_idx) c
-        ON c.user_idx = u.user_idx AND c.item_idx = IP.item_idx
-      WHERE NOT EXISTS (SELECT 1 FROM CSEEN s
-                        WHERE s.user_idx = u.user_idx AND s.item_idx = IP.item_idx)
-        AND NOT EXISTS (SELECT 1 FROM RA r
-                        WHERE r.user_idx = u.user_idx AND r.item_idx = IP.item_idx))"""),
+FROM (SELECT r.user_idx, r.rn, IP.item_idx, coalesce(c.cos, 0) + 0.05 * IP.pop AS score
+      FROM REQ r CROSS JOIN IPOP IP
+      LEFT JOIN (SELECT p.user_idx, p.rn, v.item_idx, sum(p.value * v.value) AS cos
+                 FROM SPROF p JOIN IV v ON v.feature = p.feature
+                 GROUP BY p.user_idx, p.rn, v.item_idx) c
+        ON c.user_idx = r.user_idx AND c.rn = r.rn AND c.item_idx = IP.item_idx
+      WHERE IP.item_idx <> r.item_idx
+        AND NOT EXISTS (SELECT 1 FROM CSEEN s
+                        WHERE s.user_idx = r.user_idx AND s.item_idx = IP.item_idx))
+QUALIFY rank <= 5"""),
     "EV": ([], """
 SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
        ts AS event_time, CAST(floor(epoch(ts)) AS BIGINT) AS "timestamp",

@@ -18,6 +18,7 @@ from rankloom.operators import collaborative as cf
 from rankloom.operators import ingest, split
 from rankloom import config as C
 from rankloom.functions import ranking as rk
+from rankloom.functions.blocks import blocked_topn
 from rankloom.oracle import sql
 from rankloom.plans import intake
 from rankloom.plans import requests as rq
@@ -617,7 +618,8 @@ def _bound_requests(spark, sf):
              .when(F.col("event_type") == "signup", "hybrid").otherwise(F.col("event_type")))
     return e.select("event_id", F.col("user_id").alias("user_idx"), F.pmod(v, F.lit(30)).alias("hour"),
                     F.pmod(v, F.lit(9)).alias("dow"), (F.month("ts") - 1).alias("mon"),
-                    v.alias("n"), model.alias("model"), (F.col("value") / 20).alias("rating"),
+                    v.alias("n"), F.pmod(F.floor(F.col("value") * 3).cast("int"), F.lit(130)).alias("history"),
+                    model.alias("model"), (F.col("value") / 20).alias("rating"),
                     (F.col("value") - 40).alias("view_time_sec"))
 
 
@@ -628,12 +630,13 @@ SELECT event_id, reason IS NULL AS valid, reason FROM (
     WHEN NOT (dow BETWEEN 0 AND 6) THEN 'dow must be 0-6'
     WHEN NOT (mon BETWEEN 0 AND 11) THEN 'mon must be 0-11'
     WHEN NOT (n BETWEEN 1 AND 50) THEN 'n must be 1-50'
+    WHEN NOT (history BETWEEN 1 AND 100) THEN 'history must be 1-100'
     WHEN model NOT IN ('cf', 'cbf', 'ncf', 'hybrid') THEN 'model must be one of cf, cbf, ncf, hybrid'
     WHEN rating IS NOT NULL AND NOT (rating BETWEEN 1.0 AND 5.0) THEN 'rating must be 1-5'
     WHEN view_time_sec < 0 THEN 'view_time_sec must be >= 0' END AS reason
   FROM (SELECT event_id, CAST(floor(value) AS INTEGER) % 30 AS hour,
                CAST(floor(value) AS INTEGER) % 9 AS dow, month(ts) - 1 AS mon,
-               CAST(floor(value) AS INTEGER) AS n,
+               CAST(floor(value) AS INTEGER) AS n, CAST(floor(value * 3) AS INTEGER) % 130 AS history,
                CASE event_type WHEN 'click' THEN 'cf' WHEN 'view' THEN 'cbf'
                     WHEN 'purchase' THEN 'ncf' WHEN 'signup' THEN 'hybrid' ELSE event_type END
                  AS model,
@@ -656,54 +659,53 @@ def q_engagement_rating(spark, sf):
 
 
 def session_requests(p):
-    """Each user's first held-out interaction, used as "just interacted with" context."""
-    c1 = F.floor(F.col("n") * F.lit(1.0 - 0.2))
-    return (p.ratings.where((F.col("role") == "test") & (F.col("rn") == c1 + 1))
-            .select("user_idx", "item_idx", "rating",
-                    F.col("interaction_weight").alias("engagement")))
+    """Every held-out interaction as a "just interacted with" request: its user and place in the history."""
+    return p.ratings.where(F.col("role") == "test").select(
+        "user_idx", "rn", F.col("item_idx").alias("b_item"), F.col("rating").alias("b_rating"),
+        F.col("interaction_weight").alias("b_engagement"), "hour", "day_of_week", "month")
 
 
 def session_topn(spark, sf, n=5):
+    """Content top-n per request from its previewed profile, without seen items and its own."""
     p = prepare_retail(spark, sf)
-    req = session_requests(p)
-    prof = cbf.user_profiles(p.train, p.features)
-    preview = sv.ema_preview_long(req, prof, p.features)
-    users = req.join(cbf.item_unit_vectors(p.features).select("item_idx").distinct(),
-                     "item_idx", "left_semi").select("user_idx").distinct()
-    seen = p.serve_train.select("user_idx", "item_idx").unionByName(
-        req.select("user_idx", "item_idx"))
-    return cbf.content_topn(p.train, p.items, p.features, n=n, profiles=preview, users=users,
-                            seen=seen)
-
-
-@register("ema_preview", sql("SELECT user_idx, feature, round(value, 6) AS value FROM PREV",
+    none = F.array().cast("array<long>")
+    asked = (rq.behaviours(session_requests(p), p).join(rk.seen_lists(p.serve_train), "user_idx", "left")
+             .withColumn("seen", F.concat(F.coalesce("_seen", none), F.array("b_item")))
+             .select(F.monotonically_increasing_id().alias("qid"), "user_idx", "rn", "vec", F.lit(0.0).alias("off"),
+                     F.lit(n).alias("n"), "seen").checkpoint())
+    ranked = blocked_topn(asked, cbf.content_blocks(p.train, p.items, p.features, p.cfg.feature_cols), n)
+    return ranked.join(asked.select("qid", "user_idx", "rn"), "qid").select(
+        "user_idx", "rn", "rank", "item_idx", r6("score").alias("score"))
+
+
+@register("ema_preview", sql("SELECT user_idx, rn, feature, round(value, 6) AS value FROM PREV",
                              "PREV"))
 def q_ema_preview(spark, sf):
-    """Previewed profiles after each user's first held-out interaction."""
+    """The profile as it would be after each held-out interaction."""
     p = prepare_retail(spark, sf)
-    prof = cbf.user_profiles(p.train, p.features)
-    return sv.ema_preview_long(session_requests(p), prof, p.features).select(
-        "user_idx", "feature", r6("value").alias("value"))
+    names = F.array(*map(F.lit, p.cfg.feature_cols))
+    return (rq.behaviours(session_requests(p), p).where("applied")
+            .select("user_idx", "rn", F.posexplode("vec").alias("pos", "value")).where(F.col("value") != 0)
+            .select("user_idx", "rn", F.element_at(names, F.col("pos") + 1).alias("feature"), r6("value").alias("value")))
 
 
 @register("session_context_topn", sql(
-    "SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM SESS WHERE rank <= 5",
-    "SESS"))
+    "SELECT user_idx, rn, rank, item_idx, round(score, 6) AS score FROM SESS", "SESS"))
 def q_session_context_topn(spark, sf):
     return session_topn(spark, sf, 5)
 
 
 @register("rank_change", sql("""
-SELECT a.user_idx, a.item_idx FROM SESS a
-WHERE a.rank <= 5 AND NOT EXISTS (
+SELECT a.user_idx, a.rn, a.item_idx FROM SESS a
+WHERE NOT EXISTS (
   SELECT 1 FROM CRS b WHERE b.user_idx = a.user_idx AND b.item_idx = a.item_idx AND b.rank <= 5)""",
     "SESS", "CRS"))
 def q_rank_change(spark, sf):
-    """Q10: items new in a user's top 5 after the session update."""
+    """Q10: items new in a user's top 5 after each session update."""
     p = prepare_retail(spark, sf)
     after = session_topn(spark, sf, 5)
     before = cbf.content_topn(p.train, p.items, p.features, n=5,
-                              users=after.select("user_idx").distinct(), seen=p.serve_train)
+                              users=session_requests(p).select("user_idx").distinct(), seen=p.serve_train)
     return sv.rank_change(before, after, 5)
 
 
@@ -1228,16 +1230,14 @@ def q_neural_topn(spark, sf):
 
 @register("neural_attribution")
 def q_neural_attribution(spark, sf):
-    """Exact Shapley values for each user's first held-out interaction (100-row
+    """Exact Shapley values for every held-out interaction at its own time (100-row
     background of training rows, chosen by hash with seed 42)."""
     p = prepare_retail(spark, sf)
-    req = session_requests(p).join(p.ratings.select("user_idx", "item_idx", "hour",
-                                                    "day_of_week", "month"),
-                                   ["user_idx", "item_idx"]).dropDuplicates(["user_idx"])
+    req = session_requests(p).withColumnRenamed("b_item", "item_idx")
     bg = (p.train.select("user_idx", "item_idx", "hour", "day_of_week", "month")
           .orderBy(F.xxhash64("user_idx", "item_idx", "hour", F.lit(42))).limit(100))
     out = ncf.shapley(ncf_model(spark, sf), req, bg)
-    return out.select("user_idx", "item_idx", *[r6(c).alias(c) for c in (
+    return out.select("user_idx", "item_idx", "hour", "day_of_week", "month", *[r6(c).alias(c) for c in (
         "phi_user", "phi_item", "phi_hour", "phi_dow", "phi_month", "base_value", "prediction")])
 
 

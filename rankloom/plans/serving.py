@@ -6,13 +6,12 @@ Each request is a row; a batch of requests is answered by one Spark job, so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom import config as C
-from rankloom.functions.columns import engagement_weight, ema_alpha, inferred_rating
+from rankloom.functions.columns import engagement_weight, inferred_rating
 from rankloom.functions.ranking import top_n
-from rankloom.operators import content as cbf
 
 MODELS = ["cf", "cbf", "ncf", "hybrid"]
 
@@ -20,7 +19,7 @@ MODELS = ["cf", "cbf", "ncf", "hybrid"]
 def request_bounds(requests: DataFrame) -> DataFrame:
     """Valid flag and the first failing rule for each recommendation/interaction request.
 
-    Rules: hour 0–23, dow 0–6, mon 0–11, n 1–50, model in {cf, cbf, ncf, hybrid},
+    Rules: hour 0–23, dow 0–6, mon 0–11, n 1–50, history 1–100, model in {cf, cbf, ncf, hybrid},
     rating 1–5 when given, view time ≥ 0.
     """
     checks = [
@@ -28,6 +27,7 @@ def request_bounds(requests: DataFrame) -> DataFrame:
         (~F.col("dow").between(0, 6), "dow must be 0-6"),
         (~F.col("mon").between(0, 11), "mon must be 0-11"),
         (~F.col("n").between(1, 50), "n must be 1-50"),
+        (~F.col("history").between(1, 100), "history must be 1-100"),
         (~F.col("model").isin(*MODELS), "model must be one of cf, cbf, ncf, hybrid"),
         (F.col("rating").isNotNull() & ~F.col("rating").between(1.0, 5.0), "rating must be 1-5"),
         (F.col("view_time_sec") < 0, "view_time_sec must be >= 0"),
@@ -54,31 +54,6 @@ def signals_applied(events: DataFrame) -> F.Column:
     return F.array_compact(F.array(*names))
 
 
-def ema_preview_long(requests: DataFrame, profiles: DataFrame, features: DataFrame) -> DataFrame:
-    """B08/B09 in long form: one EMA step per request (user_idx, item_idx, rating, engagement).
-
-    Returns ``(user_idx, feature, value)`` for requests with α > 0 (item known); the
-    previous profile defaults to zeros.
-    """
-    vec = cbf.item_unit_vectors(features)
-    known = requests.join(vec.select("item_idx").distinct(), "item_idx", "left_semi")
-    req = known.withColumn("alpha", ema_alpha(F.col("rating"), F.col("engagement"))).where(
-        F.col("alpha") > 0)
-    old = (req.select("user_idx", "alpha").join(profiles, "user_idx")
-           .select("user_idx", "alpha", "feature", F.col("value").alias("_p"),
-                   F.lit(0.0).alias("_v")))
-    new = (req.select("user_idx", "alpha", "item_idx").join(vec, "item_idx")
-           .select("user_idx", "alpha", "feature", F.lit(0.0).alias("_p"),
-                   F.col("value").alias("_v")))
-    mixed = (old.unionByName(new).groupBy("user_idx", "alpha", "feature")
-             .agg(F.sum("_p").alias("_p"), F.sum("_v").alias("_v"))
-             .withColumn("_m", (F.lit(1.0) - F.col("alpha")) * F.col("_p")
-                         + F.col("alpha") * F.col("_v")))
-    nrm = F.sqrt(F.sum(F.col("_m") * F.col("_m")).over(Window.partitionBy("user_idx")))
-    return (mixed.withColumn("_n", nrm).where(F.col("_n") > 0)
-            .select("user_idx", "feature", (F.col("_m") / F.col("_n")).alias("value")))
-
-
 def item_lookup(items: DataFrame, features: DataFrame) -> DataFrame:
     """Item id, name and its features in config order."""
     feats = (features.groupBy("item_idx")
@@ -129,5 +104,4 @@ def history_feature_counts(history: DataFrame, features: DataFrame) -> DataFrame
 def rank_change(before: DataFrame, after: DataFrame, top: int = 5) -> DataFrame:
     """Q10: items in the top ``top`` after that were not in the top ``top`` before."""
     b = before.where(F.col("rank") <= top).select("user_idx", "item_idx")
-    a = after.where(F.col("rank") <= top).select("user_idx", "item_idx")
-    return a.join(b, ["user_idx", "item_idx"], "left_anti")
+    return after.where(F.col("rank") <= top).drop("rank", "score").join(b, ["user_idx", "item_idx"], "left_anti")
