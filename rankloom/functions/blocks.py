@@ -100,31 +100,46 @@ def _best(block: dict, vec, off, n, seen):
 
 
 _BLOCK = ("ids", "vecs", "biases")
-_ROUND1 = ("qids binary, vec binary, off binary, n binary, seen array<array<long>>, least binary, "
-           "later array<long>, found_q binary, found_i binary, found_s binary")
+_QUERIES = "qids binary, vec binary, off binary, n binary, seen array<array<long>>"
+_ROUND1 = _QUERIES + ", least binary, later array<long>, found_q binary, found_i binary, found_s binary"
+_QUERY_FIELDS = [*((c, pa.binary()) for c in ("qids", "vec", "off", "n")), ("seen", pa.list_(pa.list_(pa.int64())))]
 
 
-def _first_block(batches):
-    """Scores blocks of queries against the first item block; names the item blocks they still need."""
-    schema = pa.schema([*((c, pa.binary()) for c in ("qids", "vec", "off", "n")), ("seen", pa.list_(pa.list_(pa.int64()))),
-                        ("least", pa.binary()), ("later", pa.list_(pa.int64())),
-                        *((c, pa.binary()) for c in ("found_q", "found_i", "found_s"))])
+def _pack_queries(batches):
+    """One row per block of queries, so that an item block is sent to it once."""
+    schema = pa.schema(_QUERY_FIELDS)
     for whole in batches:
         for at in range(0, whole.num_rows, QUERIES):
             b = whole.slice(at, QUERIES)
             qid, off, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("qid", "off", "n"))
-            vec, n = _matrix(b.column("vec"), b.num_rows), n.astype(np.int64)
-            seen = [s or [] for s in b.column("seen").to_pylist()]
-            row, item, score = _best({c: b.column(c)[0].as_py() for c in _BLOCK}, vec, off, n, seen)
+            values = [qid.astype(np.int64).tobytes(), _matrix(b.column("vec"), b.num_rows).tobytes(),
+                      off.astype(float).tobytes(), n.astype(np.int64).tobytes(), [s or [] for s in b.column("seen").to_pylist()]]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
+
+
+def _unpack_queries(r: dict):
+    qid = _read(r["qids"], np.int64)
+    return qid, _read(r["vec"]).reshape(len(qid), -1), _read(r["off"]), _read(r["n"], np.int64)
+
+
+def _first_block(batches):
+    """Scores blocks of queries against the first item block; names the item blocks they still need."""
+    schema = pa.schema([*_QUERY_FIELDS, ("least", pa.binary()), ("later", pa.list_(pa.int64())),
+                        *((c, pa.binary()) for c in ("found_q", "found_i", "found_s"))])
+    for b in batches:
+        for k in range(b.num_rows):
+            r = {c: b.column(c)[k].as_py() for c in b.schema.names}
+            qid, vec, off, n = _unpack_queries(r)
+            row, item, score = _best(r, vec, off, n, r["seen"])
             count = np.bincount(row, minlength=len(n))
             least = np.full(len(n), -np.inf)
             full = (count >= n) & (n > 0)
             least[full] = score[np.cumsum(count)[full] - 1]
             norm = np.sqrt((vec * vec).sum(1))
-            later = [block for block, norm_b, top_b in zip(*(b.column(c)[0].as_py() for c in ("blocks", "norms", "tops")))
+            later = [block for block, norm_b, top_b in zip(r["blocks"], r["norms"], r["tops"])
                      if (off + norm * norm_b + top_b >= least - SLACK).any()]
-            values = [qid.astype(np.int64).tobytes(), vec.tobytes(), off.astype(float).tobytes(), n.tobytes(), seen,
-                      least.tobytes(), later, qid[row].astype(np.int64).tobytes(), item.tobytes(), score.tobytes()]
+            values = [r["qids"], r["vec"], r["off"], r["n"], r["seen"], least.tobytes(), later,
+                      qid[row].tobytes(), item.tobytes(), score.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
 
 
@@ -144,9 +159,7 @@ def _later_block(batches):
     for b in batches:
         for k in range(b.num_rows):
             r = {c: b.column(c)[k].as_py() for c in b.schema.names}
-            qid, n = _read(r["qids"], np.int64), _read(r["n"], np.int64)
-            off, least = _read(r["off"]), _read(r["least"])
-            vec = _read(r["vec"]).reshape(len(qid), -1)
+            (qid, vec, off, n), least = _unpack_queries(r), _read(r["least"])
             need = np.flatnonzero(off + np.sqrt((vec * vec).sum(1)) * r["norm"] + r["top"] >= least - SLACK)
             row, item, score = _best(r, vec[need], off[need], n[need], [r["seen"][j] for j in need])
             yield _results(qid[need][row], item, score)
@@ -166,7 +179,7 @@ def blocked_topn(queries: DataFrame, blocks: DataFrame, most: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = queries.select("qid", "vec", F.col("off").cast("double").alias("off"),
                            F.least("n", F.lit(most)).cast("long").alias("n"), "seen").repartition(parts, "qid")
-    round1 = (asked.join(F.broadcast(first)).join(F.broadcast(others))
+    round1 = (asked.mapInArrow(_pack_queries, _QUERIES).join(F.broadcast(first)).join(F.broadcast(others))
               .mapInArrow(_first_block, _ROUND1).checkpoint())
     found = round1.select("found_q", "found_i", "found_s").mapInArrow(_unpack_found, FOUND)
     pairs = (round1.select("qids", "vec", "off", "n", "seen", "least", F.explode("later").alias("block"))
