@@ -136,5 +136,5 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     done = ranked(wide, plan)
     extra = F.when((F.col("size") > 0) & _taken(F.col("size"), F.col("rank"), F.col("cuts")), F.lit(1)).otherwise(F.lit(0))
     number = F.when(F.col("size") > 0, F.col("copies") + extra).otherwise(F.lit(0)).cast("int")
-    return done.select("doc_id", *keep, "size", "source_size", "target", number.alias("copies"),
-                       (number * F.col("size")).cast("long").alias("taken"))
+    return done.select("doc_id", *keep, "size", "source_size", "target",
+                       (number * F.col("size")).cast("long").alias("taken"), number.alias("copies"))
