@@ -1,7 +1,8 @@
 """N-gram Jaccard join by prefix filter and prefix tree, with connected components.
 
 Documents with the same set of word shingles are one node. All sets are put in
-one global order, shingles that are frequent in a sample last; two sets that are
+one global order by the documents that hold them, counted over all, the most
+frequent shingles last; two sets that are
 similar enough share a shingle within the first quarter of that order. Nodes
 that share such a shingle are candidates: first every node against the pivot of
 its posting list (the node most of whose shingles are shared), which joins
@@ -26,8 +27,10 @@ from rankloom.llm.scratch import Scratch
 SHINGLE = 5
 #: similarity in hundredths
 PERCENT = 75
-#: documents of the sample that orders the shingles, times seen from which one counts as frequent, most of them
-SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 3, 200000
+#: documents from which a shingle may count as frequent, and entries of the table of frequent ones (some 16 MB)
+FREQUENT, MOST_FREQUENT = 3, 1 << 20
+#: shingles counted in one bucket, and bits that tell them apart there
+BUCKET, KEY_BITS = 4_000_000, 36
 #: hash bins of a set's counts, which rule out candidates without reading their sets
 BINS = 256
 #: candidates of one pivot that are verified in one group
@@ -91,31 +94,116 @@ def within_reach(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "pivot bigint, node bigint")
 
 
-def frequent_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent shingles and their estimated documents; at most MOST_FREQUENT, from a bounded sample."""
-    share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id"), 12) / F.lit(float(1 << 52))
+def _counting_keys(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket of every shingle, and KEY_BITS of its hash: what counts are kept by."""
+    low = h & np.uint64((1 << KEY_BITS) - 1)
+    return (h >> np.uint64(KEY_BITS)) % np.uint64(n_buckets) << np.uint64(KEY_BITS) | low
 
-    def run(batches):
-        for _, _, _, h, _, _ in _batches(batches, 1):
-            u, c = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c, pa.int64())], names=["h", "n"])
 
-    counts = docs.where(chance < share).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    got = counts.where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).collect()
-    h = np.array([r.h for r in got], np.int64).view(np.uint64)
-    n = np.array([r.n for r in got], np.float64) / share
-    order = np.argsort(h)
-    return h[order], n[order]
+def _packed(low: np.ndarray) -> tuple[int, bytes]:
+    """Ascending numbers as differences of as many bytes as the largest needs."""
+    gaps = np.diff(low, prepend=np.uint64(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return width, gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(width: int, blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
 
+def document_frequencies(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """key, n: shingles of FREQUENT documents or more, counted over all documents.
 
-def _ordered(h: np.ndarray, doc: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    A batch counts equal sets once and sends a bucket its distinct keys in one row, so that a shingle of
+    any number of documents reaches its bucket once per batch. Two shingles of one key add up: the counts
+    only choose the order.
+    """
+    def send(batches):
+        for _, i, j, h, doc, at in _batches(batches, 1):
+            _, first = np.unique(_nodes(h, at), return_index=True)
+            own = np.zeros(j - i, bool)
+            own[first] = True
+            key, n = np.unique(_counting_keys(h[own[doc]], n_buckets), return_counts=True)
+            bucket = (key >> np.uint64(KEY_BITS)).astype(np.int64)
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else np.zeros(0, np.int64)
+            rows = []
+            for x, y in zip(edge, np.r_[edge[1:], len(key)][:len(edge)], strict=True):
+                several = np.flatnonzero(n[x:y] > 1)
+                width, blob = _packed(key[x:y] & np.uint64((1 << KEY_BITS) - 1))
+                rows.append((bucket[x], width, blob, several.astype("<u4").tobytes(), n[x:y][several].astype("<u4").tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                                             names=["bucket", "width", "keys", "at", "times"])
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for width, blob, where, times in zip(*(table.column(c).to_pylist() for c in ("width", "keys", "at", "times")), strict=True):
+            keys.append(_unpacked(width, blob))
+            counts.append(np.ones(len(keys[-1]), np.int64))
+            counts[-1][np.frombuffer(where, "<u4")] = np.frombuffer(times, "<u4")
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.add.reduceat(n, begin)
+        many = n >= FREQUENT
+        head = np.int64(table.column("bucket")[0].as_py()) << KEY_BITS
+        return pa.table({"key": pa.array(key[begin][many].astype(np.int64) | head), "n": pa.array(n[many], pa.int64())})
+
+    sent = docs.mapInArrow(send, "bucket bigint, width int, keys binary, at binary, times binary")
+    return sent.groupBy("bucket").applyInArrow(add, "key bigint, n bigint")
+
+
+#: sorted counting keys of the frequent shingles, their documents, a bit per key's hash, and the keys' buckets
+Frequent = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def frequent_shingles(docs: DataFrame, scratch: Scratch, n_shingles: int) -> Frequent:
+    """The shingles of most documents: all those above the least number that leaves at most MOST_FREQUENT of them.
+
+    So a shingle that isn't frequent has at most that number of documents, whatever the corpus holds.
+    """
+    n_buckets = max(1, -(-n_shingles // BUCKET))
+    counts = scratch.table(document_frequencies(docs, n_buckets), "frequencies")
+    # the numbers of documents, as powers of 2^(1/8): some hundreds of rows
+    step = F.floor(F.log2("n") * 8)
+    least, held = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("keys"), F.min("n").alias("least")).orderBy(F.col("step").desc()).collect():
+        held += r["keys"]
+        if held > MOST_FREQUENT:
+            break
+        least = r["least"]
+    got = counts.where(F.col("n") >= least).toArrow() if least else counts.limit(0).toArrow()
+    scratch.drop("frequencies")
+    keys, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.float64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    bits = np.zeros(1 << 21, np.uint8)
+    slot = _slots(keys.view(np.int64), len(bits) * 8)
+    np.bitwise_or.at(bits, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
+    return keys, n[order], bits, n_buckets
+
+
+def _documents_of(h: np.ndarray, frequent: Frequent) -> np.ndarray:
+    """Documents of every shingle, 0 for those that aren't frequent."""
+    keys, docs, bits, n_buckets = frequent
+    out = np.zeros(len(h))
+    if not len(h) or not len(keys):
+        return out
+    key = _counting_keys(h, n_buckets)
+    slot = _slots(key.view(np.int64), len(bits) * 8)
+    may = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+    key = key[may]
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    out[may] = np.where(keys[at] == key, docs[at], 0.0)
+    return out
+
+
+def _ordered(h: np.ndarray, doc: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
     """The sets in global order (rare by hash, then frequent by documents and hash), and each one's documents or 0."""
-    keys, docs_of = frequent
-    weight = np.zeros(len(h))
-    if len(keys) and len(h):
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        weight = np.where(keys[at] == h, docs_of[at], 0.0)
+    weight = _documents_of(h, frequent)
     order = np.lexsort((h, weight, doc))
     return h[order], weight[order]
 
@@ -125,7 +213,7 @@ def postings(docs: DataFrame, frequent) -> DataFrame:
     def run(batches):
         for _, i, j, h, doc, at in _batches(batches, 1):
             node, n = _nodes(h, at), np.diff(at)
-            h, weight = _ordered(h, doc, frequent)
+            h, weight = _ordered(h, doc, frequent.value)
             _, first = np.unique(node, return_index=True)
             own = np.zeros(j - i, bool)
             own[first] = True
@@ -148,7 +236,7 @@ def ordered_sets(docs: DataFrame, frequent, wanted) -> DataFrame:
     def run(batches):
         for _, i, j, h, doc, at in _batches(batches, 1):
             node = _nodes(h, at)
-            h, _ = _ordered(h, doc, frequent)
+            h, _ = _ordered(h, doc, frequent.value)
             slot = _slots(node, len(bits.value) * 8)
             may = (bits.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
             _, first = np.unique(node, return_index=True)
@@ -289,23 +377,19 @@ def _open_rows(rows: DataFrame, label: DataFrame) -> DataFrame:
 def _across_pairs(rest: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs of one posting list and different components that weren't tried yet and may overlap enough.
 
-    A pair meets once per shingle that both prefixes hold. The prefix that ends first in the global order holds
-    every common shingle up to its end, so at most what that set has behind its prefix comes on top of these;
-    for the other set, at most what follows its last common place.
+    Every pair that is similar enough passes at the first shingle that both hold: what lies before it is not shared,
+    so the shorter set has it within its first seventh, and both have enough behind it. Long lists are split: a row
+    looks for longer sets from its own part, and is looked for in all.
     """
-    x, y = rest.alias("x"), rest.alias("y")
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits)
-    pair = met.groupBy(F.col("x.node").alias("pivot"), F.col("y.node").alias("node")).agg(
-        F.count("*").alias("common"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn"), F.min("x.pos").alias("xpos"), F.min("y.pos").alias("ypos"),
-        F.max("x.pos").alias("xlast"), F.max("y.pos").alias("ylast"))
-
-    def behind(first: str, other: str) -> Column:
-        prefix_rest = F.ceil(F.col(f"{first}n") * PERCENT / 100) - 1
-        return F.least(prefix_rest, F.col(f"{other}n") - F.col(f"{other}last") - 1)
-
-    most = F.col("common") + F.greatest(behind("x", "y"), behind("y", "x"))
-    across = pair.where((most * (100 + PERCENT) >= (F.col("xn") + F.col("yn")) * PERCENT) & _may_match("x", "y")).select("pivot", "node")
+    size = rest.groupBy("token").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
+    dealt = rest.join(size, "token")
+    early = (F.col("n") - F.col("pos")) * (100 + PERCENT) >= 2 * PERCENT * F.col("n")
+    x = dealt.where(early).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    y = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    longer = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & longer
+                 & (F.col("x.label") != F.col("y.label")) & _may_match("x.", "y."))
+    across = met.select(F.least("x.node", "y.node").alias("pivot"), F.greatest("x.node", "y.node").alias("node")).distinct()
     done = tried.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
     return across.join(done, ["pivot", "node"], "left_anti")
 
@@ -315,7 +399,8 @@ def links(docs: DataFrame, scratch: Scratch, member: DataFrame) -> DataFrame:
 
     Each phase is a table and holds no frame of the one before, so that its shuffle files can go.
     """
-    frequent = frequent_shingles(docs, member.count())
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, scratch, member.agg(F.sum("n_shingles")).first()[0] or 0))
+    scratch.release()
     bins = scratch.table(member.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins")), "bins")
     scratch.table(_shared_postings(docs, frequent), "postings")
     scratch.release()

@@ -133,12 +133,27 @@ def test_ngram_join_equals_brute_force(spark, documents, odd, empty, monkeypatch
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     monkeypatch.setattr(ngram_join, "PART", 5)  # many salted parts
     monkeypatch.setattr(ngram_join, "GROUP", 7)
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 9)  # most repeated shingles count as rare
+    monkeypatch.setattr(ngram_join, "BUCKET", 1000)
     assert sorted(tuple(r) for r in ngram_join.join_documents(df).collect()) == brute_components(rows)
     assert ngram_join.join_documents(empty).count() == 0
     one = sorted((r.doc_id, r.text) for r in ngram_join.keep_one(odd.where("text is not null")).collect())
     assert [d for d, _ in one] == [2, 3, 4, 5, 5, 7, 9, 10]
 
 
+def test_document_frequencies_are_exact(spark, empty, monkeypatch):
+    texts = [f"a b c d e f {'x ' * (i % 3)}g{i} h{i // 4} i{i // 4} j{i // 4} k{i // 4} l{i // 4}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "doc_id bigint, text string")
+    want = collections.Counter(s for t in texts for s in {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)})
+    assert sorted(r.n for r in ngram_join.document_frequencies(df.repartition(4), 3).collect()) == sorted(n for n in want.values() if n >= ngram_join.FREQUENT)
+    assert ngram_join.document_frequencies(empty, 1).count() == 0
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 20)
+    keys, docs, _, _ = ngram_join.frequent_shingles(df, Scratch(spark, "t"), 500)
+    assert 0 < len(keys) <= 20 and sorted(docs) == sorted(want.values())[-len(docs):]
+    for numbers in ([0, 0, 1], [5, 1 << 35, (1 << 36) - 1], [7]):
+        assert ngram_join._unpacked(*ngram_join._packed(np.array(numbers, np.uint64))).tolist() == numbers
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(99, 98), (98, 99), (5, 5)], "a bigint, b bigint")
     got = {r.a: r.b for r in components(edges, Scratch(spark, "t"), "c").collect()}
