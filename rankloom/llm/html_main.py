@@ -9,6 +9,9 @@ where no winning path leads anywhere.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -21,8 +24,11 @@ WINNING = 0.2
 HOLDS, ARTICLE_HOLDS = 0.85, 0.4
 #: share of the page's text from which a marked element is a wrapper and no furniture; a discussion needs HOLDS
 WRAPS = 0.5
+#: characters of a path from which its digest stands for it, so that deep nesting takes bounded memory
+LONG_PATH = 1000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[\"'>]")
 _NAMES = re.compile(r"""\b(class|id|role|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -60,6 +66,64 @@ def _names(attrs: str) -> tuple[str, frozenset[str]]:
     return first, frozenset(words)
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of every tag; comments and declarations have no name.
+
+    A tag ends at the first ``>`` outside quotes, or, where its quotes don't end, at the first one. A quote
+    that led nowhere is remembered, so the whole page is read in time linear in its length; the consumer may
+    send the place to go on from.
+    """
+    last = html.rfind(">")
+    last_quote = {q: html.rfind(q) for q in "\"'"}
+    astray: set[int] = set()
+
+    def tag_end(at: int) -> int:
+        begin, opened = at, []
+        while True:
+            m = _STOP.search(html, at)
+            if m is None:
+                break
+            at = m.start()
+            q = html[at]
+            if q == ">":
+                return at
+            opened.append(at)
+            if at in astray or last_quote[q] <= at:
+                break
+            at = html.find(q, at + 1) + 1
+        astray.update(opened)
+        return html.find(">", begin)
+
+    at = 0
+    while True:
+        i = html.find("<", at)
+        if i < 0:
+            return
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            end = len(html) if end < 0 else end + 3
+            found = (i, end, False, "", "")
+        elif i > last:
+            at = i + 1
+            i = html.find("<!--", i)        # no tag ends any more, but a comment may hide the rest
+            if i >= 0:
+                yield i, len(html), False, "", ""
+            return
+        else:
+            closes = html.startswith("/", i + 1)
+            m = _NAME.match(html, i + 1 + closes)
+            if m:
+                end = tag_end(m.end()) + 1
+                found = (i, end, closes, m.group().lower(), html[m.end():end - 1])
+            elif html[i + 1:i + 2] in ("!", "?", "/"):
+                end = html.find(">", i) + 1
+                found = (i, end, False, "", "")
+            else:
+                at = i + 1
+                continue
+        at = (yield found) or end
+
+
 def _worth(text: str, link: int) -> float:
     return max(0.0, len(text) - 2.0 * link)
 
@@ -75,18 +139,20 @@ def _furniture(blocks, nodes, marks: list[tuple[int, bool, bool]], at_mark: list
     held, article, main, pieces = [0.0] * m, [0.0] * n, [False] * m, [0] * m
     worth = [_worth(text, link) for text, link, _ in blocks]
     for w, (_, _, node), k in zip(worth, blocks, at_mark, strict=True):
-        while k >= 0:
+        article[node] += w
+        if k >= 0:
             held[k] += w
             pieces[k] += 1
-            k = marks[k][0]
-        while node >= 0:
-            article[node] += w
-            node = nodes[node][0]
     total = sum(worth)
     for *_, k in nodes:
-        while k >= 0:
+        if k >= 0:
             pieces[k] += 1
-            k = marks[k][0]
+    for k in range(m - 1, -1, -1):      # outer marks and containers come first
+        if marks[k][0] >= 0:
+            held[marks[k][0]] += held[k]
+            pieces[marks[k][0]] += pieces[k]
+    for i in range(n - 1, 0, -1):
+        article[nodes[i][0]] += article[i]
     articles = [i for i in range(n) if nodes[i][1] in ("article", "main")]
     largest = max(articles, key=lambda i: (article[i], -i), default=-1)
     for i in articles:
@@ -116,9 +182,14 @@ def read_page(html: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[
         return blocks, [x[:3] for x in nodes]
     # open elements: tag, path, container, dropped, inside article, mark
     stack = [("html", "html", 0, False, False, -1)]
+    n_open: Counter[str] = Counter()
     words: list[str] = []
     link = 0
 
+    def leave(k: int):
+        n_open.subtract(s[0] for s in stack[k:])
+        del stack[k:]
+
     def flush():
         nonlocal link
         if words:
@@ -142,64 +213,49 @@ def read_page(html: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[
                 flush_needed = any(s[0] not in INLINE for s in stack[k:])
                 if flush_needed:
                     flush()
-                del stack[k:]
+                leave(k)
                 return
             if stack[k][0] in upto or stack[k][0] in CONTAINER:
                 return
 
-    at, n = 0, len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            say(html[at:])
-            break
-        say(html[at:m.start()])
-        at = m.end()
-        tag = (m.group(2) or m.group(5) or "").lower()
-        if not tag:
-            continue
-        if m.group(1) or m.group(4):
-            if tag == "br":
-                say(" ")
-                continue
-            if tag == "p" and not any(s[0] == "p" for s in stack):
-                flush()
-                continue
+    def shut(tag: str):
+        if tag == "br":
+            say(" ")
+        elif tag == "p" and not n_open["p"]:
+            flush()
+        elif n_open[tag]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     if tag not in INLINE or any(s[0] not in INLINE for s in stack[k:]):
                         flush()
-                    del stack[k:]
+                    leave(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
-            continue
-        attrs = m.group(3) or m.group(6) or ""
-        if tag in RAW and not attrs.endswith("/"):
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else n
-            say(" ")
-            continue
+
+    def enter(tag: str, attrs: str):
         if tag == "br":
             say(" ")
-            continue
+            return
         if tag in VOID:
             if tag == "hr":
                 flush()
-            continue
+            return
         if tag in ("html", "body"):
             if tag == "body":
                 close(("head",), upto=())
-            continue
+            return
         if tag not in INLINE:
             flush()
-            if any(s[0] == "p" for s in stack):
+            if n_open["p"]:
                 close(("p",))
             if tag in _CLOSES:
                 close(_CLOSES[tag])
         _, path, inside, dropped, article, mark = stack[-1]
         first, named = _names(attrs)
         step = f"{path}>{tag}" + (f".{first}" if first else "")
+        if len(step) > LONG_PATH:
+            step = "#" + blake2b(step.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
         article = article or tag in ("article", "main")
         if tag not in KEPT and not dropped:
             dropped = tag in DROPPED and tag not in WRAPPERS or "hidden" in attrs.lower().split()
@@ -210,6 +266,28 @@ def read_page(html: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[
             nodes.append((inside, tag, step, mark))
             inside = len(nodes) - 1
         stack.append((tag, step, inside, dropped, article, mark))
+        n_open[tag] += 1
+
+    at, n = 0, len(html)
+    reader = tags(html)
+    found = next(reader, None)
+    while found is not None:
+        begin, end, closes, tag, attrs = found
+        say(html[at:begin])
+        at = end
+        if closes or not tag:
+            shut(tag)
+        elif tag in RAW and not attrs.endswith("/"):
+            over = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(html, at)
+            at = over.end() if over else n
+            say(" ")
+        else:
+            enter(tag, attrs)
+        try:
+            found = reader.send(at)
+        except StopIteration:
+            found = None
+    say(html[at:])
     flush()
     if marks:
         gone = _furniture(blocks, nodes, marks, at_mark)
@@ -221,10 +299,9 @@ def best_container(blocks, nodes) -> tuple[int, float]:
     """The container that scores best, and its share of the page's text; links count against a block."""
     total = [0.0] * len(nodes)
     for text, link, node in blocks:
-        worth = _worth(text, link)
-        while node >= 0:
-            total[node] += worth
-            node = nodes[node][0]
+        total[node] += _worth(text, link)
+    for i in range(len(nodes) - 1, 0, -1):      # parents come first
+        total[nodes[i][0]] += total[i]
     if total[0] <= 0:
         return 0, 0.0
     best, rank = 0, (0, 0.0, 0)

@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -330,6 +331,25 @@ def test_main_text_inside_marked_wrappers():
     assert html_main.extract(f"<div class='x'>{body}</div>{teaser}", None) == text
 
 
+@pytest.mark.parametrize("html", [
+    "<a" * 500_000, "<a" * 500_000 + ">", "<a " * 300_000, '<a ">" ' * 100_000, '<a ">' * 200_001, "<a '" * 200_000 + ">", "<!--" * 200_000, "<![x" * 200_000,
+    "<div>x" * 50_000, "<span>x" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<p><div>" * 30_000, "<div class='comment'>x" * 30_000])
+def test_malformed_pages_take_linear_time(html):
+    begin = time.process_time()
+    html_main.extract(html, None)
+    assert time.process_time() - begin < 10
+
+
+def test_tags_and_deep_paths():
+    html = "a<!-- <b> -->x<p class='>'>t</P ><br/><a href=\"o>1 < 2<!DOCTYPE y><i"
+    assert [(html[i:j], c, n) for i, j, c, n, _ in html_main.tags(html)] == [
+        ("<!-- <b> -->", False, ""), ("<p class='>'>", False, "p"), ("</P >", True, "p"), ("<br/>", False, "br"), ('<a href="o>', False, "a"), ("<!DOCTYPE y>", False, "")]
+    deep = "<div class=k>" * 2000
+    _, nodes = html_main.read_page(deep + "text " * 50)
+    assert len(nodes) == 2001 and max(len(p) for *_, p in nodes) <= html_main.LONG_PATH and len({p for *_, p in nodes}) == 2001
+    assert html_main.extract(deep + "text " * 50, [nodes[-1][2]]) == ("text " * 50).strip()
+
+
 def test_main_text_keeps_a_lead_beside_the_container():
     body = "<p>" + "some words of the story " * 40 + "</p>"
     page = f"<body><div id=w><div class='lead'><p>The lead comes first.</p></div><div class='body'>{body}</div></div><div class='sidebar'><p>aside words</p></div></body>"
