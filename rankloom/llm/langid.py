@@ -23,6 +23,8 @@ from rankloom.llm.scratch import Scratch
 #: labelled documents of the fit per language, and entries of the word and the n-gram table
 FIT_DOCS, MOST_WORDS, MOST_GRAMS = 800, 60000, 60000
 LONGEST = 4
+#: languages up to which the table of sampling shares is broadcast
+BROADCAST_LANGS = 100000
 #: characters scored in one vectorised block; a longer text is a block of its own
 BLOCK = 1 << 20
 
@@ -68,12 +70,15 @@ def fit(docs: DataFrame) -> dict:
     The most frequent entries of each table are kept; ties by key.
     """
     train = docs.where(usable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    share = train.groupBy("lang").agg((F.lit(float(FIT_DOCS)) / F.count("*")).alias("share"))
+    scratch = Scratch(docs.sparkSession, "langid")
+    share = scratch.table(train.groupBy("lang").agg((F.lit(float(FIT_DOCS)) / F.count("*")).alias("share")), "shares")
+    if share.count() <= BROADCAST_LANGS:    # one short row per language: the texts stay where they are
+        share = F.broadcast(share)
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 12) / F.lit(float(1 << 52))
     sample = train.withColumn("chance", chance).join(share, "lang").where(F.col("chance") < F.col("share")).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, kind int, key string, n bigint").groupBy("kind", "key").agg(
         F.collect_list(F.struct("lang", "n")).alias("by_lang"), F.sum("n").alias("total"))
-    counts = Scratch(docs.sparkSession, "langid").table(counts, "counts")
+    counts = scratch.table(counts, "counts")
     got = []
     for words, most in ((True, MOST_WORDS), (False, MOST_GRAMS)):
         part = counts.where((F.col("kind") == 0) & (F.col("total") > 1) if words else F.col("kind") > 0)
