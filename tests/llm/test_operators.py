@@ -374,3 +374,138 @@ def test_rules_in_a_source_that_is_half_junk(spark):
     df = spark.createDataFrame(good + junk, "doc_id bigint, text string, lang string, source string")
     kept = {r.doc_id for r in rules.apply_rules(df).where("kept").collect()}
     assert kept == {d for d, *_ in good}
+
+
+def rules_by_hand(rows):
+    """The verdict of every row of base counts (dicts), with quartiles read from sorted lists of bins."""
+    def top(v):
+        k = max(v.bit_length() - 6, 0)
+        return v if v < 64 else ((v >> k) + 1 << k) - 1
+
+    def figures(some, c, per, scale):
+        bins = sorted((top(r[c] * scale // max(r[per], 1)), r["n_words"]) for r in some)
+        total = sum(w for _, w in bins)
+
+        def q(percent):
+            upto = 0
+            for v, w in bins:
+                upto += w
+                if upto * 100 >= total * percent:
+                    return v
+        return np.array([q(25), q(25) - q(5), q(75) - q(25)], float)
+
+    judged = [r for r in rows if not r["base_failed"]]
+    out = []
+    for r in rows:
+        ok = not r["base_failed"]
+        if ok:
+            lang = [x for x in judged if x["lang"] == r["lang"]]
+            group = [x for x in lang if x["source"] == r["source"]]
+            for c, per, scale, events in rules.METRICS.values():
+                groups = collections.defaultdict(list)
+                for x in judged:
+                    groups[x["lang"], x["source"]].append(x)
+                each = {k: figures(g, c, per, scale) for k, g in groups.items()}
+                typical = lambda some: np.median([each[x["lang"], x["source"]][1:] for x in some], axis=0)  # noqa: E731, B023
+                whole, wide = (np.r_[figures(x, c, per, scale)[0], typical(x)] for x in (judged, lang))
+                wide = (len(lang) * wide + rules.PRIOR * whole) / (len(lang) + rules.PRIOR)
+                own = (len(group) * each[r["lang"], r["source"]] + rules.PRIOR * wide) / (len(group) + rules.PRIOR)
+                rate = r[c] * scale / max(r[per], 1)
+                error = rate * (r[events] + 1) ** 0.5 / max(r[events], 1)
+                ok &= rate <= own[0] + max(rules.FENCE * max(own[1], min(own[2], wide[2])), rules.NOISE * error)
+        out.append((r["doc_id"], ok))
+    return sorted(out)
+
+
+def rules_sample(spark, symbols, lang="en", many_docs=150):
+    """Documents of 60 to 99 words; per source a function of the number gives the symbols of each document."""
+    rows = []
+    for s, (source, many) in enumerate(symbols.items()):
+        for d in range(many_docs):
+            n = 60 + d * 7 % 40
+            signs = iter("#" * many(d))
+            rows.append((s * 1000 + d, " ".join(f"word{s}x{d}x{k}" + next(signs, "") for k in range(n)), lang, source))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+
+
+def test_rules_verdict_by_hand(spark, odd):
+    df = rules_sample(spark, {"plain": lambda d: 50 * (d % 9 == 0), "code": lambda d: 30 + d % 9, None: lambda d: d % 3}, many_docs=50).unionByName(
+        rules_sample(spark, {"plain": lambda d: 3 * (d % 2)}, "de", 40).withColumn("doc_id", rules.F.col("doc_id") + 50000)).unionByName(
+        odd.select("doc_id", "text", "lang", "source").where("doc_id <> 7 and doc_id <> 8"))
+    failed = (rules.F.col("n_words") < rules.MIN_WORDS) | (100 * rules.F.col("n_repeat_words") > rules.REPEAT_PERCENT * rules.F.col("n_words"))
+    base = [r.asDict() for r in rules.base_metrics(df).withColumn("base_failed", failed).collect()]
+    got = sorted((r.doc_id, r.kept) for r in rules.apply_rules(df).collect())
+    assert got == rules_by_hand(base)
+
+
+def test_rules_limits_follow_the_source(spark):
+    half = lambda d: (60 + d * 7 % 40) // 2
+    df = rules_sample(spark, {"plain": lambda d: half(d) * (d % 10 == 0), "code": half})
+    kept = {r.doc_id: r.kept for r in rules.apply_rules(df).collect()}
+    # the same share of symbols is an outlier in the one source and usual in the other
+    assert all(kept[1000 + d] for d in range(150))
+    assert all(kept[d] == (d % 10 != 0) for d in range(150))
+
+
+def mix_by_hand(rows, share=1.5, most=2.0):
+    """Words taken of every row (doc_id, source, size, chance), one by one in the Pareto order of each source."""
+    sizes = collections.Counter()
+    for _, s, n, _ in rows:
+        sizes[s] += n
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, free = {}, share * sum(sizes.values()), set(names)
+    while True:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > most * sizes[s]}
+        target |= {s: most * sizes[s] if s in full else level * weight[s] for s in free}
+        if not full or full == free:
+            break
+        left, free = left - sum(most * sizes[s] for s in full), free - full
+    out = {}
+    for s in names:
+        docs = [(d, n, u) for d, x, n, u in rows if x == s and n]
+        copies = int(target[s] // sizes[s]) if sizes[s] else 0
+        gap = target[s] - copies * sizes[s]
+        cls = {n: math.floor(math.log2(n) * mixing.CLASSES) for _, n, _ in docs}
+        certain, rate, rest = set(), 0.0, docs
+        for c in sorted(set(cls.values()), reverse=True):
+            rest = [x for x in docs if cls[x[1]] <= c]
+            mine = [n for _, n, _ in rest if cls[n] == c]
+            rate = (gap - sum(n for _, n, _ in docs if cls[n] > c)) / sum(n * n for _, n, _ in rest)
+            if rate * sum(mine) <= len(mine) * (1 + 1e-12):
+                break
+        certain = {d for d, n, _ in docs} - {d for d, n, _ in rest}
+        gap -= sum(n for d, n, _ in docs if d in certain)
+        odds = lambda p: p / (1 - p)
+        line = sorted((odds(u) / max(odds(min(rate * n, mixing.ALMOST)), 1e-300), d, n) for d, n, u in rest)
+        chosen = set(certain)
+        while True:
+            fit, used = [x for x in line if x[2] <= gap and x[1] not in chosen], 0
+            for _, d, n in fit:
+                if used + n > gap:
+                    break
+                used += n
+                chosen.add(d)
+            gap -= used
+            if not used:
+                break
+        out |= {d: (copies + (d in chosen)) * n for d, x, n, _ in rows if x == s}
+    return out
+
+
+def test_mixing_by_hand(spark):
+    lengths = [1, 2, 3, 5, 8, 13, 40, 90, 300, 1200]
+    rows = [(d, "w " * lengths[(d * d + d // 7) % 10] if d % 31 else None, "en", (None, "a", "b", "c", "b", "b")[d % 6]) for d in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    chance = mixing._chance(mixing.F.col("doc_id"), mixing.F.xxhash64("text"), 20240229)
+    bare = [tuple(r) for r in df.select("doc_id", "source", mixing.word_count(mixing.F.col("text")), chance).collect()]
+    assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == mix_by_hand(bare)
+
+
+def test_mixing_inclusion_in_proportion_to_size(spark):
+    df = spark.range(6000).select(mixing.F.col("id").alias("doc_id"), mixing.F.lit("a").alias("source"),
+                                  mixing.F.expr("repeat('w ', cast(10 * pow(2, id % 3) as int))").alias("text"))
+    got = mixing.mix(df).groupBy("size").agg(mixing.F.avg(mixing.F.col("copies") - 1).alias("rate"), mixing.F.min("copies").alias("least")).collect()
+    assert len(got) == 3 and all(r.least == 1 for r in got)
+    assert all(abs(r.rate - r.size / 60) < 0.05 for r in got)   # 1.5 times all words: rate 0.5 * 70 / (100 + 400 + 1600)
