@@ -120,6 +120,19 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType,
     return df.repartition(partitions) if partitions else df
 
 
+def json_records(spark: SparkSession, path: str | list[str], schema: T.StructType, out: str) -> DataFrame:
+    """S05 with a channel for what can't be read: ``schema``, ``row_no`` and ``corrupt`` (the line, null if it parses).
+
+    A compressed file is read once by one task; its numbered records are written to ``out`` in many
+    row groups, so that every later pass splits and prunes. Blank lines are no records.
+    """
+    lines = with_row_no(spark.read.text(path)).where(F.trim("value") != "")
+    wide = T.StructType([*schema.fields, T.StructField("corrupt", T.StringType())])
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
+    lines.select("row_no", parsed.alias("r")).select("row_no", "r.*").write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata lines: ``category`` (list) or legacy ``categories`` (nested list), one list out."""
     raw = read_json_lines(spark, path, META_SCHEMA_TEXT)
