@@ -156,3 +156,29 @@ def test_tuning_takes_all_validation_users(spark, monkeypatch):
     monkeypatch.setattr(tr.hy, "grid_search", lambda cands, models, rel, ctx, k: (cands.count(), rel.count()))
     assert tr.tune(p, None) == (400, 400)
     assert tr.tune(p, None, n_users=7) == (7, 7)
+
+
+def test_explanations_at_the_asked_time(spark):
+    from types import SimpleNamespace
+
+    from rankloom.operators import explain as ex
+    from rankloom.operators import neural as ncf
+    model = SimpleNamespace(params=ncf.init_params(5, 6))
+    rows = [(1, 2, 3, 4, 5), (1, 2, 20, 0, 11), (4, 0, 3, 4, 5), (1, 2, 3, 4, 5), (4, 0, None, None, None)]
+    requests = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "request_id long, user_idx long, item_idx long, hour int, dow int, mon int")
+    asked = ex.with_context(requests).select("user_idx", "item_idx", *ex.CONTEXT).distinct()
+    got = {tuple(r)[:5]: r.ncf_score for r in ncf.predict_pairs(model, asked).collect()}
+    assert len(got) == 4 and (4, 0, 12, 2, 5) in got
+    for (u, i, hour, dow, mon), score in got.items():
+        one = spark.createDataFrame([(u, i)], "user_idx long, item_idx long")
+        assert abs(ncf.predict_pairs(model, one, hour, dow, mon).first().ncf_score - score) < 1e-6
+    from pyspark.sql import functions as F
+    raw = ncf.predict_pairs(model, asked).withColumnRenamed("ncf_score", "ncf_raw").withColumns({"cf_raw": F.lit(0.5), "cbf_raw": F.lit(0.25)})
+    items = spark.createDataFrame([(i, f"i{i}", f"n{i}") for i in range(6)], "item_idx long, item_id string, name string")
+    features = spark.createDataFrame([(i, i % 2, "ab"[i % 2]) for i in range(6)], "item_idx long, feature_pos int, feature string")
+    history = spark.createDataFrame([(1, 4, 5.0, 1), (4, 2, 5.0, 1)], "user_idx long, item_idx long, rating double, rn long")
+    out = {r.request_id: r for r in ex.explain_requests(requests, raw, (0.3, 0.3, 0.4), history, items, features, "part").collect()}
+    assert len(out) == len(rows)
+    assert out[0].ncf_raw != out[1].ncf_raw and out[0].ncf_raw == out[3].ncf_raw
+    assert all(out[0][k] == out[1][k] for k in ("cf_raw", "cbf_raw", "feature_match", "similar_liked"))
+    assert out[0].sentence.startswith("Picked for you") and all(r.sentence for r in out.values())
