@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,15 +83,17 @@ def fit(docs: DataFrame) -> dict:
     got = []
     for words, most in ((True, MOST_WORDS), (False, MOST_GRAMS)):
         part = counts.where((F.col("kind") == 0) & (F.col("total") > 1) if words else F.col("kind") > 0)
-        got += part.orderBy(F.col("total").desc(), "kind", "key").limit(most).collect()
-    langs = sorted({x.lang for r in got for x in r.by_lang})
-    at = {x: i for i, x in enumerate(langs)}
-    keys = {(r.kind, r.key): i for i, r in enumerate(got)}
+        part = part.orderBy(F.col("total").desc(), "kind", "key").limit(most)
+        got.append(part.select("kind", "key", F.col("by_lang.lang").alias("langs"), F.col("by_lang.n").alias("n")).toArrow())
+    got = pa.concat_tables(got).combine_chunks()    # columns, as rows would take the driver several times the memory
+    count = pc.list_value_length(got["langs"]).to_numpy()
+    names = pc.list_flatten(got["langs"])
+    langs = sorted(pc.unique(names).to_pylist())
     freq = np.zeros((len(got), len(langs)))
-    for i, r in enumerate(got):
-        for x in r.by_lang:
-            freq[i, at[x.lang]] += x.n
-    kind = np.array([r.kind for r in got], int)
+    if len(langs):
+        freq[np.repeat(np.arange(len(got)), count), pc.index_in(names, pa.array(langs)).to_numpy()] = pc.list_flatten(got["n"]).to_numpy()
+    keys = {k: i for i, k in enumerate(zip(got["kind"].to_pylist(), got["key"].to_pylist(), strict=True))}
+    kind = got["kind"].to_numpy()
     logs = np.zeros_like(freq)
     for k in range(LONGEST + 1):
         rows = kind == k
