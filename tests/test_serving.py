@@ -34,6 +34,40 @@ def test_blocked_topn_equals_brute_force(spark, monkeypatch, width):
     assert blocks.blocked_topn(asked, blocks.item_blocks(side.limit(0)), 12).count() == 0
 
 
+@pytest.mark.parametrize("width", [0, 3])
+def test_blocked_topn_by_norm_equals_brute_force(spark, monkeypatch, width):
+    """As above, with items that lie by norm, as those of many vectors do."""
+    monkeypatch.setattr(blocks, "VECTORS", 0)
+    test_blocked_topn_equals_brute_force(spark, monkeypatch, width)
+
+
+def test_few_vectors_send_each_query_to_few_blocks(spark, monkeypatch):
+    """Of 60 blocks, whose largest norms rule none out, a query meets those of its nearest vectors; hot ones in shares."""
+    for name, value in (("ITEMS", 16), ("QUERIES", 8), ("MATRIX", 4), ("NEAREST", 3), ("SHARE", 5)):
+        monkeypatch.setattr(blocks, name, value)
+    unit = np.eye(12)
+    items = [(i, unit[i % 12].tolist(), 0.001 * (i % 7)) for i in range(960)]
+    # a repeated item, of which a seen one hides a copy at most
+    items += [(3, unit[3].tolist(), 0.006)] * 2
+    queries = [(q, (unit[q % 12] + 0.1 * unit[0]).tolist(), 0.5, 5, [q % 12, q % 12 + 12, 10**6]) for q in range(70)]
+    side = spark.createDataFrame(items, "item_idx long, vec array<double>, bias double")
+    asked = spark.createDataFrame(queries, "qid long, vec array<double>, off double, n int, seen array<long>")
+    held = blocks.item_blocks(side)
+    assert held.count() == 61
+    steps = blocks._Steps([r.asDict() for r in held.collect()])
+    _, needed = steps.route(np.array([v for _, v, *_ in queries]), np.full(len(queries), 5 + 3 * 3))
+    assert needed.sum(axis=1).max() <= 7
+    got = {}
+    for r in blocks.blocked_topn(asked, held, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.item_idx, round(r.score, 9)))
+    for q, v, off, n, seen in queries:
+        if q % 12 == 3:   # the repeated item
+            continue
+        best = sorted((-round(off + float(np.dot(v, w)) + b, 9), i) for i, w, b in items if i not in seen)[:n]
+        assert got[q] == [(i, -s) for s, i in best]
+    assert all(len(v) == 5 for v in got.values()) and len(got) == 70
+
+
 def test_requests_follow_their_own_settings(spark, sf):
     p = prepare_retail(spark, sf)
     user, item = p.serve_train.select("user_idx", "item_idx").first()
