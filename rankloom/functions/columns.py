@@ -104,9 +104,12 @@ def norm(a: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    """Unit vector; a zero vector stays zero. The vector and its norm are worked out once, not per element."""
+    def unit(v: Column) -> Column:
+        scaled = F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+        return F.element_at(scaled, 1)
+
+    return F.element_at(F.transform(F.array(a), unit), 1)
 
 
 def ema_alpha(rating: Column, engagement: Column) -> Column:

@@ -208,3 +208,46 @@ def test_row_numbers_follow_files_and_text_features_are_reported(spark, tmp_path
     cfg = C.DatasetConfig(dataset_name="d", feature_cols=["A"])
     bad = validate.feature_non_binary(files.null_tokens(items), cfg).first()
     assert (bad["feature"], bad["n"]) == ("A", 1)
+
+
+def test_normalise_takes_time_in_proportion_to_the_vector(spark):
+    import time
+
+    from rankloom.functions.columns import ema_step
+    n = 4000
+    a, b = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i + F.col("id")) * 1.0), F.array_repeat(F.lit(2.0), n)
+    rows = spark.range(24).repartition(4)
+    begun = time.time()
+    got = rows.select("id", ema_step(a, b, F.lit(0.25)).alias("v")).orderBy("id").collect()
+    assert time.time() - begun < 20
+    for r in got[::7]:
+        want = 0.75 * (np.arange(1, n + 1) + r.id) + 0.5
+        assert np.allclose(r.v, want / np.sqrt((want * want).sum()))
+    odd = rows.limit(1).select(ema_step(F.array(F.lit(0.0)), F.array(F.lit(0.0)), F.lit(0.5)).alias("z"),
+                               ema_step(F.lit(None).cast("array<double>"), b, F.lit(0.5)).alias("none")).first()
+    assert odd.z == [0.0] and odd.none is None
+
+
+def test_grid_search_orders_as_a_full_sort_does(spark):
+    """NDCG of every setting equals one read from whole sorted lists, with ties at the k-th place."""
+    from rankloom.operators import fusion as hy
+    rng = np.random.default_rng(3)
+    rows = [(m, u, int(i), float(rng.integers(0, 4))) for m in "abc" for u in range(6) for i in rng.permutation(40)[:1 + 4 * u]]
+    rel = [(u, int(i)) for u in range(7) for i in rng.permutation(40)[:9]]
+    cands = spark.createDataFrame(rows, "model string, user_idx long, item_idx long, score double")
+    relevant = spark.createDataFrame(rel, "user_idx long, item_idx long")
+    got = {r.combo_no: r.ndcg for r in hy.grid_search(cands, list("abc"), relevant, None, k=10).collect()}
+    norms = {}
+    for m in "abc":
+        for u in range(6):
+            mine = {i: s for mm, uu, i, s in rows if (mm, uu) == (m, u)}
+            lo, hi = min(mine.values()), max(mine.values())
+            for i, s in mine.items():
+                norms.setdefault(u, {}).setdefault(i, {})[m] = 0.5 if hi == lo else (s - lo) / (hi - lo)
+    for combo, w1, w2, w3, _ in hy.weight_grid(alphas=[0.0]):
+        total = 0.0
+        for u, items in norms.items():
+            best = sorted(items, key=lambda i: (-round(w1 * items[i].get("a", 0) + w2 * items[i].get("b", 0) + w3 * items[i].get("c", 0), 9), i))[:10]
+            liked = {i for uu, i in rel if uu == u}
+            total += sum(1 / np.log2(k + 2) for k, i in enumerate(best) if i in liked) / sum(1 / np.log2(k + 2) for k in range(min(len(liked), 10)))
+        assert abs(got[combo] - total / 7) < 1e-9
