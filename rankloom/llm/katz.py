@@ -71,9 +71,13 @@ def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def blocks(docs: DataFrame) -> DataFrame:
     """BLOCKS of ``docs`` (doc_id, held, text): documents, offsets of their tokens, sorted word hashes, token numbers."""
     def block(number, held):
-        ids, marks, token, count = (np.concatenate(x) if k > 1 else sum(x, []) for k, x in enumerate(zip(*held, strict=True)))
-        vocab, at = np.unique(np.concatenate([[START], token]), return_inverse=True)
-        off = np.concatenate([[0], np.cumsum(count)])
+        ids, marks, tokens, count = zip(*held, strict=True)
+        held.clear()   # a block's tokens are held once
+        ids, marks, off = sum(ids, []), sum(marks, []), np.concatenate([[0], np.cumsum(np.concatenate(count))])
+        token = np.concatenate([[START], *tokens])
+        del tokens
+        vocab, at = np.unique(token, return_inverse=True)
+        del token
         return pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.bool_())),
              *(pa.array([_pack(x)], pa.binary()) for x in (off, vocab, at[1:].astype(np.int32)))],

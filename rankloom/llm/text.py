@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: bytes of one vectorised pass; larger texts are taken alone
 PIECE = 1 << 21
+#: bytes hashed at once; its tables of powers stay in every worker
+STEP = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,7 +36,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 2 * PIECE:
+        if size <= 2 * STEP:
             _powers[base] = have
     return have[:n]
 
@@ -95,7 +97,7 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     i = 0
     while i < len(starts):
         lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, lo + PIECE, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, lo + STEP, "right")))
         hi = int(ends[j - 1])
         total = np.empty(hi - lo + 1, np.uint64)
         total[0] = 0
