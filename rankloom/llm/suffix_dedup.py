@@ -163,8 +163,8 @@ def _segments(n_buckets: int):
         for batch in batches:
             best: dict[bytes, tuple[int, int, int]] = {}
             late = []
-            for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = text.encode()
+            for doc, text, runs in zip(*batch.columns, strict=True):   # a batch's texts aren't copied at once
+                doc, raw, runs = doc.as_py(), text.as_py().encode(), runs.as_py()
                 buf = np.frombuffer(raw, np.uint8)
                 for lo, hi in np.frombuffer(runs, "<i8").reshape(-1, 2):
                     hi = min(int(hi), len(raw) - WINDOW + 1)
