@@ -509,3 +509,19 @@ def test_mixing_inclusion_in_proportion_to_size(spark):
     got = mixing.mix(df).groupBy("size").agg(mixing.F.avg(mixing.F.col("copies") - 1).alias("rate"), mixing.F.min("copies").alias("least")).collect()
     assert len(got) == 3 and all(r.least == 1 for r in got)
     assert all(abs(r.rate - r.size / 60) < 0.05 for r in got)   # 1.5 times all words: rate 0.5 * 70 / (100 + 400 + 1600)
+
+
+def test_hashes_keep_small_tables(monkeypatch):
+    """Words of a large text hash as they do alone, and no worker keeps tables of a text's length."""
+    import numpy as np
+
+    from rankloom.llm import text as tx
+    monkeypatch.setattr(tx, "_powers", {})
+    rng = np.random.default_rng(5)
+    raw = [bytes(rng.integers(97, 123, k).astype(np.uint8)) for k in rng.integers(1, 12, 200_000)] + [b"x" * 300_000]
+    buf = np.frombuffer(b" ".join(raw), np.uint8)
+    s, e, _ = tx.words(buf, np.array([0, len(buf)]))
+    h = tx.hashes(buf, s, e)
+    assert sum(v.nbytes for v in tx._powers.values()) <= 8 << 20
+    for k in (0, 1, 99_999, 199_999, 200_000):
+        assert h[k] == tx.hashes(np.frombuffer(raw[k], np.uint8), np.array([0]), np.array([len(raw[k])]))[0]
