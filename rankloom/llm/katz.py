@@ -142,16 +142,19 @@ def block_words(table: DataFrame) -> DataFrame:
     return table.mapInArrow(run, "block bigint, w bigint, n bigint")
 
 
-def with_counts(table: DataFrame, asked: DataFrame) -> DataFrame:
-    """The blocks with n, the training counts of their words. ``asked``: block, w, n."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        w, n = right.column("w").to_numpy().view(np.uint64), right.column("n").to_numpy()
-        order = np.argsort(w)
-        w, n = w[order], n[order]
-        told = [_pack(n[np.searchsorted(w, _unpack(v, np.uint64))]) for v in left.column("vocab").to_pylist()]
-        return left.append_column("n", pa.array(told, pa.binary()))
+def packed_counts(asked: DataFrame) -> DataFrame:
+    """block, n: a block's counts packed in the order of its sorted words. ``asked``: block, w, n, every word of a block once."""
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("w").to_numpy().view(np.uint64))
+        return pa.table({"block": rows.column("block").slice(0, 1), "n": pa.array([_pack(rows.column("n").to_numpy()[order])], pa.binary())})
 
-    return table.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, BLOCKS + ", n binary")
+    return asked.groupBy("block").applyInArrow(run, "block bigint, n binary")
+
+
+def with_counts(table: DataFrame, counts: DataFrame) -> DataFrame:
+    """The blocks with n, the training counts of their words. ``counts``: as of ``packed_counts``."""
+    return table.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
+        lambda left, right: left.append_column("n", right.column("n")), BLOCKS + ", n binary")
 
 
 def discounts(counts_of_counts: dict[int, int]) -> list[float]:
@@ -206,9 +209,14 @@ class Model:
         asked = scratch.table(local.select("block", "w").join(self.words, "w", "left").select("block", "w", F.coalesce("n", F.lit(0)).alias("n")), "asked")
         scratch.drop("block-words")
         scratch.release()
-        self.blocks = scratch.table(with_counts(table, asked), "counted")
-        scratch.drop("blocks", "asked")
-        del local, asked, table
+        # the words' rows are gone before the blocks are shuffled and written again
+        counts = scratch.table(packed_counts(asked), "counts")
+        scratch.drop("asked")
+        del local, asked
+        scratch.release()
+        self.blocks = scratch.table(with_counts(table, counts), "counted")
+        scratch.drop("blocks", "counts")
+        del table, counts
         scratch.release()
         self.paired = scratch.table(self._bucket_counts(self._dealt(), factors, self.scale), "paired")
         scratch.release()

@@ -290,6 +290,16 @@ def test_katz_equals_brute_force_and_sums_to_one(spark, documents, odd, empty):
     assert katz.score_documents(empty).count() == 0
 
 
+def test_katz_counts_reach_the_blocks_as_one_row_each(spark):
+    words_of = {7: [2**63 + 5, 3, 2**64 - 1], 9: [4, 2**63]}
+    asked = [(b, w - 2**64 if w >= 2**63 else w, w % 11) for b, ws in words_of.items() for w in ws]
+    counts = katz.packed_counts(spark.createDataFrame(asked, "block bigint, w bigint, n bigint").repartition(3))
+    want = {b: [w % 11 for w in sorted(ws)] for b, ws in words_of.items()}
+    assert sorted((r.block, katz._unpack(r.n, np.int64).tolist()) for r in counts.collect()) == sorted(want.items())
+    table = spark.createDataFrame([(b, [b], [False], b"o", b"v", b"i") for b in words_of], katz.BLOCKS)
+    assert {r.block: (r.ids, katz._unpack(r.n, np.int64).tolist()) for r in katz.with_counts(table, counts).collect()} == {b: (b"i", n) for b, n in want.items()}
+
+
 # op10
 def test_mixing(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
