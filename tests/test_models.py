@@ -182,3 +182,14 @@ def test_explanations_at_the_asked_time(spark):
     assert out[0].ncf_raw != out[1].ncf_raw and out[0].ncf_raw == out[3].ncf_raw
     assert all(out[0][k] == out[1][k] for k in ("cf_raw", "cbf_raw", "feature_match", "similar_liked"))
     assert out[0].sentence.startswith("Picked for you") and all(r.sentence for r in out.values())
+
+
+def test_negative_draws_keep_their_partitions(spark):
+    from rankloom.operators import neural
+    train = spark.createDataFrame([(u, i) for u in range(40) for i in range(u % 7 + 1)], "user_idx long, item_idx long")
+    neg = neural.negative_sample(train, 50)
+    # few rows before the draws, many after: AQE may not fold the exchange into one task
+    assert "REPARTITION_BY_NUM" in neg._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r) for r in neg.collect()]
+    assert len(set(rows)) == len(rows) == sum(4 * (u % 7 + 1) for u in range(40))
+    assert all(u % 7 < i < 50 for u, i in rows)
