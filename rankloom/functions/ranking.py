@@ -59,11 +59,16 @@ def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list,
     return out
 
 
-def dense_index(values: DataFrame, col: str, idx_col: str) -> DataFrame:
-    """Map each distinct value of ``col`` to its 0-based position in sorted order."""
-    distinct = values.select(col).where(F.col(col).isNotNull()).distinct()
+def dense_index(values: DataFrame, col: str, idx_col: str, **measures: Column) -> DataFrame:
+    """Map each distinct value of ``col`` to its 0-based position in sorted order.
+
+    ``measures``: aggregates of a value's rows, as further columns.
+    """
+    known = values.where(F.col(col).isNotNull())
+    distinct = (known.groupBy(col).agg(*[m.alias(name) for name, m in measures.items()]) if measures
+                else known.select(col).distinct())
     seq = sequence_within(distinct, [], [col], rn="_rn", count=None)
-    return seq.select(col, (F.col("_rn") - 1).alias(idx_col))
+    return seq.select(col, (F.col("_rn") - 1).alias(idx_col), *measures)
 
 
 def top_n(df: DataFrame, group_cols: list[str], order: list, n: int,

@@ -18,8 +18,11 @@ def qcol(name: str):
 
 
 def encode_ids(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sorted distinct ids → 0..n−1 (numeric order for numbers, code point for text)."""
-    user_map = dense_index(ratings, "user_id", "user_idx")
+    """Sorted distinct ids → 0..n−1 (numeric order for numbers, code point for text).
+
+    The users also come with ``_n``, the number of their rows that name an item.
+    """
+    user_map = dense_index(ratings, "user_id", "user_idx", _n=F.count("item_id"))
     item_map = dense_index(ratings, "item_id", "item_idx")
     return user_map, item_map
 
@@ -42,13 +45,20 @@ def with_interaction_weight(df: DataFrame) -> DataFrame:
     return df.withColumn("interaction_weight", interaction_weight(df.columns))
 
 
+def index_ratings(ratings: DataFrame, user_map: DataFrame, item_map: DataFrame) -> DataFrame:
+    """Raw columns + user_idx, item_idx; joined by item first, so the rows lie by user after it."""
+    return ratings.join(item_map, "item_id").join(user_map, "user_id")
+
+
+def rating_features(indexed: DataFrame, cfg: DatasetConfig) -> DataFrame:
+    """Adds temporal features, label and weight."""
+    return with_interaction_weight(positive_label(temporal_features(indexed), cfg.rating_threshold))
+
+
 def process_ratings(ratings: DataFrame, cfg: DatasetConfig, user_map: DataFrame,
                     item_map: DataFrame) -> DataFrame:
     """Processed ratings: raw columns + user_idx, item_idx, temporal features, label, weight."""
-    r = ratings.join(user_map, "user_id").join(item_map, "item_id")
-    r = temporal_features(r)
-    r = positive_label(r, cfg.rating_threshold)
-    return with_interaction_weight(r)
+    return rating_features(index_ratings(ratings, user_map, item_map), cfg)
 
 
 def coerce_feature(c) -> F.Column:

@@ -57,18 +57,19 @@ _MEMO: dict[tuple, Prepared] = {}
 
 
 def _write_read(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def ingest_tables(spark: SparkSession, ratings: DataFrame, items: DataFrame,
                   cfg: DatasetConfig, root: str) -> Prepared:
     """Run the ingest job and persist its outputs under ``root``."""
-    user_map, item_map = ingest.encode_ids(ratings)
-    user_map = _write_read(user_map, f"{root}/user_map")
+    users, item_map = ingest.encode_ids(ratings)
+    users = _write_read(users, f"{root}/user_map")
     item_map = _write_read(item_map, f"{root}/item_map")
-    processed = ingest.process_ratings(ratings, cfg, user_map, item_map)
-    interactions = split.split_roles(processed)
+    user_map = users.drop("_n")
+    # the derived columns come last: they don't travel
+    interactions = ingest.rating_features(split.index_and_split(ratings, users, item_map), cfg)
     interactions = _write_read(interactions, f"{root}/ratings")
     items_p = _write_read(ingest.align_items(items, cfg, item_map), f"{root}/items")
     features = _write_read(ingest.feature_long(items_p, cfg), f"{root}/item_features")

@@ -193,3 +193,35 @@ def test_negative_draws_keep_their_partitions(spark):
     rows = [tuple(r) for r in neg.collect()]
     assert len(set(rows)) == len(rows) == sum(4 * (u % 7 + 1) for u in range(40))
     assert all(u % 7 < i < 50 for u, i in rows)
+
+
+def _uploaded(spark):
+    """Ratings of 40 users of 1 to 40 rows, with repeated times, null ids and rows that come twice."""
+    rows = [(u, (u * 7 + k * 3) % 25, float(1 + k % 5), 1000 + k // 3, float(k), k % 2) for u in range(1, 41) for k in range(u)]
+    rows += [r for r in rows if r[0] % 6 == 0] + [(None, 3, 4.0, 5, 1.0, 1), (7, None, 4.0, 5, 1.0, 1), (99, None, 2.0, 5, 1.0, 0)]
+    return spark.createDataFrame(rows, "user_id long, item_id long, rating double, timestamp long, view_time_sec double, liked int")
+
+
+def test_split_by_join_equals_the_split_over_many_tasks(spark):
+    from rankloom.operators import ingest, split
+    ratings = _uploaded(spark)
+    users, items = ingest.encode_ids(ratings)
+    users, items = users.cache(), items.cache()
+    cols = ["user_id", "item_id", "rating", "timestamp", "user_idx", "item_idx", "n", "rn", "role", "serve_role"]
+    want = split.split_roles(ingest.index_ratings(ratings, users.drop("_n"), items)).select(cols)
+    for hot_rows in (split.HOT_ROWS, 20):   # 20: half of the users go over many tasks
+        got = split.index_and_split(ratings, users, items, hot_rows).select(cols)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert users.where("user_id = 99").first()["_n"] == 0 and users.count() == 41
+
+
+def test_ingest_checkpoints_no_ratings(spark, tmp_path, monkeypatch):
+    from rankloom.config import DatasetConfig
+    from rankloom.plans import pipeline
+    ratings = _uploaded(spark)
+    items = spark.createDataFrame([(i, f"item {i}", i % 2) for i in range(25)], "item_id long, name string, a int")
+    kept, plain = [], type(ratings).checkpoint
+    monkeypatch.setattr(type(ratings), "checkpoint", lambda self, eager=True: (kept.append(self.columns), plain(self, eager))[1])
+    p = pipeline.ingest_tables(spark, ratings, items, DatasetConfig("x", ["a"]), str(tmp_path))
+    assert kept and not any("rating" in columns for columns in kept)
+    assert p.user_map.columns == ["user_id", "user_idx"] and p.ratings.count() == ratings.dropna(subset=["user_id", "item_id"]).count()
