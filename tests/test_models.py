@@ -225,3 +225,21 @@ def test_ingest_checkpoints_no_ratings(spark, tmp_path, monkeypatch):
     p = pipeline.ingest_tables(spark, ratings, items, DatasetConfig("x", ["a"]), str(tmp_path))
     assert kept and not any("rating" in columns for columns in kept)
     assert p.user_map.columns == ["user_id", "user_idx"] and p.ratings.count() == ratings.dropna(subset=["user_id", "item_id"]).count()
+
+
+def test_similar_liked_deals_overlaps_once(spark):
+    """A user's liked items by shared features, then history order; counts and ranks share one exchange by pair."""
+    from rankloom.operators import explain as ex
+    features = spark.createDataFrame([(i, k, f"f{k}") for i in range(12) for k in range(4) if (i >> k) & 1], "item_idx long, feature_pos int, feature string")
+    items = spark.createDataFrame([(i, f"item {i}") for i in range(12)], "item_idx long, name string")
+    liked = spark.createDataFrame([(u, i, n) for u in (1, 2) for n, i in enumerate([3, 5, 3, 7, 11, 0, u])], "user_idx long, liked_idx long, rn long")
+    pairs = spark.createDataFrame([(1, 3), (1, 7), (2, 11), (2, 0), (3, 1), (1, 3)], "user_idx long, item_idx long")
+    found = ex.similar_liked(pairs, liked, items, features)
+    want = []
+    for u, i in {(r.user_idx, r.item_idx) for r in pairs.collect()}:
+        got = [(-bin(i & r.liked_idx).count("1"), r.rn, r.liked_idx) for r in liked.collect() if r.user_idx == u and r.liked_idx != i and i & r.liked_idx]
+        want += [(u, i, pos, at, f"item {at}", -n) for pos, (n, _, at) in enumerate(sorted(got)[:3], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    by_pair = [line for line in plan.splitlines() if "Exchange hashpartitioning(user_idx" in line and ", item_idx" in line]
+    assert sum("liked_idx" in line.split("ENSURE")[0] for line in by_pair) == 0, by_pair
