@@ -243,3 +243,19 @@ def test_similar_liked_deals_overlaps_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     by_pair = [line for line in plan.splitlines() if "Exchange hashpartitioning(user_idx" in line and ", item_idx" in line]
     assert sum("liked_idx" in line.split("ENSURE")[0] for line in by_pair) == 0, by_pair
+
+
+def test_sentence_deals_top_features_as_plain_rows(spark):
+    from rankloom.operators import explain as ex
+    contrib = spark.createDataFrame([(1, 5, 0.2, 0.5, 0.3), (2, 5, 0.6, 0.2, 0.2)],
+                                    "user_idx long, item_idx long, cf_contribution double, cbf_contribution double, ncf_contribution double")
+    fm = spark.createDataFrame([(1, 5, 0, "red", 0.5), (1, 5, 1, "hot", 0.5), (1, 5, 2, "old", 0.1), (2, 5, 0, "red", 0.1)],
+                               "user_idx long, item_idx long, feature_pos int, feature string, share double")
+    sim = spark.createDataFrame([(2, 5, 1, "rod")], "user_idx long, item_idx long, pos long, liked_name string")
+    found = ex.sentence(contrib, fm, sim, "part")
+    assert {r.user_idx: r.sentence for r in found.collect()} == {
+        1: "Picked for you: it has red, which you often pick among parts; its attributes fit your part history.",
+        2: "Picked for you: it resembles 'rod' from your history; people who rate as you do gave it high marks."}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    at = [k for k, line in enumerate(plan) if "partial_max_by" in line]
+    assert at and not any("Exchange" in plan[k - 1] for k in at)
