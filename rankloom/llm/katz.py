@@ -45,14 +45,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def _pack(values: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(values).tobytes()
+def _pack(values: np.ndarray, planes: bool = True) -> bytes:
+    """``values`` compressed, by default first bytes first: numbers shrink so, runs of equal hashes don't."""
+    values = np.ascontiguousarray(values)
+    raw = (values.view(np.uint8).reshape(-1, values.itemsize).T if planes else values).tobytes()
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def _unpack(data: bytes, dtype) -> np.ndarray:
+def _unpack(data: bytes, dtype, planes: bool = True) -> np.ndarray:
     size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", dtype)
+    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    return (np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T) if planes else raw).ravel().view(dtype)
 
 
 def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +145,18 @@ def block_words(table: DataFrame) -> DataFrame:
     return table.mapInArrow(run, "block bigint, w bigint, n bigint")
 
 
-def packed_counts(asked: DataFrame) -> DataFrame:
-    """block, n: a block's counts packed in the order of its sorted words. ``asked``: block, w, n, every word of a block once."""
+def packed(asked: DataFrame, *names: str) -> DataFrame:
+    """block, names: a block's values packed in the order of its sorted words. ``asked``: block, w, names, every word of a block once."""
     def run(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("w").to_numpy().view(np.uint64))
-        return pa.table({"block": rows.column("block").slice(0, 1), "n": pa.array([_pack(rows.column("n").to_numpy()[order])], pa.binary())})
+        return pa.table({"block": rows.column("block").slice(0, 1), **{k: pa.array([_pack(rows.column(k).to_numpy()[order])], pa.binary()) for k in names}})
+
+    return asked.groupBy("block").applyInArrow(run, "block bigint, " + ", ".join(f"{k} binary" for k in names))
 
-    return asked.groupBy("block").applyInArrow(run, "block bigint, n binary")
+
+def packed_counts(asked: DataFrame) -> DataFrame:
+    """block, n: a block's counts packed in the order of its sorted words."""
+    return packed(asked, "n")
 
 
 def with_counts(table: DataFrame, counts: DataFrame) -> DataFrame:
@@ -180,7 +188,8 @@ def _discounted_array(n: np.ndarray, factors: list[float]) -> np.ndarray:
 
 
 class Model:
-    """Tables words (w, n) and histories (w1, base, log_alpha); ``blocks`` with their words' counts, bigram counts in ``paired``.
+    """Tables words (w, n) and histories (w1, base, log_alpha); ``blocks`` with their words' counts, bigram counts in ``paired``,
+    what their words are as histories in ``told``.
 
     ``table``: the blocks, a table "blocks" of ``scratch`` that is dropped when its words are counted.
     """
@@ -231,6 +240,12 @@ class Model:
         history = history.withColumn("base", F.when(F.col("kept") < F.col("total"), F.col("total")).otherwise(F.col("total") + 1).cast("double"))
         alpha = (1 - F.col("kept") / F.col("base")) / F.greatest(1 - F.col("seen"), F.lit(1e-300))
         self.histories = history.select("w1", "base", F.log10(alpha).alias("log_alpha"))
+        # as with the counts, the words' rows are gone before the blocks are shuffled again
+        asked = block_words(self.blocks).select("block", "w").join(self.histories.withColumnRenamed("w1", "w"), "w", "left").select(
+            "block", "w", F.coalesce("base", F.lit(1.0)).alias("base"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
+        self.told = scratch.table(packed(asked, "base", "log_alpha"), "told")
+        del asked
+        scratch.release()
 
     def _dealt(self) -> DataFrame:
         """bucket, block, w1, w2, n2, t: packed distinct bigrams of a block in a bucket, the word's count and the training count here."""
@@ -244,8 +259,8 @@ class Model:
                     t = np.bincount(at[x.train], minlength=len(a))
                     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                     for i, j in zip(cut, np.r_[cut[1:], len(a)], strict=True):
-                        sent = (x.vocab[a[i:j]], x.vocab[b[i:j]], x.n[b[i:j]], t[i:j])
-                        yield pa.RecordBatch.from_arrays([pa.array([bucket[i]], pa.int64()), pa.array([x.block], pa.int64()), *(pa.array([_pack(c)], pa.binary()) for c in sent)],
+                        sent = (_pack(x.vocab[a[i:j]], False), _pack(x.vocab[b[i:j]], False), _pack(x.n[b[i:j]]), _pack(t[i:j]))
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket[i]], pa.int64()), pa.array([x.block], pa.int64()), *(pa.array([c], pa.binary()) for c in sent)],
                                                          names=["bucket", "block", "w1", "w2", "n2", "t"])
 
         return self.blocks.mapInArrow(run, "bucket bigint, block bigint, w1 binary, w2 binary, n2 binary, t binary")
@@ -258,7 +273,7 @@ class Model:
 
         def run(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
-            w1, w2 = (np.concatenate([_unpack(r[k], np.uint64) for r in rows]) for k in ("w1", "w2"))
+            w1, w2 = (np.concatenate([_unpack(r[k], np.uint64, False) for r in rows]) for k in ("w1", "w2"))
             n2, t = (np.concatenate([_unpack(r[k], np.int64) for r in rows]) for k in ("n2", "t"))
             order = np.lexsort((w2, w1))
             h, w = w1[order], w2[order]
@@ -292,12 +307,11 @@ class Model:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             out = []
             is_word = right.column("bucket").is_null().to_numpy()
-            told = right.filter(pa.array(is_word))
+            told = right.filter(pa.array(is_word)).to_pylist()
             sent = right.filter(pa.array(~is_word)).sort_by("bucket").column("counts").to_pylist()
             for row in left.to_pylist():
                 x = _Block(row)
-                at = np.argsort(told.column("u").to_numpy().view(np.uint64), kind="stable")
-                base, back = (told.column(k).to_numpy()[at] for k in ("base", "log_alpha"))
+                base, back = (_unpack(told[0][k], np.float64) for k in ("base", "log_alpha"))
                 n = x.n
                 logp = np.log10(np.where(n > 0, _discounted_array(n, word_factors) * scale, unseen))
                 c = np.concatenate([_unpack(s, np.int64) for s in sent])[x.pairs(*heavy, n_buckets)[3]]
@@ -309,9 +323,7 @@ class Model:
                                      pa.array(total(np.log10(n[i] + 0.5) - norm)), pa.array(total(value))], names=names))
             return pa.concat_tables(out)
 
-        asked = block_words(self.blocks).select("block", "w").join(self.histories.withColumnRenamed("w1", "w"), "w", "left").select(
-            "block", F.col("w").alias("u"), F.coalesce("base", F.lit(1.0)).alias("base"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
-        told = asked.unionByName(self.paired.where(F.col("block").isNotNull()).select("block", "bucket", "counts"), allowMissingColumns=True)
+        told = self.told.unionByName(self.paired.where(F.col("block").isNotNull()).select("block", "bucket", "counts"), allowMissingColumns=True)
         return self.blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
             run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
 

@@ -300,6 +300,28 @@ def test_katz_counts_reach_the_blocks_as_one_row_each(spark):
     assert {r.block: (r.ids, katz._unpack(r.n, np.int64).tolist()) for r in katz.with_counts(table, counts).collect()} == {b: (b"i", n) for b, n in want.items()}
 
 
+def test_katz_histories_reach_the_blocks_as_one_row_each(spark):
+    docs = spark.createDataFrame([(d, d == 3, f"a b a {d} b") for d in range(6)], "doc_id bigint, held boolean, text string")
+    scratch = Scratch(spark, "katz-test")
+    model = katz.Model(scratch.table(katz.blocks(docs.repartition(2)), "blocks"), scratch)
+    known = {r.w1: (r.base, r.log_alpha) for r in model.histories.collect()}
+    told = {r.block: r for r in model.told.collect()}
+    rows = model.blocks.collect()
+    assert len(told) == len(rows) > 1
+    for r in rows:
+        want = [known.get(w, (1.0, 0.0)) for w in katz._unpack(r.vocab, np.int64).tolist()]
+        assert [*zip(*(katz._unpack(told[r.block][k], np.float64).tolist() for k in ("base", "log_alpha")), strict=True)] == want
+
+
+def test_katz_packs_numbers_by_their_bytes():
+    n = np.random.default_rng(3).geometric(0.001, 20000)
+    for x in (n, -n, n.astype(np.int32), n.astype(np.uint64), np.sqrt(n), n[:0], n[:1], n[::2]):
+        for planes in (True, False):
+            got = katz._unpack(katz._pack(x, planes), x.dtype, planes)
+            assert got.dtype == x.dtype and got.tolist() == x.tolist()
+    assert len(katz._pack(n.astype(np.int32))) < 0.9 * len(katz._pack(n.astype(np.int32), False))
+
+
 # op10
 def test_mixing(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
