@@ -251,3 +251,29 @@ def test_grid_search_orders_as_a_full_sort_does(spark):
             liked = {i for uu, i in rel if uu == u}
             total += sum(1 / np.log2(k + 2) for k, i in enumerate(best) if i in liked) / sum(1 / np.log2(k + 2) for k in range(min(len(liked), 10)))
         assert abs(got[combo] - total / 7) < 1e-9
+
+
+def test_odd_upload_rows_join_the_orders_once(spark, tmp_path):
+    import datetime
+    from pyspark.sql import functions as F
+    from rankloom.plans import catalog
+    from rankloom.sources import fixtures as fx
+    keys = [1, 2, 97, 101, 109, 97 * 101, 97 * 109, 101 * 109, 97 * 101 * 109, None]
+    lines = [(k, 5, n, 12.0, 0.09, "O", "N", datetime.datetime(2020, 1, 2)) for k in keys for n in (1, 1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber long, l_quantity double, l_discount double, "
+                          "l_linestatus string, l_returnflag string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 7) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    text = fx.retail_ratings_text(spark, str(tmp_path))
+    whole, odd = catalog.review_lines(spark, str(tmp_path))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+    assert [joins(df) for df in (text, whole, odd)] == [1, 1, 1]
+    known = [k for k in keys if k]
+    assert {r._key: r["count"] for r in text.groupBy("_key").count().collect()} == {k: 3 * (2 if k % 109 == 0 else 1) for k in known}
+    r = fx.retail_ratings(spark, str(tmp_path))
+    line = lambda item, rating: F.to_json(F.struct(F.col("user_id").cast("string").alias("reviewerID"), item.alias("asin"), rating.alias("overall"),
+                                                   F.col("timestamp").alias("unixReviewTime"), (F.col("ordered") == 1).alias("verified")))
+    item, rating = F.col("item_id").cast("string"), F.col("rating")
+    want = (r.where("_key % 97 = 0").select(F.substring(line(item, rating), 1, 25).alias("value"))
+            .unionByName(r.where("_key % 101 = 0").select(line(F.lit(None).cast("string"), rating).alias("value")))
+            .unionByName(r.where("_key % 109 = 0").select(line(item, rating + 7).alias("value"))))
+    assert sorted(x.value for x in odd.collect()) == sorted(x.value for x in want.collect()) and whole.count() == 3 * len(known)
