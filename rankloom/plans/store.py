@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.session import read_table
 from rankloom.sources.files import _fs
 
 
@@ -66,10 +67,11 @@ class Store:
         fs, path = _fs(self.spark, f"{self.root}/{folder}")
         fs.delete(path, True)
 
-    def _read(self, folder: str) -> dict[str, DataFrame]:
+    def _read(self, folder: str, read=None) -> dict[str, DataFrame]:
+        read = read or self.spark.read.parquet
         fs, path = _fs(self.spark, f"{self.root}/{folder}")
         names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-        return {n: self.spark.read.parquet(f"{self.root}/{folder}/{n}") for n in names}
+        return {n: read(f"{self.root}/{folder}/{n}") for n in names}
 
     # ── data sets, models, weights ──
     def publish(self, folder: str) -> int:
@@ -94,7 +96,7 @@ class Store:
 
     def models(self) -> dict[str, DataFrame]:
         manifest = self.current()
-        return self._read(manifest["models"]) if manifest and manifest["models"] else {}
+        return self._read(manifest["models"], lambda path: read_table(self.spark, path)) if manifest and manifest["models"] else {}
 
     def save_weights(self, dataset: str, weights, alpha: float) -> int:
         return self._extend(dataset, weights={"weights": [float(w) for w in weights], "ctx_alpha": float(alpha)}, evaluation=None)
