@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from rankloom import session
+from rankloom.operators import neural
 from rankloom.plans import pipeline
 
 
@@ -18,3 +19,14 @@ def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path, monkeypatch
         joined = rows.join(kept.select("feature", "item_idx").where("feature = 'w_old'"), "item_idx")
         assert ("Broadcast" in _plan(joined)) == sent
         assert joined.count() == 20000
+
+
+def test_dense_users_negatives_are_not_made_by_the_driver(spark):
+    n = 20000
+    seen = spark.range(n - 5).select(F.lit(0).cast("long").alias("user_idx"), F.col("id").alias("item_idx"))
+    few = spark.createDataFrame([(1, 3), (1, 4), (None, 7)], "user_idx long, item_idx long")
+    got = neural.negative_sample(seen.unionByName(few), n)
+    assert len(_plan(got)) < 100_000
+    rows = {(r.user_idx, r.item_idx) for r in got.collect()}
+    assert {i for u, i in rows if u == 0} == set(range(n - 5, n))
+    assert len([1 for u, _ in rows if u == 1]) == 8 and not {(1, 3), (1, 4)} & rows
